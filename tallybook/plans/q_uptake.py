@@ -474,7 +474,7 @@ def _(t):
     return uptake.dataset_totals(t.cohort(), 1000)
 
 
-@query("no_provision_list", f"""t AS (SELECT easting // 500 AS cell, count(DISTINCT provider) AS schools, count(focus_points) AS n FROM cohort GROUP BY ALL HAVING count(focus_points) = 0)
+@query("no_provision_list", f"""t AS (SELECT floor(easting / 500) AS cell, count(DISTINCT provider) AS schools, count(focus_points) AS n FROM cohort GROUP BY ALL HAVING count(focus_points) = 0)
   SELECT count(*) AS categories, coalesce(string_agg(cell || ' (n=' || schools || ')', '; ' ORDER BY cell || ' (n=' || schools || ')'), '') AS listing FROM
   (SELECT CAST(CAST(cell AS BIGINT) AS VARCHAR) AS cell, schools FROM t)""")
 def _(t):
