@@ -111,24 +111,70 @@ def _(t):
 
 def offered_all(t):
     people = t.cohort().filter("gender IS NOT NULL AND score IS NOT NULL AND ethnicity IS NOT NULL")
-    return logit.offered_population(people.select("pupil", "provider", "gender", "score", "ethnicity"), t.facts)
+    people = people.select("pupil", "provider", "gender", "ethnicity", (F.col("score") / 100000).alias("score_100k"))
+    return logit.offered_population(people, t.facts)
 
 
-@query("logit_uptake")
+def newton_sql(keys: list[str], steps: int = 8) -> str:
+    """The same fits as unrolled Newton steps: one CTE per step, x centred at 2.5."""
+    k = ", ".join(keys)
+    ctes = [f"""d AS (SELECT o.subject, c.gender, c.ethnicity, c.score / 100000 - 2.5 AS x, CAST(f.points IS NOT NULL AS INTEGER) AS y
+    FROM cohort c JOIN (SELECT DISTINCT provider, subject FROM facts) o ON c.provider = o.provider LEFT JOIN facts f ON f.pupil = c.pupil AND f.provider = c.provider AND f.subject = o.subject
+    WHERE c.gender IS NOT NULL AND c.ethnicity IS NOT NULL)""",
+            f"""k0 AS (SELECT {k}, ln(avg(y) / (1 - avg(y))) AS a, 0.0::DOUBLE AS b, count(*) AS n, -2 * (sum(y) * ln(avg(y)) + (count(*) - sum(y)) * ln(1 - avg(y))) AS null_deviance
+    FROM d GROUP BY {k} HAVING avg(y) > 0 AND avg(y) < 1)"""]
+    for i in range(steps):
+        ctes.append(f"""p{i} AS MATERIALIZED (SELECT {k}, d.x, d.y, a, b, n, null_deviance, 1 / (1 + exp(-(a + b * d.x))) AS p FROM d JOIN k{i} USING ({k})),
+  h{i} AS (SELECT {k}, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, any_value(null_deviance) AS null_deviance, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00,
+    sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11, -2 * sum(y * ln(p) + (1 - y) * ln(1 - p)) AS deviance FROM p{i} GROUP BY {k}),
+  k{i + 1} AS MATERIALIZED (SELECT {k}, n, null_deviance, deviance, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b,
+    h11 / (h00 * h11 - h01 * h01) AS va, -h01 / (h00 * h11 - h01 * h01) AS cab, h00 / (h00 * h11 - h01 * h01) AS vb FROM h{i})""")
+    ctes.append(f"fits AS (SELECT {k}, n, null_deviance, deviance, a - 2.5 * b AS b0, b AS b1, sqrt(va - 5 * cab + 6.25 * vb) AS se0, sqrt(vb) AS se1 FROM k{steps})")
+    return ",\n  ".join(ctes)
+
+
+def simple_logit(t):
+    return logit.grouped_logit(offered_all(t), ["subject", "gender"], "sits", "score_100k")
+
+
+def rounded_rows(rows):
+    return rows.withColumns({"est": F.round("est", 5), "std_error": F.round("std_error", 5), "z": F.round("z", 3)})
+
+
+@query("logit_uptake", newton_sql(["subject", "gender"]) + """ SELECT subject, gender, n, '(Intercept)' AS term, round(b0, 5) AS est, round(se0, 5) AS std_error, round(b0 / se0, 3) AS z FROM fits
+  UNION ALL SELECT subject, gender, n, 'score_100k', round(b1, 5), round(se1, 5), round(b1 / se1, 3) FROM fits""")
+def _(t):
+    return rounded_rows(logit.coefficient_rows(simple_logit(t), ["subject", "gender"], "score_100k").drop("p"))
+
+
+@query("logit_uptake_p")
+def _(t):
+    rows = logit.coefficient_rows(simple_logit(t), ["subject", "gender"], "score_100k")
+    return rows.withColumn("marks", scales.stars(F.col("p")))
+
+
+@query("logit_interaction", newton_sql(["subject", "gender", "ethnicity"]) + """, base AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY subject, gender ORDER BY n DESC, ethnicity DESC) = 1),
+  j AS (SELECT f.*, f.ethnicity = b.ethnicity AS is_base, b.b0 AS c0, b.b1 AS c1, b.se0 AS e0, b.se1 AS e1 FROM fits f JOIN base b ON f.subject = b.subject AND f.gender = b.gender),
+  r AS (SELECT subject, gender, n, CASE WHEN is_base THEN '(Intercept)' ELSE ethnicity END AS term, CASE WHEN is_base THEN b0 ELSE b0 - c0 END AS est, CASE WHEN is_base THEN se0 ELSE sqrt(se0 ** 2 + e0 ** 2) END AS std_error FROM j
+    UNION ALL SELECT subject, gender, n, CASE WHEN is_base THEN 'score_100k' ELSE 'score_100k:' || ethnicity END, CASE WHEN is_base THEN b1 ELSE b1 - c1 END, CASE WHEN is_base THEN se1 ELSE sqrt(se1 ** 2 + e1 ** 2) END FROM j)
+  SELECT subject, gender, n, term, round(est, 5) AS est, round(std_error, 5) AS std_error, round(est / std_error, 3) AS z FROM r""")
 def _(t):
-    fits = logit.grouped_logit(offered_all(t), ["subject", "gender"], "sits", "score")
-    return logit.coefficient_rows(fits, ["subject", "gender"], "score")
+    rows = logit.logit_interaction(offered_all(t), ["subject", "gender"], "sits", "score_100k", "ethnicity")
+    return rounded_rows(rows.drop("p"))
 
 
-@query("logit_interaction")
+@query("logit_fit_quality", newton_sql(["subject", "gender"]) + """ SELECT subject, gender, n, round(null_deviance - deviance, 4) AS chi2, 1 AS chi2_df, round(1 - deviance / null_deviance, 7) AS r2_hosmer,
+    round(1 - exp(-(null_deviance - deviance) / n), 7) AS r2_cox, round((1 - exp(-(null_deviance - deviance) / n)) / (1 - exp(-null_deviance / n)), 7) AS r2_nagelkerke,
+    round(exp(b0 - 1.959963984540054 * se0), 5) AS or0_low, round(exp(b0 + 1.959963984540054 * se0), 5) AS or0_high, round(exp(b1 - 1.959963984540054 * se1), 5) AS or1_low, round(exp(b1 + 1.959963984540054 * se1), 5) AS or1_high FROM fits""")
 def _(t):
-    return logit.logit_interaction(offered_all(t), ["subject", "gender"], "sits", "score", "ethnicity")
+    quality = logit.logit_fit_quality(simple_logit(t), "score_100k")
+    digits = {"chi2": 4, "r2_hosmer": 7, "r2_cox": 7, "r2_nagelkerke": 7, "or0_low": 5, "or0_high": 5, "or1_low": 5, "or1_high": 5}
+    return quality.select("subject", "gender", "n", "chi2_df", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
-@query("logit_fit_quality")
+@query("logit_fit_quality_p")
 def _(t):
-    fits = logit.grouped_logit(offered_all(t), ["subject", "gender"], "sits", "score")
-    return logit.logit_fit_quality(fits, "score")
+    return logit.logit_fit_quality(simple_logit(t), "score_100k").select("subject", "gender", "chi2", "chi2_df", "p")
 
 
 @query("significance_stars", """p AS (SELECT pupil, score / 1000000 AS p FROM pupils)
