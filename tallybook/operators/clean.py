@@ -37,25 +37,29 @@ def drop_ambiguous_keys(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def best_attempt(results: DataFrame, exam_year: int | None = None, levels: Sequence | None = None) -> DataFrame:
+def best_attempt(
+    results: DataFrame, exam_year: int | None = None, levels: Sequence | None = None, scope: Sequence[str] = ()
+) -> DataFrame:
     """Rows with the highest points per (pupil, subject, qualification), ties kept, grade dropped.
 
     Only the best row of each (key, provider, level) can be a best row of the key, so a first aggregation
     with map-side combine shrinks every key to at most one row per provider and level before the window.
+    ``scope`` columns (stage, year) keep cohorts apart when several are cleaned at once.
     """
     df = results
     if exam_year is not None:
         df = df.filter(F.col("year") == exam_year)
     if levels is not None:
         df = df.filter(F.col("level").isin(list(levels)))
-    rows = df.groupBy("pupil", "provider", "level", "subject", "qualification").agg(F.max("points").alias("points"))
-    best = F.max("points").over(Window.partitionBy(*RESULT_KEYS))
+    keys = [*scope, "pupil", "provider", "level", "subject", "qualification"]
+    rows = df.groupBy(*keys).agg(F.max("points").alias("points"))
+    best = F.max("points").over(Window.partitionBy(*scope, *RESULT_KEYS))
     return rows.withColumn("__best", best).filter("points = __best").drop("__best")
 
 
-def single_qualification(results: DataFrame) -> DataFrame:
+def single_qualification(results: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """One row per (pupil, provider, level, subject): its highest points."""
-    return results.groupBy("pupil", "provider", "level", "subject").agg(F.max("points").alias("points"))
+    return results.groupBy(*scope, "pupil", "provider", "level", "subject").agg(F.max("points").alias("points"))
 
 
 def single_result(results: DataFrame) -> DataFrame:
