@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from . import disclose, profile, rank, stats
 from .common import count_if, either, fixed, null_safe_join, percent
 from .uptake import sits
@@ -102,18 +103,21 @@ def average_by_subject(
     facts: DataFrame, people: DataFrame, focus: str, what: str, k: int = 20, factor: bool = False
 ) -> DataFrame:
     """The average of an attribute (or shares of its levels) per top-k subject, an "All" row, the focus highlighted."""
-    top = rank.top_subjects(facts, focus, k).select("subject")
-    known = people.select("pupil", "provider", what).filter(F.col(what).isNotNull())
-    rows = facts.select("pupil", "provider", "subject").join(top, "subject", "left_semi").join(known, ["pupil", "provider"])
+    attribute = people.select("pupil", "provider", what)
+    rows = facts.select("pupil", "provider", "subject").join(attribute, ["pupil", "provider"])
+    # Unknown values count towards the ranking of subjects only, so one aggregation serves both.
     if factor:
         counts = rows.groupBy("subject", what).agg(F.count("*").alias("n"))
-        table = rank.group_total_share(counts, ["subject"], digits=1).select(
+        known = rank.keep_top(counts, focus, k).filter(F.col(what).isNotNull())
+        table = rank.group_total_share(known, ["subject"], digits=1).select(
             "subject", what, "n", F.col("share").alias("mean"), F.lit(None).cast("double").alias("sd")
         )
     else:
-        table = rows.groupBy("subject").agg(
-            F.count("*").alias("n"), F.round(F.avg(what), 4).alias("mean"), F.round(F.stddev_samp(what), 4).alias("sd")
+        moments = rows.groupBy("subject").agg(
+            F.count("*").alias("__entries"), F.count(what).alias("n"),
+            F.round(F.avg(what), 4).alias("mean"), F.round(F.stddev_samp(what), 4).alias("sd"),
         )
+        table = rank.keep_top(moments, focus, k, "__entries").drop("__entries").filter("n > 0")
     everyone = overall_average(people, what, factor).withColumn("subject", F.lit("All"))
     return table.unionByName(everyone).withColumn("highlight", F.when(F.col("subject") == focus, F.col("mean")).otherwise(0.0))
 
@@ -124,27 +128,44 @@ def indicator(category: str, value) -> Column:
     return F.when(F.col(category) == value, 100.0).when(known, 0.0)
 
 
-def pass_rate(facts: DataFrame, people: DataFrame, group: str, threshold: float, subjects: DataFrame | None = None,
-              keep_null_group: bool = False) -> DataFrame:
-    """Mean points and share at or above the threshold per group, or per subject and group."""
-    keep = people.select("pupil", "provider", group)
-    if not keep_null_group:
-        keep = keep.filter(F.col(group).isNotNull())
-    keys = [group]
-    if subjects is not None:
-        facts = facts.join(subjects, "subject", "left_semi")
-        keys = ["subject", group]
-    return facts.join(keep, ["pupil", "provider"]).groupBy(*keys).agg(
-        F.round(F.avg("points"), 6).alias("points"),
-        F.round(F.avg(F.when(F.col("points") >= threshold, 1.0).otherwise(0.0)), 6).alias("pass_rate"),
+def _passes(facts: DataFrame, people: DataFrame, keys: Sequence[str], group: str, threshold: float) -> DataFrame:
+    """Entries, point sum and passes per key."""
+    rows = facts.select("pupil", "provider", "subject", "points").join(
+        people.select("pupil", "provider", group), ["pupil", "provider"]
+    )
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.sum("points").alias("__points"), count_if(F.col("points") >= threshold).alias("__passes")
     )
 
 
-def pass_rate_by_subject(facts: DataFrame, people: DataFrame, group: str, threshold: float, focus: str, k: int = 20) -> DataFrame:
-    """Pass rates per top-k subject and group, with "All" rows and the focus highlighted."""
-    top = rank.top_subjects(facts, focus, k).select("subject")
-    everyone = pass_rate(facts, people, group, threshold).withColumn("subject", F.lit("All"))
-    return pass_rate(facts, people, group, threshold, top).unionByName(everyone).withColumn(
+def _pass_columns(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({
+        "points": F.round(F.col("__points") / F.col("__n"), 6), "pass_rate": F.round(F.col("__passes") / F.col("__n"), 6),
+    }).drop("__n", "__points", "__passes")
+
+
+def pass_rate(facts: DataFrame, people: DataFrame, group: str, threshold: float, keep_null_group: bool = False) -> DataFrame:
+    """Mean points and share at or above the threshold per group."""
+    sums = _passes(facts, people, [group], group, threshold)
+    return _pass_columns(sums if keep_null_group else sums.filter(F.col(group).isNotNull()))
+
+
+def pass_rate_by_subject(
+    facts: DataFrame, people: DataFrame, group: str, threshold: float, focus: str, k: int = 20, keep_null_group: bool = False
+) -> DataFrame:
+    """Pass rates per top-k subject and group, with "All" rows over every subject and the focus highlighted."""
+    sums = _passes(facts, people, ["subject", group], group, threshold)
+    measures = ["__n", "__points", "__passes"]
+    columns = [F.col("subject"), F.col(group)]
+    both = sums.groupingSets([columns, columns[1:]], "subject", group).agg(
+        F.grouping("subject").alias("__all"), *[F.sum(c).alias(c) for c in measures]
+    )
+    top = rank.keep_top(both.filter("__all = 0"), focus, k, "__n")
+    everyone = both.filter("__all = 1").withColumn("subject", F.lit("All"))
+    table = top.unionByName(everyone).drop("__all")
+    if not keep_null_group:
+        table = table.filter(F.col(group).isNotNull())
+    return _pass_columns(table).withColumn(
         "highlight", F.when(F.col("subject") == focus, F.col("pass_rate")).otherwise(0.0)
     )
 
@@ -234,25 +255,33 @@ def _mean_sd(mean: str, sd: str) -> Column:
 
 def entry_profile(
     facts: DataFrame, people: DataFrame, focus: str, prior: str, attribute: str, female: str = "F", male: str = "M",
-    k: int = 25, rows: int = 20,
+    k: int = 25, top: int = 20,
 ) -> DataFrame:
     """Per subject and gender: n and "mean(sd)" of a prior score and of an attribute subject; top rows by the female prior.
 
     Restricted to pupils who have the prior score and sit the attribute subject.
     """
-    sat = facts.filter(F.col("subject") == attribute).select("pupil", "provider", F.col("points").alias("__attribute"))
-    chosen = people.filter(F.col(prior).isNotNull()).join(sat, ["pupil", "provider"])
+    rows = profile.with_focus_points(facts, attribute, "__attribute").filter(F.col("__attribute").isNotNull()).join(
+        people.select("pupil", "provider", "gender", F.col(prior).alias("__prior")), ["pupil", "provider"]
+    ).filter(F.col("__prior").isNotNull() & F.col("gender").isin(female, male))
+    moments = [
+        F.count("*").alias("n"), F.round(F.avg("__prior"), 4).alias("mean"), F.round(F.stddev_samp("__prior"), 4).alias("sd"),
+        F.round(F.avg("__attribute"), 4).alias("a_mean"), F.round(F.stddev_samp("__attribute"), 4).alias("a_sd"),
+    ]
+    # Everyone sits the attribute subject once, so its rows are the population.
+    everyone = rows.filter(F.col("subject") == attribute).groupBy("gender").agg(*moments).withColumn("subject", F.lit("All"))
+    by_subject = cut_lineage(rows.groupBy("gender", "subject").agg(*moments))
     table = None
     for name, code in (("f", female), ("m", male)):
-        group = chosen.filter(F.col("gender") == code)
-        group_facts = facts.join(group.select("pupil", "provider"), ["pupil", "provider"], "left_semi")
-        by_prior = average_by_subject(group_facts, group, focus, prior, k)
-        by_points = average_by_subject(group_facts, group, focus, "__attribute", k)
-        one = by_prior.select("subject", F.col("n").alias(f"n_{name}"), F.col("mean").alias(f"mean_{name}"), _mean_sd("mean", "sd").alias(f"prior_{name}")).join(
-            by_points.select("subject", _mean_sd("mean", "sd").alias(f"attribute_{name}")), "subject", "left")
+        one = rank.keep_top(by_subject.filter(F.col("gender") == code), focus, k).unionByName(
+            everyone.filter(F.col("gender") == code)
+        ).select(
+            "subject", F.col("n").alias(f"n_{name}"), F.col("mean").alias(f"mean_{name}"),
+            _mean_sd("mean", "sd").alias(f"prior_{name}"), _mean_sd("a_mean", "a_sd").alias(f"attribute_{name}"),
+        )
         table = one if table is None else table.join(one, "subject", "left")
     table = table.withColumn("n", F.col("n_f") + F.col("n_m")).filter(F.col("n").isNotNull())
-    return rank.top_n_ties(table, rows, "mean_f").drop("mean_f", "mean_m")
+    return rank.top_n_ties(cut_lineage(table), top, "mean_f").drop("mean_f", "mean_m")
 
 
 def grade_gap_by_provider_gender(

@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import number, null_safe_join, percent, with_group_stats
+from ..session import cut_lineage
+from .common import attach_bounded, number, null_safe_join, percent, with_group_stats
 
 BUCKETS = 64
 
@@ -44,23 +45,22 @@ def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: s
     Approximate quantiles only choose cut points; rows are numbered exactly inside each bucket and the
     counts of earlier buckets are added. A value that is itself a cut point has a bucket of its own, which
     is cut again on the tie-break, so that one value holding much of a group is spread as well.
+    The rows are read several times: hand in a stored table (``ntile_bands`` stores them).
     """
     steps = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(order, steps, 10 * buckets)).alias("__cuts"))
-    placed = null_safe_join(df, cuts, groups, "inner").withColumn(
-        "__bucket",
-        2 * F.size(F.filter("__cuts", lambda c: c < F.col(order))) + F.array_contains("__cuts", F.col(order)).cast("int"),
-    ).drop("__cuts")
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
+    on_cut = F.array_contains("__cuts", F.col(order)).cast("int")
+    placed = attach_bounded(df, cuts, groups).withColumn("__bucket", 2 * below + on_cut).drop("__cuts")
     keys = [*groups, "__bucket"]
     tie_cuts = (
         placed.filter("__bucket % 2 = 1")
         .groupBy(*keys)
         .agg(F.array_distinct(F.percentile_approx(tie, steps, 10 * buckets)).alias("__cuts"))
     )
-    placed = null_safe_join(placed, tie_cuts, keys, "left").withColumn(
-        "__sub", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(tie))), F.lit(0))
-    ).drop("__cuts")
-    keys.append("__sub")
+    below_tie = F.size(F.filter("__cuts", lambda c: c < F.col(tie)))
+    placed = attach_bounded(placed, tie_cuts, keys, "left").withColumn("__sub", F.coalesce(below_tie, F.lit(0))).drop("__cuts")
+    keys = [*keys, "__sub"]
     counts = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*groups)
     before = group.orderBy("__bucket", "__sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +69,7 @@ def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: s
     ).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie))
     return (
-        null_safe_join(placed.withColumn("__inside", inside), offsets, keys, "inner")
+        attach_bounded(placed.withColumn("__inside", inside), offsets, keys, max_rows=200_000)
         .withColumn("rank", F.col("__inside") + F.col("__offset"))
         .drop("__inside", "__offset", "__bucket", "__sub")
     )
@@ -89,6 +89,7 @@ def band_of_rank(rank: Column, size: Column, bands: int) -> Column:
 
 def ntile_bands(df: DataFrame, groups: Sequence[str], order: str, tie: str, bands: int, name: str = "band") -> DataFrame:
     """Equal-count bands per group by ``order`` then ``tie``; rows without a value get no band."""
+    df = cut_lineage(df)
     known = df.filter(F.col(order).isNotNull())
     ranked = bucketed_row_number(known, groups, order, tie)
     banded = ranked.withColumn(name, band_of_rank(F.col("rank"), F.col("size"), bands)).drop("rank", "size")
@@ -130,19 +131,27 @@ def key_multiplicity(df: DataFrame, keys: Sequence[str], name: str = "n") -> Dat
     return with_group_stats(df, keys, F.count("*").alias(name))
 
 
-def top_subjects(facts: DataFrame, focus: str, k: int) -> DataFrame:
-    """The k most taken subjects; the focus takes the last place when it is not among them."""
-    counts = facts.groupBy("subject").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "subject"))
-    ranked = counts.withColumn("place", place)
-    focus_place = F.max(F.when(F.col("subject") == focus, F.col("place"))).over(Window.partitionBy())
+def keep_top(table: DataFrame, focus: str, k: int, n: str = "n") -> DataFrame:
+    """Rows of the k subjects with the highest sum of ``n``; the focus takes the last place when it is not among them.
+
+    For aggregated tables (a few rows per subject): the places come from windows over the table itself.
+    """
+    totals = table.withColumn("__taken", F.sum(n).over(Window.partitionBy("subject")))
+    placed = totals.withColumn("__place", F.dense_rank().over(Window.orderBy(F.desc("__taken"), "subject")))
+    focus_place = F.max(F.when(F.col("subject") == focus, F.col("__place"))).over(Window.partitionBy())
+    place = F.col("__place")
     return (
-        ranked.withColumn("__focus", F.coalesce(focus_place, F.lit(0)))
-        .filter((F.col("place") < k) | (F.col("subject") == focus) | ((F.col("place") == k) & (F.col("__focus") <= k)))
-        .select("subject", "n")
+        placed.withColumn("__focus", F.coalesce(focus_place, F.lit(0)))
+        .filter((place < k) | (F.col("subject") == focus) | ((place == k) & (F.col("__focus") <= k)))
+        .drop("__taken", "__place", "__focus")
     )
 
 
+def top_subjects(facts: DataFrame, focus: str, k: int) -> DataFrame:
+    """The k most taken subjects; the focus takes the last place when it is not among them."""
+    return keep_top(facts.groupBy("subject").agg(F.count("*").alias("n")), focus, k)
+
+
 def top_n_ties(df: DataFrame, n: int, weight: str, bottom: bool = False) -> DataFrame:
     """The n highest (or lowest) rows by weight, ties included: a distributed top-n gives the threshold."""
     order = F.asc(weight) if bottom else F.desc(weight)

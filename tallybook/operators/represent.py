@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from . import rank, reshape
 from .common import null_safe_join, percent
 
@@ -19,14 +20,15 @@ def representation_cube(facts: DataFrame, people: DataFrame, focus: str, k: int
 
     "All" rows hold the population itself. Groups without gender or flag count in the totals but are left out.
     """
-    top = rank.top_subjects(facts, focus, k).select("subject")
     attributes = people.select("pupil", "provider", *KEYS)
-    counts = (
-        facts.select("pupil", "provider", "subject").join(top, "subject", "left_semi").join(attributes, ["pupil", "provider"])
+    # Counts of all subjects give the ranking too; both count tables are small and stored once.
+    every = (
+        facts.select("pupil", "provider", "subject").join(attributes, ["pupil", "provider"])
         .groupBy("subject", *KEYS).agg(F.count("*").alias("n"))
     )
+    counts = cut_lineage(rank.keep_top(every, focus, k))
     full = reshape.complete_combinations(counts, ["subject", "gender", "flag"], ("ethnicity", "eth_minor"), "n")
-    population = people.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    population = cut_lineage(people.groupBy(*KEYS).agg(F.count("*").alias("n")))
     cube = full.select("subject", *KEYS, "n").unionByName(population.withColumn("subject", F.lit("All")))
     cube = cube.withColumns({
         "subject_total": F.sum("n").over(Window.partitionBy("subject")),

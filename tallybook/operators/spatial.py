@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .common import one_value
 
 SPLIT = 4  # cells per side when a cell is divided
@@ -41,12 +42,13 @@ def nearest_distance(
     extent = F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y))
     leaf = one_value(reference, F.when(extent > 0, extent / SPLIT**levels).otherwise(1.0).alias("leaf"))
     refs = reference.select(F.col(x).alias("rx"), F.col(y).alias("ry")).dropna().distinct()
-    refs = refs.withColumns({"ix": F.floor(F.col("rx") / leaf), "iy": F.floor(F.col("ry") / leaf)})
+    # Stored once: every level reads the cells, the last step the reference points.
+    refs = cut_lineage(refs.withColumns({"ix": F.floor(F.col("rx") / leaf), "iy": F.floor(F.col("ry") / leaf)}))
 
     box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
-    leaves = refs.groupBy("ix", "iy").agg(
+    leaves = cut_lineage(refs.groupBy("ix", "iy").agg(
         F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
-    )
+    ))
 
     # One row per distinct location keeps a hot location from being searched more than once.
     places = points.select(F.col(x).alias("px"), F.col(y).alias("py")).dropna().distinct()

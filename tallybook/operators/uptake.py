@@ -267,7 +267,8 @@ def cohort_size_cumulative(facts: DataFrame, subjects: Sequence[str]) -> DataFra
 def cohort_size_by_subject(facts: DataFrame, focus: str, k: int) -> DataFrame:
     """Cohort size per (subject, provider) for the top-k subjects and for ALL, with the 90th percentile."""
     sizes = profile.provider_subjects(facts).withColumnRenamed("takers", "size")
-    top = rank.top_subjects(facts, focus, k).select("subject")
+    totals_by_subject = sizes.groupBy("subject").agg(F.sum("size").alias("n"))
+    top = rank.keep_top(totals_by_subject, focus, k).select("subject")
     everything = sizes.withColumn("subject", F.lit("ALL"))
     both = sizes.join(top, "subject").select("subject", "provider", "size").unionByName(
         everything.select("subject", "provider", "size")
@@ -481,12 +482,8 @@ def provider_uptake(cohort: DataFrame, attributes: Sequence[str]) -> DataFrame:
 
 def subject_group_share(facts: DataFrame, people: DataFrame, key: str, group: str, focus: str, k: int = 20) -> DataFrame:
     """Per top-k subject: entries and share by a pupil or provider attribute."""
-    top = rank.top_subjects(facts, focus, k).select("subject")
-    counts = (
-        facts.join(top, "subject", "left_semi").join(people.select(key, group), key, "left")
-        .groupBy("subject", group).agg(F.count("*").alias("n"))
-    )
-    return rank.group_total_share(counts, ["subject"], digits=4)
+    counts = facts.join(people.select(key, group), key, "left").groupBy("subject", group).agg(F.count("*").alias("n"))
+    return rank.group_total_share(rank.keep_top(counts, focus, k), ["subject"], digits=4)
 
 
 def offer_overlap(facts: DataFrame, first: str, second: str) -> DataFrame:
