@@ -48,8 +48,8 @@ def grouped_logit(
     try:
         summary = counts.groupBy(*groups).agg(
             F.sum("__n").alias("n"), F.sum("__s").alias("s"), F.sum(F.col("__x") * F.col("__n")).alias("sx"),
-            F.sum(F.col("__x") * F.col("__x") * F.col("__n")).alias("sxx"), F.countDistinct("__x").alias("values"),
-        ).filter((F.col("n") > min_n) & (F.col("s") > 0) & (F.col("s") < F.col("n")) & (F.col("values") > 1))
+            F.sum(F.col("__x") * F.col("__x") * F.col("__n")).alias("sxx"), (F.min("__x") < F.max("__x")).alias("varies"),
+        ).filter((F.col("n") > min_n) & (F.col("s") > 0) & (F.col("s") < F.col("n")) & F.col("varies"))
         # One row per group: subjects x genders x categories, coded lists all of them.
         fits = {}
         for r in summary.collect():

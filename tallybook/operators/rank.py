@@ -39,6 +39,17 @@ def dense_rank_desc(value: str, group: Sequence[str] = ()) -> Column:
     return F.when(F.col(value).isNotNull(), F.dense_rank().over(window))
 
 
+def _with_cuts_below(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
+    """Number of the (sorted, distinct) cut points below a value, by halving: compiled comparisons, no lambda."""
+    df = df.withColumn(name, F.lit(0))
+    step = 1 << (buckets - 1).bit_length() - 1
+    while step:
+        passed = F.coalesce(F.get("__cuts", F.col(name) + (step - 1)) < F.col(value), F.lit(False))
+        df = df.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))
+        step //= 2
+    return df
+
+
 def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: str, buckets: int = BUCKETS) -> DataFrame:
     """Exact ``rank`` (1..n per group, by ``order`` then ``tie``) and group size ``size`` for groups of any size.
 
@@ -49,17 +60,20 @@ def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: s
     """
     steps = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(order, steps, 10 * buckets)).alias("__cuts"))
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
-    on_cut = F.array_contains("__cuts", F.col(order)).cast("int")
-    placed = attach_bounded(df, cuts, groups).withColumn("__bucket", 2 * below + on_cut).drop("__cuts")
+    placed = _with_cuts_below(attach_bounded(df, cuts, groups), order, "__below", buckets)
+    on_cut = F.coalesce(F.get("__cuts", F.col("__below")) == F.col(order), F.lit(False)).cast("int")
+    placed = placed.withColumn("__bucket", 2 * F.col("__below") + on_cut).drop("__cuts", "__below")
     keys = [*groups, "__bucket"]
+    # Single-value buckets several times the fair share: at most buckets / 4 of them in a group.
+    filled = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
+    fair = F.sum("__n").over(Window.partitionBy(*groups)) / buckets
+    hot = filled.withColumn("__fair", fair).filter((F.col("__bucket") % 2 == 1) & (F.col("__n") > 4 * F.col("__fair")))
     tie_cuts = (
-        placed.filter("__bucket % 2 = 1")
+        attach_bounded(placed, hot.select(*keys), keys)
         .groupBy(*keys)
         .agg(F.array_distinct(F.percentile_approx(tie, steps, 10 * buckets)).alias("__cuts"))
     )
-    below_tie = F.size(F.filter("__cuts", lambda c: c < F.col(tie)))
-    placed = attach_bounded(placed, tie_cuts, keys, "left").withColumn("__sub", F.coalesce(below_tie, F.lit(0))).drop("__cuts")
+    placed = _with_cuts_below(attach_bounded(placed, tie_cuts, keys, "left"), tie, "__sub", buckets).drop("__cuts")
     keys = [*keys, "__sub"]
     counts = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*groups)

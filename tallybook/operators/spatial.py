@@ -22,12 +22,12 @@ def _cell(level: int, levels: int, ix: Column, iy: Column) -> list[Column]:
     return [F.floor(ix / shrink).alias("cx"), F.floor(iy / shrink).alias("cy")]
 
 
-def _box_gap(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low - value, value - high, F.lit(0.0))
+def _box_gap(value: Column, low: str, high: str) -> Column:
+    return F.greatest(F.col(low) - value, value - F.col(high), F.lit(0.0))
 
 
-def _box_reach(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(F.abs(value - low), F.abs(high - value))
+def _box_reach(value: Column, low: str, high: str) -> Column:
+    return F.greatest(F.abs(value - F.col(low)), F.abs(F.col(high) - value))
 
 
 def nearest_distance(
@@ -52,10 +52,10 @@ def nearest_distance(
 
     # One row per distinct location keeps a hot location from being searched more than once.
     places = points.select(F.col(x).alias("px"), F.col(y).alias("py")).dropna().distinct()
-    top = leaves.select(*_cell(0, levels, F.col("ix"), F.col("iy")), "x0", "x1", "y0", "y1").groupBy("cx", "cy").agg(*box)
+    top = leaves.select(*_cell(0, levels, F.col("ix"), F.col("iy"))).distinct()
     # At most four cells, held in one array.
-    tops = top.agg(F.collect_list(F.struct("cx", "cy", "x0", "x1", "y0", "y1"))).scalar()
-    found = places.withColumn("tops", tops).select("px", "py", _prune(F.col("tops")).alias("cells"))
+    tops = top.agg(F.collect_list(F.struct(F.col("cx").alias("parent_x"), F.col("cy").alias("parent_y")))).scalar()
+    found = places.withColumn("cell", F.explode(tops)).select("px", "py", "cell.*")
 
     for level in range(1, levels + 1):
         parent = [c.alias(n) for c, n in zip(_cell(level - 1, levels, F.col("ix"), F.col("iy")), ("parent_x", "parent_y"))]
@@ -63,41 +63,30 @@ def nearest_distance(
             leaves.select(*parent, *_cell(level, levels, F.col("ix"), F.col("iy")), "x0", "x1", "y0", "y1")
             .groupBy("parent_x", "parent_y", "cx", "cy")
             .agg(*box)
-            .groupBy("parent_x", "parent_y")
-            .agg(F.collect_list(F.struct("cx", "cy", "x0", "x1", "y0", "y1")).alias("children"))
         )
+        px, py = F.col("px"), F.col("py")
+        low = F.pow(_box_gap(px, "x0", "x1"), 2) + F.pow(_box_gap(py, "y0", "y1"), 2)
+        high = F.pow(_box_reach(px, "x0", "x1"), 2) + F.pow(_box_reach(py, "y0", "y1"), 2)
+        bounded = found.join(children, ["parent_x", "parent_y"]).select("px", "py", "cx", "cy", low.alias("low"), high.alias("high"))
+        # A place's candidates are few; the smallest upper bound decides which of them stay. A hair of slack
+        # keeps rounding of the bounds from dropping the true nearest cell.
         found = (
-            found.select("px", "py", F.explode("cells").alias("cell"))
-            .select("px", "py", F.col("cell.cx").alias("parent_x"), F.col("cell.cy").alias("parent_y"))
-            .join(children, ["parent_x", "parent_y"])
-            .groupBy("px", "py")
-            .agg(F.flatten(F.collect_list("children")).alias("cells"))
-            .withColumn("cells", _prune(F.col("cells")))
+            bounded.groupBy("px", "py")
+            .agg(
+                (F.min("high") * (1 + 1e-9)).alias("best"),
+                F.collect_list(F.struct(F.col("cx").alias("parent_x"), F.col("cy").alias("parent_y"), "low")).alias("cells"),
+            )
+            .select("px", "py", "best", F.explode("cells").alias("cell"))
+            .filter("cell.low <= best")
+            .select("px", "py", "cell.parent_x", "cell.parent_y")
         )
 
     distance = F.sqrt(F.pow(F.col("rx") - F.col("px"), 2) + F.pow(F.col("ry") - F.col("py"), 2))
     nearest = (
-        found.select("px", "py", F.explode("cells").alias("cell"))
-        .select("px", "py", F.col("cell.cx").alias("ix"), F.col("cell.cy").alias("iy"))
-        .join(refs, ["ix", "iy"])
+        found.join(refs, (F.col("parent_x") == refs["ix"]) & (F.col("parent_y") == refs["iy"]))
         .groupBy("px", "py")
         .agg(F.min(distance).alias("distance"))
     )
     out = points.join(nearest, (points[x] == nearest["px"]) & (points[y] == nearest["py"]), "left").select(*id_cols, "distance")
     return out if cutoff is None else out.withColumn("near", F.col("distance") <= cutoff)
 
-
-def _prune(cells: Column) -> Column:
-    """Keep the cells that can still hold the nearest reference point of (px, py)."""
-    px, py = F.col("px"), F.col("py")
-    bounded = F.transform(
-        cells,
-        lambda c: F.struct(
-            c["cx"].alias("cx"), c["cy"].alias("cy"),
-            (F.pow(_box_gap(px, c["x0"], c["x1"]), 2) + F.pow(_box_gap(py, c["y0"], c["y1"]), 2)).alias("low"),
-            (F.pow(_box_reach(px, c["x0"], c["x1"]), 2) + F.pow(_box_reach(py, c["y0"], c["y1"]), 2)).alias("high"),
-        ),
-    )
-    best = F.array_min(F.transform(bounded, lambda c: c["high"]))
-    # A hair of slack so that rounding of the bounds can never drop the true nearest cell.
-    return F.filter(bounded, lambda c: c["low"] <= best * (1 + 1e-9))
