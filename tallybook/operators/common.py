@@ -13,12 +13,17 @@ from ..session import cut_lineage
 def percent(part, whole, digits: int | None = 1) -> Column:
     """100 * part / whole; null when the whole is zero or null."""
     value = F.try_divide(F.lit(100.0) * _col(part), _col(whole))
-    return value if digits is None else F.round(value, digits)
+    return value if digits is None else half_up(value, digits)
 
 
 def ratio(part, whole, digits: int | None = 1) -> Column:
     value = F.try_divide(_col(part).cast("double"), _col(whole))
-    return value if digits is None else F.round(value, digits)
+    return value if digits is None else half_up(value, digits)
+
+
+def half_up(value: Column, digits: int) -> Column:
+    """Half-up rounding of a quotient; the inner step lifts ties that binary division left a hair below."""
+    return F.round(F.round(value, 9), digits)
 
 
 def fixed(value, digits: int) -> Column:

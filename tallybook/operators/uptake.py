@@ -36,6 +36,11 @@ PROFILE_SUMS = [
 ]
 
 
+def _stable_sum(value) -> Column:
+    """Sum of fractions rounded far below any published digit, so that it does not depend on the order of addition."""
+    return F.round(F.sum(value), 6)
+
+
 def provider_profile(cohort: DataFrame, attributes: Sequence[str] = ()) -> DataFrame:
     """Per provider: pupils and sum of pupil means; for takers: pupils, focus grades, their pupil means."""
     taker_mean = F.when(sits(), F.col("mean_points"))
@@ -43,10 +48,10 @@ def provider_profile(cohort: DataFrame, attributes: Sequence[str] = ()) -> DataF
         cohort.groupBy("provider", *attributes)
         .agg(
             F.count("*").alias("students"),
-            F.sum("mean_points").alias("total_grade"),
+            _stable_sum("mean_points").alias("total_grade"),
             F.count("focus_points").alias("sub_students"),
             F.sum("focus_points").alias("sub_grade"),
-            F.sum(taker_mean).alias("sub_all_grades"),
+            _stable_sum(taker_mean).alias("sub_all_grades"),
         )
         .withColumn("schools", F.lit(1).cast("long"))
         .withColumn("sub_schools", (F.col("sub_students") > 0).cast("long"))
@@ -79,7 +84,8 @@ def criteria_counts(profiles: DataFrame, labels: Sequence[str]) -> DataFrame:
     known = profiles.filter(
         F.col(labels[0]).isNotNull() & ~F.col(labels[0]).isin("", "Not applicable")
     )
-    table = known.groupBy(*labels).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in PROFILE_SUMS])
+    sums = [_stable_sum(c) if c.endswith(("grade", "grades")) else F.sum(c) for c in PROFILE_SUMS]
+    table = known.groupBy(*labels).agg(*[F.coalesce(s, F.lit(0)).alias(c) for s, c in zip(sums, PROFILE_SUMS)])
     table = disclose.round_if_any_small(table, "sub_students", "sub_schools")
     table = totals.total_row(table, labels, PROFILE_SUMS)
     return table.withColumns({name: make() for name, make in CRITERIA_RATIOS.items()})

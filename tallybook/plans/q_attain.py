@@ -203,7 +203,7 @@ def _(t):
 
 GAP_CATEGORIES = ["Boys_O", "Girls_F", "Mixed_F", "Mixed_O"]
 GAP_SQL = ", ".join(
-    f"CASE WHEN count(CASE WHEN category = '{c}' THEN 1 END) > 0 THEN printf('%.2f', round(avg(CASE WHEN category = '{c}' THEN {v} END), 2)::DOUBLE) || '(' || "
+    f"CASE WHEN count(CASE WHEN category = '{c}' THEN 1 END) > 0 THEN printf('%.2f', round(avg(CASE WHEN category = '{c}' THEN {v} END), 2)::DOUBLE + 0.0) || '(' || "
     f"coalesce(printf('%.2f', round(stddev_samp(CASE WHEN category = '{c}' THEN {v} END), 2)::DOUBLE), 'null') || ')' END AS \"{w}_{c}\""
     for w, v in (("focus", "points"), ("diff", "points - other_mean")) for c in GAP_CATEGORIES
 )

@@ -197,13 +197,13 @@ def _(t):
 
 
 @query("map_safe_value", SMALL_SQL + """, m AS (SELECT provider, total, CASE WHEN part BETWEEN 1 AND 2 THEN 'X' ELSE CAST(part AS VARCHAR) END AS part,
-    CASE WHEN part BETWEEN 1 AND 2 THEN 'X' ELSE printf('%.1f', per::DOUBLE) END AS per FROM small)
+    CASE WHEN part BETWEEN 1 AND 2 THEN 'X' ELSE printf('%.1f', round(per, 1)::DOUBLE) END AS per FROM small)
   SELECT provider, total, CASE WHEN part = 'X' THEN 6.0::DOUBLE ELSE TRY_CAST(part AS DOUBLE) END AS part,
     CASE WHEN per = 'X' THEN CASE WHEN 600.0 / total > 5 THEN 5.0::DOUBLE ELSE 600.0::DOUBLE / total END ELSE TRY_CAST(per AS DOUBLE) END AS per FROM m""")
 def _(t):
     few = F.col("part").between(1, 2)
     table = small(t).select(
-        "provider", "total", F.when(few, "X").otherwise(F.format_string("%.1f", "per")).alias("per"),
+        "provider", "total", F.when(few, "X").otherwise(F.format_string("%.1f", F.round("per", 1))).alias("per"),
         F.when(few, "X").otherwise(F.col("part").cast("string")).alias("part"),
     )
     return disclose.map_safe_values(table, "total", "part", "per")

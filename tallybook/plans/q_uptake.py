@@ -24,8 +24,8 @@ def _(t):
 
 
 PROFILE_SQL = """profiles AS (SELECT provider, trust, sch_type, sch_gender, selective, sch_urban, authority, region, easting,
-    count(*) AS students, sum(mean_points) AS total_grade, count(focus_points) AS sub_students, sum(focus_points) AS sub_grade,
-    sum(CASE WHEN focus_points IS NOT NULL THEN mean_points END) AS sub_all_grades, CAST(1 AS BIGINT) AS schools,
+    count(*) AS students, round(sum(mean_points), 6) AS total_grade, count(focus_points) AS sub_students, sum(focus_points) AS sub_grade,
+    round(sum(CASE WHEN focus_points IS NOT NULL THEN mean_points END), 6) AS sub_all_grades, CAST(1 AS BIGINT) AS schools,
     CAST(count(focus_points) > 0 AS BIGINT) AS sub_schools FROM cohort GROUP BY ALL)"""
 ATTRIBUTES = ["trust", "sch_type", "sch_gender", "selective", "sch_urban", "authority", "region", "easting"]
 
@@ -50,7 +50,7 @@ def criteria_sql(labels: dict[str, str], source: str = "profiles") -> str:
     keys = ", ".join(names)
     totals = ", ".join([f"'Totals' AS {names[0]}", *[f"'' AS {n}" for n in names[1:]]])
     sums = ["schools", "students", "sub_schools", "sub_students", "total_grade", "sub_all_grades", "sub_grade"]
-    grouped = ", ".join(f"coalesce(sum({c}), 0) AS {c}" for c in sums)
+    grouped = ", ".join(f"coalesce(round(sum({c}), 6), 0) AS {c}" for c in sums)
     rounded = ", ".join(
         c if c != "sub_students" else
         "CASE WHEN (SELECT any_close FROM closest) AND sub_students <> 0 THEN greatest(round(sub_students / 5) * 5, 5) ELSE sub_students END AS sub_students"
@@ -62,7 +62,7 @@ def criteria_sql(labels: dict[str, str], source: str = "profiles") -> str:
                 f"WHEN NOT is_total AND {providers} > {students} - 5 THEN 'X' ELSE {value} END")
 
     def decimal(expr):
-        return f"CAST(coalesce(round({expr}, 1), 0.0)::DOUBLE AS VARCHAR)"
+        return f"CAST(coalesce(round(round({expr}, 9), 1), 0.0)::DOUBLE AS VARCHAR)"
 
     sub = ("sub_schools", "sub_students")
     return f"""labelled AS (SELECT {cols}, * EXCLUDE ({", ".join(n for n in names if n in PROFILE_COLUMNS) or "schools"}){', schools' if not any(n in PROFILE_COLUMNS for n in names) else ''} FROM {source}),
