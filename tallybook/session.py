@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +31,29 @@ def local_session(cpus: int | str = 8, app: str = "tallybook", memory: str = "8g
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir`` or the checkpoint folder already set.
+
+    Where neither is set, a local session (tests, bench) uses a folder in its warehouse; a cluster session gets an
+    error, since a folder of one machine would lose rows without a word.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallybook"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names; a private folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallybook-"))
+    """Reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for intermediate files, in the cluster's shared folder where one is configured."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tallybook-{uuid.uuid4().hex}"
+    """A new folder for intermediate files in the shared folder."""
+    return f"{shared_folder(spark)}/tallybook-{uuid.uuid4().hex}"
