@@ -1 +1,10 @@
-"""Operators for large training-data pipelines; nothing else in the library imports this folder."""
+"""Operators for large training-data pipelines; nothing else in the library imports this folder.
+
+Functions of this folder that run inside tasks travel with the job, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

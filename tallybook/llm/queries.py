@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import phrases, placement, reputation
+from . import lsh_forest, phrases, placement, reputation
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -102,3 +102,9 @@ SELECT doc_id, slot, 'shard-' || lpad(o[slot + 1], 3, '0') AS shard FROM keyed,
 def op10_permutation_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return placement.place(docs, placement.document_key(), SHARDS).select("doc_id", "slot", "shard")
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    docs = lsh_forest.jaccard_classes(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
