@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lsh_forest, phrases, placement, reputation
+from . import lsh_forest, phrases, placement, reputation, suffixes
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -108,3 +108,29 @@ def op10_permutation_sharding(spark, sf_dir):
 def op6_jaccard_join(spark, sf_dir):
     docs = lsh_forest.jaccard_classes(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT uid, p, md5(b[p : p + 399]) AS h FROM (SELECT uid, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT uid, p, CASE WHEN p - lag(p) OVER (PARTITION BY uid ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN again USING (h)),
+numbered AS (SELECT uid, p, sum(fresh) OVER (PARTITION BY uid ORDER BY p) AS g FROM starts),
+spans AS (SELECT uid, min(p) AS a, max(p) + 400 AS e FROM numbered GROUP BY uid, g),
+cuts AS (SELECT uid, list(a ORDER BY a) AS firsts, list(e ORDER BY a) AS ends, sum(e - a) AS n FROM spans GROUP BY uid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(len(firsts), 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN firsts IS NULL THEN b ELSE list_reduce(
+         list_transform(range(1, len(firsts) + 2), lambda i: b[(CASE WHEN i = 1 THEN 1 ELSE ends[i - 1] END) : (CASE WHEN i > len(firsts) THEN octet_length(b) ELSE firsts[i] - 1 END)]),
+         lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN cuts USING (uid)
+"""
+
+
+@query("op5_suffix_merge", OP5_SQL)
+def op5_suffix_merge(spark, sf_dir):
+    cut = suffixes.cut_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return cut.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
