@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lsh_forest, phrases, placement, reputation, suffixes
+from . import labelled, line_crf, lsh_forest, mixing, phrases, placement, reputation, severity, suffixes
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -15,6 +15,8 @@ URL_RULES = (
     reputation.Rule("allow", "org", "/fr/"),
 )
 
+TARGETS = {"en": 0.55, "de": 0.15, "es": 0.12, "fr": 0.18}
+
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 LEVEL_SQL = """
@@ -134,3 +136,33 @@ def op5_suffix_merge(spark, sf_dir):
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def domain_labels(docs, labels):
+    """Labelled documents with their language as the domain."""
+    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+
+
+@query("op1_soft_mixing")
+def op1_soft_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    drawn = docs.withColumn("draw", mixing.draw_of())
+    rates, model, _ = mixing.mixed_rates(drawn, domain_labels(docs, table(spark, sf_dir, "labels")), TARGETS, keep=("doc_id", "draw"))
+    names = [F.element_at("posterior", i + 1).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rates.select("doc_id", "tokens", *names, "rate", mixing.copies(F.col("rate"), F.col("draw")).alias("copies"))
+
+
+@query("op2_line_crf")
+def op2_line_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", labelled.held_out().alias("held_out"), line_crf.quality(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_severity")
+def op9_severity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = severity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", labelled.held_out().alias("held_out"), severity.severity(model, F.col("text")).alias("s"))
+    return scored.select("doc_id", "held_out", "s.severity", "s.grade", "s.toxic")
