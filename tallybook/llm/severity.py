@@ -17,7 +17,8 @@ from .textbatch import pieces, span_hashes, word_hashes
 @dataclass(frozen=True)
 class Fit:
     """``per_class`` documents of each label with at most ``most_features`` features are drawn. A feature gets a weight
-    if ``support`` of them hold it and its likelihood ratio statistic between clean and toxic ones reaches ``evidence``."""
+    if ``support`` of them hold it, its likelihood ratio statistic between clean and toxic ones reaches ``evidence``, and
+    it is among the ``kept`` strongest."""
 
     per_class: int = 4000
     most_features: int = 100_000
@@ -25,9 +26,9 @@ class Fit:
     stems: tuple[int, ...] = (4, 6)
     support: int = 5
     evidence: float = 20.0
-    steps: int = 600
-    rate: float = 0.5
-    lasso: float = 1e-6
+    kept: int = 1024
+    steps: int = 25
+    ridge: float = 0.1
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray, bits: int, stems: tuple
 
 
 def grades(rows: list[np.ndarray], toxic: np.ndarray, support: int) -> np.ndarray:
-    """Severity of labelled documents: 0 clean; toxic ones 1, or 2 where the share of telling features is over the median.
+    """Severity of labelled documents: 0 clean; toxic ones 1, or 2 where the number of telling features is over the median.
 
     A feature is telling when ``support`` toxic documents hold it, and nine in ten of the documents that do are toxic.
     """
@@ -64,8 +65,8 @@ def grades(rows: list[np.ndarray], toxic: np.ndarray, support: int) -> np.ndarra
     bad, bad_counts = np.unique(np.concatenate([r for r, t in zip(rows, toxic) if t]), return_counts=True)
     whole = counts[np.searchsorted(values, bad)]
     telling = bad[(bad_counts >= support) & (bad_counts >= 0.9 * whole)]
-    share = np.array([np.isin(r, telling).mean() if len(r) else 0.0 for r in rows])
-    grade[toxic & (share > np.median(share[toxic]))] = 2
+    held = np.array([np.isin(r, telling).sum() for r in rows])
+    grade[toxic & (held > np.median(held[toxic]))] = 2
     return grade
 
 
@@ -84,42 +85,60 @@ def telling_features(rows: list[np.ndarray], toxic: np.ndarray, p: Fit) -> np.nd
     for count, expected in ((bad, (bad + good) * share), (good, (bad + good) * (1 - share))):
         some = count > 0
         ratio[some] += 2 * count[some] * np.log(count[some] / expected[some])
-    return values[(bad + good >= p.support) & (ratio >= p.evidence)]
+    ratio[(bad + good < p.support) | (ratio < p.evidence)] = 0
+    best = np.lexsort((values, -ratio))[: p.kept]
+    return np.sort(values[best[ratio[best] > 0]])
+
+
+def grade_chances(z: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chance of each grade, density of each cut) at the scores ``z``."""
+    below = sigmoid(cuts[None, :] - z[:, None])
+    chance = np.diff(np.concatenate([np.zeros((len(z), 1)), below, np.ones((len(z), 1))], axis=1), axis=1)
+    return np.maximum(chance, 1e-9), below * (1 - below)
 
 
 def fit(rows: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, p: Fit) -> SeverityModel:
-    """Proximal adaptive gradient steps on the cumulative-link likelihood, with a lasso on the shared weights."""
-    levels = 3
+    """Fisher scoring of the ridge-penalised cumulative-link likelihood in the shared weights and both cuts."""
     kept = telling_features(rows, grade > 0, p)
     if not len(kept):
-        return SeverityModel(kept, np.zeros(0), np.array([2.0, 4.0]), p.bits, p.stems)
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    known = np.isin(flat, kept)
-    column, owner = np.searchsorted(kept, flat[known]), owner[known]
-    weight = weight / weight.sum()
-    share = np.array([weight[grade <= j].sum() for j in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
-    cuts = np.log(share / (1 - share))
-    gaps = np.array([cuts[0], np.log(max(cuts[1] - cuts[0], 1e-3))])
-    theta, g2, c2 = np.zeros(len(kept)), np.full(len(kept), 1e-12), np.full(2, 1e-12)
+        return SeverityModel(kept, np.zeros(0), np.array([3.0, 6.0]), p.bits, p.stems)
+    x = np.zeros((len(rows), len(kept)))
+    for i, r in enumerate(rows):
+        x[i, np.searchsorted(kept, r[np.isin(r, kept)])] = 1
+    share = np.array([weight[grade <= j].sum() for j in (0, 1)]) / weight.sum()
+    share = np.clip(share + np.array([0.0, 1e-3]), 1e-3, 1 - np.array([2e-3, 1e-3]))
+    cuts, theta = np.log(share / (1 - share)), np.zeros(len(kept))
+    own = np.arange(len(rows))
+
+    def worth(theta: np.ndarray, cuts: np.ndarray) -> float:
+        if cuts[1] <= cuts[0]:
+            return -np.inf
+        return float((weight * np.log(grade_chances(x @ theta, cuts)[0][own, grade])).sum() - p.ridge / 2 * (theta @ theta))
+
+    now = worth(theta, cuts)
     for _ in range(p.steps):
-        z = np.bincount(owner, theta[column], minlength=len(rows))
-        cuts = np.array([gaps[0], gaps[0] + np.exp(gaps[1])])
-        upper = np.where(grade == 2, 1.0, sigmoid(cuts[np.minimum(grade, 1)] - z))
-        lower = np.where(grade == 0, 0.0, sigmoid(cuts[np.maximum(grade - 1, 0)] - z))
-        chance = np.maximum(upper - lower, 1e-12)
-        up, low = upper * (1 - upper), lower * (1 - lower)
-        slope = weight * (up - low) / chance  # of the loss in z
-        grad = np.bincount(column, slope[owner], minlength=len(kept))
-        by_cut = np.array([-(weight * np.where(grade == j, up, np.where(grade == j + 1, -low, 0)) / chance).sum() for j in range(2)])
-        by_gap = np.array([by_cut.sum(), by_cut[1] * np.exp(gaps[1])])
-        g2, c2 = g2 + grad * grad, c2 + by_gap * by_gap
-        step = p.rate / np.sqrt(g2)
-        theta = theta - step * grad
-        theta = np.sign(theta) * np.maximum(np.abs(theta) - step * p.lasso, 0)
-        gaps = gaps - p.rate / np.sqrt(c2) * by_gap
-    used = theta != 0
-    return SeverityModel(kept[used], theta[used], np.array([gaps[0], gaps[0] + np.exp(gaps[1])]), p.bits, p.stems)
+        chance, u = grade_chances(x @ theta, cuts)
+        zero = np.zeros(len(rows))
+        by_z = np.stack([-u[:, 0], u[:, 0] - u[:, 1], u[:, 1]], axis=1)  # change of each grade's chance with the score
+        by_cut = [np.stack([u[:, 0], -u[:, 0], zero], axis=1), np.stack([zero, u[:, 1], -u[:, 1]], axis=1)]
+        slopes = [weight * d[own, grade] / chance[own, grade] for d in (by_z, *by_cut)]
+        score = np.concatenate([x.T @ slopes[0] - p.ridge * theta, [slopes[1].sum(), slopes[2].sum()]])
+        cross = [[(weight[:, None] * a * b / chance).sum(axis=1) for b in (by_z, *by_cut)] for a in (by_z, *by_cut)]
+        n = len(kept)
+        info = np.zeros((n + 2, n + 2))
+        info[:n, :n] = x.T @ (x * cross[0][0][:, None]) + p.ridge * np.eye(n)
+        for j in (0, 1):
+            info[:n, n + j] = info[n + j, :n] = x.T @ cross[0][j + 1]
+            info[n, n + j] = info[n + j, n] = cross[1][j + 1].sum()
+        info[n + 1, n + 1] = cross[2][2].sum()
+        move = np.linalg.solve(info + 1e-6 * np.eye(n + 2), score)
+        size = 1.0
+        while size > 1e-4 and not (better := worth(theta + size * move[:n], cuts + size * move[n:])) > now:
+            size /= 2
+        if size <= 1e-4 or better - now < 1e-6 * abs(now):
+            break
+        theta, cuts, now = theta + size * move[:n], cuts + size * move[n:], better
+    return SeverityModel(kept, theta, cuts, p.bits, p.stems)
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Fit = Fit()) -> SeverityModel:
@@ -152,8 +171,7 @@ def chances(model: SeverityModel, data: np.ndarray, offsets: np.ndarray) -> np.n
         value = np.where(model.features[at] == found, model.weights[at], 0.0)
         sums = np.concatenate([[0.0], np.cumsum(value)])
         z = sums[first[1:]] - sums[first[:-1]]
-    below = sigmoid(model.cuts[None, :] - z[:, None])
-    return np.diff(np.concatenate([np.zeros((len(z), 1)), below, np.ones((len(z), 1))], axis=1), axis=1)
+    return grade_chances(z, model.cuts)[0]
 
 
 def severity(model: SeverityModel, text: Column) -> Column:
