@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 SEED = 20240229
 
 LOWER = np.arange(256, dtype=np.uint8)
