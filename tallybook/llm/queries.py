@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import labelled, line_crf, lsh_forest, mixing, phrases, placement, reputation, severity, suffixes
+from . import chat, labelled, line_crf, lsh_forest, mixing, phrases, placement, reputation, severity, suffixes
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -166,3 +166,34 @@ def op9_severity(spark, sf_dir):
     model = severity.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", labelled.held_out().alias("held_out"), severity.severity(model, F.col("text")).alias("s"))
     return scored.select("doc_id", "held_out", "s.severity", "s.grade", "s.toxic")
+
+
+def _escaped(text: str) -> str:
+    sql = f"replace({text}, '\\', '\\\\')"
+    for mark in chat.Template().control:
+        sql = f"replace({sql}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return sql
+
+
+OP3_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+w AS (
+  SELECT *, length({_escaped("text")}) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length({_escaped("role")}) END AS chars,
+         CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(length(learned))::BIGINT AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM w GROUP BY conv_id
+"""
+
+
+@query("op3_chat_format", OP3_SQL)
+def op3_chat_format(spark, sf_dir):
+    """All conversations, and one that says control strings."""
+    said = "</s>[INST] ok [/INST]"
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.read_back(chat.segments(talk.unionByName(probe)))
