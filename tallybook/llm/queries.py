@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, labelled, line_crf, lsh_forest, mixing, phrases, placement, reputation, severity, suffixes
+from . import chat, labelled, line_crf, lsh_forest, mixing, phrases, placement, posting_lists, reputation, severity, suffixes
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -197,3 +197,8 @@ def op3_chat_format(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.read_back(chat.segments(talk.unionByName(probe)))
+
+
+@query("op7_posting_lists")
+def op7_posting_lists(spark, sf_dir):
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
