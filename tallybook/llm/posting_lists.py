@@ -17,8 +17,8 @@ from .textbatch import SEED
 class Lists:
     """``sample``: vectors the index is fitted on at most. ``list_size``: vectors a list should hold, ``most_lists`` bounds
     their number and so the broadcast centroids. A vector is filed in the lists whose centroids are at most ``spread``
-    times as far as the nearest, in ``replicas`` at most; a query reads the lists up to ``ratio`` times as far. ``beam``:
-    centroids kept by the graph search, ``degree``: neighbours of a centroid in the graph. ``block``: vectors of a list
+    times as far as the nearest, in ``replicas`` at most; a query reads the lists up to ``ratio`` times as far. ``beam``
+    (of a query) and ``filing_beam``: centroids kept by a graph search, ``degree``: neighbours of a centroid in the graph. ``block``: vectors of a list
     that one task compares."""
 
     sample: int = 20_000
@@ -26,8 +26,9 @@ class Lists:
     most_lists: int = 4096
     spread: float = 1.1
     replicas: int = 4
-    ratio: float = 1.35
+    ratio: float = 1.2
     beam: int = 128
+    filing_beam: int = 16
     degree: int = 24
     block: int = 4000
 
@@ -122,14 +123,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _file(graph: Graph, p: Lists, dim: int, reach: float, most: int | None):
+def _file(graph: Graph, beam: int, dim: int, reach: float, most: int | None):
     """Tasks that name the lists of each vector: near enough by ratio, the nearest always."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                ids, d = search_graph(graph, _matrix(part.column("vector"), dim), p.beam)
+                ids, d = search_graph(graph, _matrix(part.column("vector"), dim), beam)
                 chosen = d <= d[:, :1] * reach + 1e-12
                 if most is not None:
                     chosen[:, most:] = False
@@ -198,8 +199,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, p: Lists = Lists()
     graph = build_graph(balanced_centroids(points, lists, rng), p.degree, rng)
 
     filed_schema = "vid long, vector array<double>, list int"
-    filed = stored(entries.select("vid", "vector").mapInArrow(_file(graph, p, dim, p.spread, p.replicas), filed_schema), "lists")
-    asked = stored(entries.filter("asks").select("vid", "vector").mapInArrow(_file(graph, p, dim, p.ratio, None), filed_schema), "asked")
+    filed = stored(entries.select("vid", "vector").mapInArrow(_file(graph, p.filing_beam, dim, p.spread, p.replicas), filed_schema), "lists")
+    asked = stored(entries.filter("asks").select("vid", "vector").mapInArrow(_file(graph, p.beam, dim, p.ratio, None), filed_schema), "asked")
     sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
     sizes = F.broadcast(stored(sizes, "sizes"))  # one row a list, at most ``most_lists``
     left = filed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).join(entries.select("vid", "low"), "vid")
