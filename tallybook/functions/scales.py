@@ -129,3 +129,12 @@ def stars(p: Column, blank: str = " ") -> Column:
 def starred(value: Column, p: Column, digits: int = 3, blank: str = " ") -> Column:
     """Number with fixed decimals followed by its marks."""
     return F.concat(F.format_string(f"%.{digits}f", F.round(value, digits)), stars(p, blank))
+
+
+# --- Fixed values: names of the computing subjects. ---
+COMPUTING_SUBJECTS = [
+    "Office Technology", "Computer Appreciation / Introduction", "ICT", "Computing", "D&T Sys & Control",
+    "Handling & Interpreting Data", "Applied ICT", "Music Technology (Electronic)", "Computer Architecture / Systems",
+    "Keyboarding", "Applications", "WebSite Development", "Computer help", "desk Operations",
+    "Systems / Network Management", "Computer Games", "Electronic / Electrical Engineering",
+]

@@ -265,8 +265,8 @@ def entry_profile(
         people.select("pupil", "provider", "gender", F.col(prior).alias("__prior")), ["pupil", "provider"]
     ).filter(F.col("__prior").isNotNull() & F.col("gender").isin(female, male))
     moments = [
-        F.count("*").alias("n"), F.round(F.avg("__prior"), 4).alias("mean"), F.round(F.stddev_samp("__prior"), 4).alias("sd"),
-        F.round(F.avg("__attribute"), 4).alias("a_mean"), F.round(F.stddev_samp("__attribute"), 4).alias("a_sd"),
+        F.count("*").alias("n"), F.round(F.avg("__prior"), 9).alias("mean"), F.stddev_samp("__prior").alias("sd"),
+        F.round(F.avg("__attribute"), 9).alias("a_mean"), F.stddev_samp("__attribute").alias("a_sd"),
     ]
     # Everyone sits the attribute subject once, so its rows are the population.
     everyone = rows.filter(F.col("subject") == attribute).groupBy("gender").agg(*moments).withColumn("subject", F.lit("All"))

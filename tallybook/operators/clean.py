@@ -71,10 +71,11 @@ def rescale_points(results: DataFrame, reformed: Sequence[str] = tuple(scales.RE
     return results.withColumn("points", scales.rescale_points(F.col("points"), F.col("subject"), reformed))
 
 
-def supersede_level(results: DataFrame, new_level, old_level) -> DataFrame:
-    """Drop old-level rows of any subject that occurs at the new level."""
-    replaced = results.filter(F.col("level") == new_level).select("subject").distinct()
-    old = results.filter(F.col("level") == old_level).join(replaced, "subject", "left_anti")
+def supersede_level(results: DataFrame, new_level, old_level, scope: Sequence[str] = ()) -> DataFrame:
+    """Drop old-level rows of any subject that occurs at the new level in the same scope (stage and year, say)."""
+    keys = [*scope, "subject"]
+    replaced = results.filter(F.col("level") == new_level).select(*keys).distinct()
+    old = results.filter(F.col("level") == old_level).join(replaced, keys, "left_anti")
     others = results.filter(~F.col("level").eqNullSafe(old_level))
     return others.unionByName(old)
 

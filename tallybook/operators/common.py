@@ -28,7 +28,7 @@ def half_up(value: Column, digits: int) -> Column:
 
 def fixed(value, digits: int) -> Column:
     """Number as text with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", F.round(_col(value), digits))
+    return F.format_string(f"%.{digits}f", half_up(_col(value), digits))
 
 
 def number(value) -> Column:
@@ -63,15 +63,15 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], *aggregates: Column) ->
     return null_safe_join(df, df.groupBy(*keys).agg(*aggregates), keys, "inner")
 
 
-def attach_bounded(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 10_000) -> DataFrame:
+def attach_bounded(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", max_bytes: int = 8 << 20) -> DataFrame:
     """Attach a table of group statistics whose size is checked first.
 
-    The statistics are computed once into the checkpoint folder and counted; up to ``max_rows`` rows are sent to
+    The statistics are computed once into the checkpoint folder and measured; up to ``max_bytes`` (as text) are sent to
     every task, so the big side is not shuffled by a key with few, possibly very unequal values. Beyond that it
     is an ordinary null-safe join.
     """
     stats = cut_lineage(stats)
-    small = stats.limit(max_rows + 1).count() <= max_rows
+    small = (stats.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= max_bytes
     return null_safe_join(df, F.broadcast(stats) if small else stats, keys, how)
 
 

@@ -139,9 +139,10 @@ def anonymise_table(
     return out.select(*table.columns)
 
 
-def year_on_year(table: DataFrame, triple: Triple, cutoff: int = CUTOFF) -> DataFrame:
-    """The year-on-year layout: suppression only, no totals."""
-    return masks_to_text(suppress_triple(table, triple, cutoff), triple[:2], triple[2:])
+def year_on_year(table: DataFrame, first: Triple, second: Triple, cutoff: int = CUTOFF) -> DataFrame:
+    """The year-on-year layout: the first triple is rounded, the second suppressed, and there are no totals."""
+    masked = suppress_triple(round_to_five(table, first), second, cutoff)
+    return masks_to_text(masked, [*first[:2], *second[:2]], [first[2], second[2]])
 
 
 def masks_to_text(table: DataFrame, counts: Sequence[str], percents: Sequence[str]) -> DataFrame:

@@ -24,6 +24,11 @@ def anti_filter(df: DataFrame, drop: DataFrame, *keys: str) -> DataFrame:
     return df.join(drop.select(*keys), list(keys), "left_anti")
 
 
+def filled_only(df: DataFrame, column: str) -> Column:
+    """The column in its own type, blank text as null."""
+    return blank_to_null(F.col(column)) if df.schema[column].dataType.simpleString() == "string" else F.col(column)
+
+
 def backfill_column(
     destination: DataFrame, source: DataFrame, column: str, new_name: str, key: str = "pupil"
 ) -> DataFrame:
@@ -34,16 +39,17 @@ def backfill_column(
     if column not in source.columns:
         return destination
     if new_name not in destination.columns:
-        destination = destination.withColumn(new_name, F.lit(None).cast("string"))
-    values = source.groupBy(key).agg(F.max(blank_to_null(F.col(column).cast("string"))).alias("__source"))
-    filled = F.coalesce(blank_to_null(F.col(new_name).cast("string")), F.col("__source"))
+        destination = destination.withColumn(new_name, F.lit(None).cast(source.schema[column].dataType))
+    kind = destination.schema[new_name].dataType
+    values = source.groupBy(key).agg(F.max(filled_only(source, column)).cast(kind).alias("__source"))
+    filled = F.coalesce(filled_only(destination, new_name), F.col("__source"))
     return destination.join(values, key, "left").withColumn(new_name, filled).drop("__source")
 
 
 def backfill_report(destination: DataFrame, source: DataFrame, column: str, new_name: str, key: str = "pupil") -> DataFrame:
     """Keys found on both sides and blanks the source can fill."""
-    values = source.groupBy(key).agg(F.max(blank_to_null(F.col(column).cast("string"))).alias("__source"))
-    blank = blank_to_null(F.col(new_name).cast("string")).isNull()
+    values = source.groupBy(key).agg(F.max(filled_only(source, column)).alias("__source"))
+    blank = filled_only(destination, new_name).isNull()
     return (
         destination.select(key, new_name)
         .join(values, key)
@@ -57,19 +63,20 @@ def backfill_report(destination: DataFrame, source: DataFrame, column: str, new_
 def backfill_across_years(
     destination: DataFrame, history: DataFrame, columns: dict[str, str], key: str = "pupil", year: str = "year"
 ) -> DataFrame:
-    """Fill blanks from the newest non-blank value over all years, for every column in one pass.
+    """Fill blanks from the newest non-blank value over all years, for every column in one pass and in its own type.
 
     One aggregation of the stacked history and one left join replace a join per column and year.
     """
     newest = []
     for column in columns:
-        value = blank_to_null(F.col(column).cast("string"))
+        value = filled_only(history, column)
         newest.append(F.max(F.when(value.isNotNull(), F.struct(F.col(year), value.alias("v")))).alias(f"__{column}"))
     out = destination.join(history.groupBy(key).agg(*newest), key, "left")
     for column, new_name in columns.items():
         source = F.col(f"__{column}.v")
-        own = blank_to_null(F.col(new_name).cast("string")) if new_name in destination.columns else None
-        out = out.withColumn(new_name, source if own is None else F.coalesce(own, source))
+        if new_name in destination.columns:
+            source = F.coalesce(filled_only(destination, new_name), source.cast(destination.schema[new_name].dataType))
+        out = out.withColumn(new_name, source)
     return out.drop(*[f"__{c}" for c in columns])
 
 
@@ -107,7 +114,9 @@ def attach_region(
     )
 
 
-def filter_mappings(results: DataFrame, levels: DataFrame, subjects: DataFrame, names: Sequence[str]) -> DataFrame:
+def filter_mappings(
+    results: DataFrame, levels: DataFrame, subjects: DataFrame, names: Sequence[str] = tuple(scales.COMPUTING_SUBJECTS)
+) -> DataFrame:
     """Distinct (level, subject) with their names, for subjects whose name is listed."""
     return (
         results.select("level", "subject")

@@ -83,7 +83,7 @@ def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: s
     ).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie))
     return (
-        attach_bounded(placed.withColumn("__inside", inside), offsets, keys, max_rows=200_000)
+        attach_bounded(placed.withColumn("__inside", inside), offsets, keys)
         .withColumn("rank", F.col("__inside") + F.col("__offset"))
         .drop("__inside", "__offset", "__bucket", "__sub")
     )

@@ -47,8 +47,8 @@ def complete_combinations(counts: DataFrame, axes: Sequence[str], pair: tuple[st
     The axes hold coded categories; their value sets are gathered by one aggregation of the counts.
     """
     sets = counts.agg(
-        *[F.array_distinct(F.collect_list(F.struct(a))).alias(a) for a in axes],
-        F.array_distinct(F.collect_list(F.struct(*pair))).alias("__pair"),
+        *[F.collect_set(F.struct(a)).alias(a) for a in axes],
+        F.collect_set(F.struct(*pair)).alias("__pair"),
     )
     for a in axes:
         sets = sets.withColumn(a, F.explode(a)).withColumn(a, F.col(f"{a}.{a}"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scales
 from . import disclose, profile, rank, totals
+from .clean import valid_providers
 from .common import count_if, null_safe_join, percent, ratio
 
 def sits() -> Column:
@@ -394,12 +395,13 @@ def provider_cohort_locations(cohort: DataFrame, providers: DataFrame, columns:
 # --- access ---------------------------------------------------------------------------------------------------
 
 
-def subject_access_all(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def subject_access_all(facts: DataFrame, by: Sequence[str] = (), bound: int = scales.FIRST_INVALID_PROVIDER) -> DataFrame:
     """For every subject: providers offering it, pupils at those providers, takers, with percentages.
 
-    One job for all subjects: facts shrink to (provider, subject) takers, which meet the provider sizes.
+    Providers from ``bound`` on are not valid and left out. One job for all subjects: facts shrink to (provider, subject) takers, which meet the provider sizes.
     """
     by = list(by)
+    facts = valid_providers(facts, bound)
     offered = facts.groupBy(*by, "provider", "subject").agg(F.count("*").alias("takers"))
     sizes = (
         facts.groupBy(*by, "pupil", "provider").agg(F.lit(1).alias("one"))
@@ -428,9 +430,9 @@ def subject_access_all(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     }).drop("__providers", "__students")
 
 
-def subject_access(cohort: DataFrame, focus: str) -> DataFrame:
-    """Access figures of one subject from the (pupil, provider) rows."""
-    per_provider = cohort.groupBy("provider").agg(
+def subject_access(cohort: DataFrame, focus: str, bound: int = scales.FIRST_INVALID_PROVIDER) -> DataFrame:
+    """Access figures of one subject from the (pupil, provider) rows of valid providers."""
+    per_provider = valid_providers(cohort, bound).groupBy("provider").agg(
         F.count("*").alias("students"), F.count("focus_points").alias("takers")
     )
     offers = F.col("takers") > 0

@@ -184,15 +184,15 @@ def _(t):
 
 def profile_sql(name: str, code: str) -> str:
     """Both averages of one gender: subjects are the top 25 of that gender's pupils with the prior and the attribute."""
-    text = "printf('%.2f(%.2f)', round({0}, 2)::DOUBLE, round({1}, 2)::DOUBLE)"
+    text = "printf('%.2f(%.2f)', round(round({0}, 9), 2)::DOUBLE, round(round({1}, 9), 2)::DOUBLE)"
     return f"""p{name} AS (SELECT c.pupil, c.provider, prior, f.points AS attribute FROM cohort c JOIN facts f ON c.pupil = f.pupil AND c.provider = f.provider AND f.subject = '{SECOND}'
     WHERE prior IS NOT NULL AND gender = '{code}'),
   f{name} AS (SELECT f.subject, p.prior, p.attribute FROM facts f JOIN p{name} p ON f.pupil = p.pupil AND f.provider = p.provider),
   n{name} AS (SELECT subject, row_number() OVER (ORDER BY count(*) DESC, subject) AS place FROM f{name} GROUP BY subject),
   s{name} AS (SELECT 'All' AS subject, prior, attribute FROM p{name} UNION ALL SELECT * FROM f{name} WHERE subject IN (SELECT subject FROM n{name} WHERE place < 25 OR subject = '{FOCUS}'
     OR (place = 25 AND (SELECT place FROM n{name} WHERE subject = '{FOCUS}') <= 25))),
-  a{name} AS (SELECT subject, count(*) AS n_{name}, round(avg(prior), 4) AS mean_{name}, {text.format("round(avg(prior), 4)", "round(stddev_samp(prior), 4)")} AS prior_{name},
-    {text.format("round(avg(attribute), 4)", "round(stddev_samp(attribute), 4)")} AS attribute_{name} FROM s{name} GROUP BY subject)"""
+  a{name} AS (SELECT subject, count(*) AS n_{name}, round(avg(prior), 9) AS mean_{name}, {text.format("avg(prior)", "stddev_samp(prior)")} AS prior_{name},
+    {text.format("avg(attribute)", "stddev_samp(attribute)")} AS attribute_{name} FROM s{name} GROUP BY subject)"""
 
 
 @query("entry_profile", profile_sql("f", "F") + ", " + profile_sql("m", "O") + """ SELECT subject, n_f, prior_f, attribute_f, n_m, prior_m, attribute_m, n_f + n_m AS n
@@ -203,8 +203,8 @@ def _(t):
 
 GAP_CATEGORIES = ["Boys_O", "Girls_F", "Mixed_F", "Mixed_O"]
 GAP_SQL = ", ".join(
-    f"CASE WHEN count(CASE WHEN category = '{c}' THEN 1 END) > 0 THEN printf('%.2f', round(avg(CASE WHEN category = '{c}' THEN {v} END), 2)::DOUBLE + 0.0) || '(' || "
-    f"coalesce(printf('%.2f', round(stddev_samp(CASE WHEN category = '{c}' THEN {v} END), 2)::DOUBLE), 'null') || ')' END AS \"{w}_{c}\""
+    f"CASE WHEN count(CASE WHEN category = '{c}' THEN 1 END) > 0 THEN printf('%.2f', round(round(avg(CASE WHEN category = '{c}' THEN {v} END), 9), 2)::DOUBLE + 0.0) || '(' || "
+    f"coalesce(printf('%.2f', round(round(stddev_samp(CASE WHEN category = '{c}' THEN {v} END), 9), 2)::DOUBLE), 'null') || ')' END AS \"{w}_{c}\""
     for w, v in (("focus", "points"), ("diff", "points - other_mean")) for c in GAP_CATEGORIES
 )
 

@@ -46,11 +46,11 @@ def _(t):
 
 
 AUTHORITY_SQL = """areas AS (SELECT authority, count(DISTINCT provider) AS providers, count(*) AS total, count(focus_points) AS part, round(100.0 * count(focus_points) / count(*), 4) AS per
-  FROM cohort WHERE gender = 'F' GROUP BY authority)"""
+  FROM cohort GROUP BY authority)"""
 
 
 def areas(t):
-    return t.cohort().filter("gender = 'F'").groupBy("authority").agg(
+    return t.cohort().groupBy("authority").agg(
         F.countDistinct("provider").alias("providers"), F.count("*").alias("total"), F.count("focus_points").alias("part")
     ).withColumn("per", percent("part", "total", 4))
 
@@ -157,12 +157,21 @@ def _(t):
     return disclose.anonymise_table(table, disclose.layout("six", SIX), size=6, rows=30)
 
 
-@query("year_on_year", SIX_SQL + ", " + triple_sql("six", "students", "sub_students", "per", name="p") + " " + text_sql("p3", SIX[3:5], SIX[5:], SIX[:3]))
+YOY_SQL = """yoy AS (SELECT sch_type, authority, count(*) AS students, count(CASE WHEN gender = 'F' THEN 1 END) AS females, round(100.0 * count(CASE WHEN gender = 'F' THEN 1 END) / count(*), 1) AS female_per,
+    count(focus_points) AS sub_students, count(CASE WHEN gender = 'F' THEN focus_points END) AS sub_females,
+    round(100.0 * count(CASE WHEN gender = 'F' THEN focus_points END) / nullif(count(focus_points), 0), 1) AS sub_female_per
+  FROM cohort GROUP BY ALL)"""
+
+
+@query("year_on_year", ", ".join([YOY_SQL, round_sql("yoy", *FIRST, "r"), triple_sql("r", *SECOND_TRIPLE, name="p")])
+       + " " + text_sql("p3", COUNTS[3:], PERCENTS, ("sch_type", "authority")))
 def _(t):
-    table = t.cohort().groupBy(F.col("provider").cast("string").alias("provider"), "sch_type", "region").agg(
-        F.count("*").alias("students"), F.count("focus_points").alias("sub_students")
-    ).withColumn("per", percent("sub_students", "students"))
-    return disclose.year_on_year(table, ("students", "sub_students", "per"))
+    female = F.col("gender") == "F"
+    table = t.cohort().groupBy("sch_type", "authority").agg(
+        F.count("*").alias("students"), F.count(F.when(female, 1)).alias("females"),
+        F.count("focus_points").alias("sub_students"), F.count(F.when(female, F.col("focus_points"))).alias("sub_females"),
+    ).withColumns({"female_per": percent("females", "students"), "sub_female_per": percent("sub_females", "sub_students")})
+    return disclose.year_on_year(table, tuple(FIRST), tuple(SECOND_TRIPLE))
 
 
 ROUND_ANY_SQL = PROFILE_SQL + """, g AS (SELECT sch_gender, authority, sum(sub_schools)::BIGINT AS sub_schools, sum(sub_students)::BIGINT AS sub_students FROM profiles GROUP BY ALL),

@@ -24,12 +24,12 @@ SUBJECTS = [f"Brand#{i}" for i in range(1, 26)]
 WIDE_SQL = ", ".join(f"max(CASE WHEN subject = '{s}' THEN points END) AS X{s[6:]}" for s in SUBJECTS)
 
 
-@query("build_spread", f"""people AS (SELECT * FROM pupils WHERE score > 20000),
+@query("build_spread", f"""people AS (SELECT * REPLACE (CASE WHEN score > 20000 THEN pupil ELSE -pupil END AS pupil) FROM pupils),
   wide AS (SELECT pupil, provider, {WIDE_SQL} FROM facts WHERE pupil IN (SELECT pupil FROM people) GROUP BY pupil, provider)
   SELECT w.*, p.gender, p.ethnicity, v.sch_type, v.sch_gender, v.area AS postcode, v.authority, v.region
   FROM wide w LEFT JOIN people p ON w.pupil = p.pupil LEFT JOIN providers v ON w.provider = v.provider""")
 def _(t):
-    people = t.pupils.filter("score > 20000")
+    people = t.pupils.withColumn("pupil", F.when(F.col("score") > 20000, F.col("pupil")).otherwise(-F.col("pupil")))  # some unknown
     providers = t.providers.withColumnRenamed("area", "postcode")
     places = providers.select("postcode", "authority", "region").distinct()
     return reshape.build_spread(
@@ -37,12 +37,12 @@ def _(t):
     )
 
 
-@query("semi_filter", f"SELECT * FROM facts WHERE pupil IN (SELECT pupil FROM facts WHERE subject = '{FOCUS}')")
+@query("semi_filter", f"SELECT * FROM facts f WHERE EXISTS (SELECT 1 FROM facts g WHERE g.subject = '{FOCUS}' AND g.pupil = f.pupil)")
 def _(t):
     return link.semi_filter(t.facts, t.facts.filter(F.col("subject") == FOCUS), "pupil")
 
 
-@query("anti_filter", f"SELECT * FROM facts WHERE pupil NOT IN (SELECT pupil FROM facts WHERE subject = '{FOCUS}')")
+@query("anti_filter", f"SELECT * FROM facts f WHERE NOT EXISTS (SELECT 1 FROM facts g WHERE g.subject = '{FOCUS}' AND g.pupil = f.pupil)")
 def _(t):
     return link.anti_filter(t.facts, t.facts.filter(F.col("subject") == FOCUS), "pupil")
 
@@ -97,7 +97,7 @@ def _(t):
 
 @query("backfill_results", f"""best AS (SELECT provider, year, max(points) AS v FROM results WHERE level = 'A' AND subject = '{FOCUS}' GROUP BY provider, year),
   newest AS (SELECT provider, v FROM best QUALIFY row_number() OVER (PARTITION BY provider ORDER BY year DESC) = 1)
-  SELECT c_custkey AS provider, CAST(CAST(v AS INTEGER) AS VARCHAR) || '.0' AS prior_points FROM customer LEFT JOIN newest ON c_custkey = provider""")
+  SELECT c_custkey AS provider, v AS prior_points FROM customer LEFT JOIN newest ON c_custkey = provider""")
 def _(t):
     history_ = link.results_history(t.results, {FOCUS: "focus"}, "A", key="provider")
     ids = t.table("customer").select(F.col("c_custkey").alias("provider"))

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import uptake
+from ..operators import link, uptake
 from ..session import scratch_folder
 from ..sources import fields, pipeline, scan, sink
 from .q_uptake import PROFILE_SQL, criteria_sql, profiles
 from .registry import query
-from .testbed import FOCUS
+from .testbed import FOCUS, SECOND
 
 RESULT_FIELDS = [
     ("PupilMatchingRefAnonymous", "PupilMatchingRefAnonymous"), ("_URN$", "URN"), ("_EXAMYEAR", "EXAMYEAR"), ("_SUBLEVNO", "SUBLEVNO"),
@@ -120,14 +120,14 @@ def _(t):
     return scan.scan_authorities(t.spark, written(t, register, ","))
 
 
-SPEC_SQL = """f AS (SELECT DISTINCT o_orderpriority AS stage, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS p FROM orders WHERE year(o_orderdate) < 1998)
+SPEC_SQL = """f AS (SELECT DISTINCT o_orderpriority AS stage, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS p FROM orders)
   SELECT stage, year, '_' || p || '$' AS pattern, 'name ' || p AS name FROM f"""
 
 
 @query("field_filter_spec", SPEC_SQL)
 def _(t):
     status = F.col("o_orderstatus")
-    rows = t.table("orders").select(F.col("o_orderpriority").alias("stage"), F.year("o_orderdate").cast("string").alias("year"), status).filter("year < '1998'").distinct()
+    rows = t.table("orders").select(F.col("o_orderpriority").alias("stage"), F.year("o_orderdate").cast("string").alias("year"), status).distinct()
     entry = F.struct(F.concat(F.lit(" _"), status, F.lit("$")).alias("k"), F.concat(F.lit("name "), status, F.lit(" ")).alias("v"))
     years = rows.groupBy("stage", "year").agg(F.map_from_entries(F.collect_list(entry)).alias("fields"))
     stages = years.groupBy("stage").agg(F.map_from_entries(F.collect_list(F.struct("year", "fields"))).alias("years"))
@@ -136,26 +136,48 @@ def _(t):
 
 
 def cleaned(t):
-    """Pupils, results and spread of all years, written by the cleaning run."""
+    """Pupils, results and spread of two stages and all years, written by the cleaning run.
+
+    Lines N belong to the later stage. Level A counts as the old level before 1996 and as the new one from then on, so
+    subjects change level in some years only; points are rescaled from 1996, halved to fall on the scale. Pupils without
+    a prior score take their best points in a subject; some are unknown.
+    """
     folder = f"{scratch_folder(t.spark)}/cleaned"
-    results = t.results.withColumns({"stage": F.lit("KS4"), "exam_year": F.when(F.col("grade") == "O", F.col("year")).otherwise(F.col("year") - 1)})
-    results = pipeline.clean_results(results, ["A", "R"], supersede=None)
-    pupils = pipeline.clean_pupils(t.pupils.withColumn("stage", F.lit("KS4")).filter("score > 20000"))
-    pipeline.run(pupils, results, folder)
+    late = F.col("level") == "N"
+    results = t.results.withColumns({
+        "stage": F.when(late, "KS5").otherwise("KS4"), "exam_year": F.when(F.col("grade") == "O", F.col("year")).otherwise(F.col("year") - 1),
+        "level": F.when((F.col("level") == "A") & (F.col("year") < 1996), "R").otherwise(F.col("level")), "points": F.col("points") % 18 / 2,
+    })
+    results = pipeline.clean_results(results, ["A", "R", "N"], rescale_from=1996, reformed=["Brand#5"])
+    person = F.when(F.col("score") > 20000, F.col("pupil")).otherwise(-F.col("pupil"))
+    stages = F.explode(F.array(F.lit("KS4"), F.lit("KS5")))
+    pupils = t.pupils.withColumns({"pupil": person, "prior": F.when(F.col("score") > 100000, F.col("prior"))}).withColumn("stage", stages)
+    history = link.results_history(t.results, {SECOND: "best"}, "A")
+    pupils = pipeline.clean_pupils(pupils, history, {"best": "prior"})
+    pipeline.run(pupils, results, folder, supersede=("A", "R"))
     return folder
 
 
-CLEAN_SQL = """own AS (SELECT *, rank() OVER (PARTITION BY year, pupil, subject, qualification ORDER BY points DESC) AS r FROM results WHERE grade = 'O' AND level IN ('A', 'R')),
-  best AS (SELECT year, pupil, provider, level, subject, max(points) AS points FROM own WHERE r = 1 GROUP BY ALL)"""
+CLEAN_SQL = f"""raw AS (SELECT * REPLACE (CASE WHEN level = 'A' AND year < 1996 THEN 'R' ELSE level END AS level, points % 18 / 2 AS points), CASE level WHEN 'N' THEN 'KS5' ELSE 'KS4' END AS stage
+    FROM results WHERE grade = 'O'),
+  own AS (SELECT *, rank() OVER (PARTITION BY stage, year, pupil, subject, qualification ORDER BY points DESC) AS r FROM raw),
+  best0 AS (SELECT stage, year, pupil, provider, level, subject, max(points) AS points FROM own WHERE r = 1 GROUP BY ALL),
+  best AS (SELECT * REPLACE (CASE WHEN year < 1996 OR subject = 'Brand#5' THEN points WHEN points = 8.5 THEN 8 WHEN points = 7 THEN 7 WHEN points = 5.5 THEN 6 WHEN points = 4 THEN 5
+    WHEN points = 3 THEN 4 WHEN points = 2 THEN 3 WHEN points = 1.5 THEN 2 WHEN points = 1 THEN 1 ELSE points END AS points) FROM best0),
+  known AS (SELECT stage, year, CASE WHEN score > 20000 THEN pupil ELSE -pupil END AS pupil FROM pupils, (VALUES ('KS4'), ('KS5')) s(stage)),
+  newest AS (SELECT pupil, arg_max(v, year) AS v FROM (SELECT pupil, year, max(points) AS v FROM results WHERE level = 'A' AND subject = '{SECOND}' GROUP BY pupil, year) GROUP BY pupil),
+  changed AS (SELECT DISTINCT stage, year, subject FROM best WHERE level = 'A'),
+  spread AS (SELECT b.stage, b.year, b.pupil, provider, b.subject, max(points) AS points FROM best b JOIN known k ON b.stage = k.stage AND b.year = k.year AND b.pupil = k.pupil
+    LEFT JOIN changed c ON b.stage = c.stage AND b.year = c.year AND b.subject = c.subject WHERE NOT (b.level = 'R' AND c.subject IS NOT NULL) GROUP BY ALL)"""
 
 
-@query("scan_clean", CLEAN_SQL + " SELECT *, 'KS4' AS stage FROM best")
+@query("scan_clean", CLEAN_SQL + " SELECT * FROM best")
 def _(t):
     return scan.scan_clean(t.spark, cleaned(t), "results")
 
 
-@query("register_cohorts", CLEAN_SQL + """ SELECT 'pupils' AS "table", count(*) AS n FROM pupils WHERE score > 20000 AND year = 1998 UNION ALL SELECT 'results', count(*) FROM best WHERE year = 1998
-  UNION ALL SELECT 'spread', count(*) FROM (SELECT DISTINCT pupil, provider, subject FROM best WHERE year = 1998 AND pupil IN (SELECT pupil FROM pupils WHERE score > 20000))""")
+@query("register_cohorts", CLEAN_SQL + """ SELECT 'pupils' AS "table", count(*) AS n FROM known WHERE stage = 'KS4' AND year = 1998 UNION ALL SELECT 'results', count(*) FROM best WHERE stage = 'KS4' AND year = 1998
+  UNION ALL SELECT 'spread', count(*) FROM spread WHERE stage = 'KS4' AND year = 1998""")
 def _(t):
     views = scan.register_cohorts(t.spark, cleaned(t), "KS4", 1998)
     out = None
@@ -165,12 +187,18 @@ def _(t):
     return out
 
 
-@query("write_clean", CLEAN_SQL + """ SELECT 'KS4' AS stage, year, count(*) AS n, sum(points) AS points FROM
-  (SELECT DISTINCT ON (year, pupil, provider, subject) * FROM (SELECT year, pupil, provider, subject, max(points) AS points FROM best WHERE pupil IN (SELECT pupil FROM pupils WHERE score > 20000) GROUP BY ALL)) GROUP BY year""")
+@query("write_clean", CLEAN_SQL + """ SELECT stage, year, count(*) AS n, sum(points) AS points FROM spread GROUP BY stage, year""")
 def _(t):
     return scan.scan_clean(t.spark, cleaned(t), "spread").groupBy("stage", "year").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
 
 
+@query("clean_pupils", CLEAN_SQL + """ SELECT s.stage, p.year, CASE WHEN p.score > 20000 THEN p.pupil ELSE -p.pupil END AS pupil, p.gender,
+    coalesce(CASE WHEN p.score > 100000 THEN p.prior END, n.v) AS prior
+  FROM pupils p CROSS JOIN (VALUES ('KS4'), ('KS5')) s(stage) LEFT JOIN newest n ON n.pupil = CASE WHEN p.score > 20000 THEN p.pupil ELSE -p.pupil END""")
+def _(t):
+    return scan.scan_clean(t.spark, cleaned(t), "pupils").select("stage", "year", "pupil", "gender", "prior")
+
+
 @query("write_report", PROFILE_SQL + ", " + criteria_sql({"sch_type": "sch_type"}).replace("CAST(schools AS BIGINT) AS schools", "CAST(CAST(schools AS BIGINT) AS VARCHAR) AS schools")
        .replace("CAST(sub_schools AS BIGINT) AS sub_schools", "CAST(CAST(sub_schools AS BIGINT) AS VARCHAR) AS sub_schools").replace("round(100.0 * sub_schools / schools, 1) AS pc_schools", "CAST(round(100.0 * sub_schools / schools, 1)::DOUBLE AS VARCHAR) AS pc_schools"))
 def _(t):
@@ -222,7 +250,8 @@ def _(t):
     )
     total = supplier.agg(F.lit("Total").alias("UKPRN"), F.lit("All").alias("Provider_name"), F.lit("S").alias("Subject6"), F.sum("s_acctbal").cast("string").alias("Postgrads"))
     located = supplier.select(F.col("s_suppkey").alias("UKPRN"), F.concat(F.lit("AB"), F.col("s_suppkey").cast("string"), F.lit("CD ")).alias("Postcode"))
-    return scan.scan_training_providers(training.unionByName(total), located, postcodes(t))
+    paths = [written(t, df, ",") for df in (training.unionByName(total), located, postcodes(t))]
+    return scan.read_training_providers(t.spark, *paths)
 
 
 @query("literal_table", """g(letter, points) AS (VALUES ('U', 0), ('G', 1), ('F', 2), ('E', 3), ('D', 4), ('C', 5), ('B', 6), ('A', 7), ('*', 8))

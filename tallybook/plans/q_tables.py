@@ -31,7 +31,7 @@ def _(t):
 
 
 @query("complete_combinations", """n AS (SELECT subject, gender, flag, ethnicity, eth_minor, count(*) AS n FROM facts JOIN pupils USING (pupil)
-    WHERE points = 50 GROUP BY ALL),
+    GROUP BY ALL),
   grid AS (SELECT * FROM (SELECT DISTINCT subject FROM n) CROSS JOIN (SELECT DISTINCT gender FROM n) CROSS JOIN (SELECT DISTINCT flag FROM n)
     CROSS JOIN (SELECT DISTINCT ethnicity, eth_minor FROM n))
   SELECT g.*, coalesce(n.n, 0) AS n FROM grid g LEFT JOIN n ON g.subject = n.subject AND g.gender IS NOT DISTINCT FROM n.gender
@@ -39,7 +39,7 @@ def _(t):
 def _(t):
     people = t.pupils.select("pupil", "gender", "flag", "ethnicity", "eth_minor")
     counts = (
-        t.facts.filter("points = 50").join(people, "pupil")
+        t.facts.join(people, "pupil")
         .groupBy("subject", "gender", "flag", "ethnicity", "eth_minor").agg(F.count("*").alias("n"))
     )
     return reshape.complete_combinations(counts, ["subject", "gender", "flag"], ("ethnicity", "eth_minor"), "n")

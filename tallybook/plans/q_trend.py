@@ -102,7 +102,7 @@ def _(t):
     return trend.league_table(provision, females, codes)
 
 
-@query("reach_trend", f"""s AS (SELECT year, provider, count(*) AS students FROM (SELECT DISTINCT year, pupil, provider FROM facts) GROUP BY ALL), o AS (SELECT year, subject, provider, count(*) AS takers FROM facts GROUP BY ALL),
+@query("reach_trend", f"""s AS (SELECT year, provider, count(*) AS students FROM (SELECT DISTINCT year, pupil, provider FROM facts WHERE provider < 900000) GROUP BY ALL), o AS (SELECT year, subject, provider, count(*) AS takers FROM facts WHERE provider < 900000 GROUP BY ALL),
   w AS (SELECT year, count(*) AS p, sum(students) AS n FROM s GROUP BY year),
   a AS (SELECT o.year, subject, round(100.0 * count(*) / any_value(p), 1) AS pc_providers, round(100.0 * sum(students) / any_value(n), 1) AS pc_with_access, round(100.0 * sum(takers) / sum(students), 1) AS pc_of_offered
     FROM o JOIN s ON o.year = s.year AND o.provider = s.provider JOIN w ON o.year = w.year WHERE subject IN ('{FOCUS}', '{SECOND}') GROUP BY o.year, subject)

@@ -285,7 +285,7 @@ def _(t):
     return uptake.population_flag_share(t.cohort(), "gender")
 
 
-ACCESS_SQL = """s AS (SELECT provider, count(*) AS students FROM entries GROUP BY provider), o AS (SELECT subject, provider, count(*) AS takers FROM facts GROUP BY ALL),
+ACCESS_SQL = """s AS (SELECT provider, count(*) AS students FROM entries WHERE provider < 900000 GROUP BY provider), o AS (SELECT subject, provider, count(*) AS takers FROM facts WHERE provider < 900000 GROUP BY ALL),
   w AS (SELECT count(*) AS p, sum(students) AS n FROM s)
   SELECT subject, count(*) AS providers, sum(students)::BIGINT AS students_with_access, sum(takers)::BIGINT AS takers, round(100.0 * count(*) / any_value(p), 1) AS pc_providers,
     round(100.0 * sum(students) / any_value(n), 1) AS pc_with_access, round(100.0 * sum(takers) / any_value(n), 1) AS pc_of_all, round(100.0 * sum(takers) / sum(students), 1) AS pc_of_offered

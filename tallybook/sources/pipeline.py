@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scales
 from ..operators import clean, link
+from . import fields, scan
 from .sink import write_clean
 
+# Names in the field specs and in the long tables.
+LONG_NAMES = {
+    "PupilMatchingRefAnonymous": "pupil", "URN": "provider", "EXAMYEAR": "exam_year", "SUBLEVNO": "level", "QAN": "qualification",
+    "MAPPING": "subject", "GRADE": "grade", "POINTS": "points", "GENDER": "gender", "EthMaj": "ethnicity", "EthMin": "eth_minor",
+}
+RESULT_NAMES = ("PupilMatchingRefAnonymous", "URN", "EXAMYEAR", "SUBLEVNO", "QAN", "MAPPING", "GRADE", "POINTS")
+
 
 def clean_results(
-    results: DataFrame, levels: Sequence, supersede: tuple | None = None, rescale_from: int | None = None,
+    results: DataFrame, levels: Sequence, rescale_from: int | None = None,
     reformed: Sequence[str] = tuple(scales.REFORMED_SUBJECTS),
 ) -> DataFrame:
-    """Best attempt of the file's own year, one qualification per subject, reformed scales, superseded levels.
+    """Best attempt of the file's own year, one qualification per subject, reformed scales.
 
     All years at once: the exam year is a column, so the steps run as one job.
     """
@@ -25,7 +33,7 @@ def clean_results(
     if rescale_from is not None:
         rescaled = scales.rescale_points(F.col("points"), F.col("subject"), reformed)
         best = best.withColumn("points", F.when(F.col("year") >= rescale_from, rescaled).otherwise(F.col("points")))
-    return best if supersede is None else clean.supersede_level(best, *supersede)
+    return best
 
 
 def clean_pupils(
@@ -36,10 +44,61 @@ def clean_pupils(
     return unique if history is None else link.backfill_across_years(unique, history, backfill or {})
 
 
-def run(pupils: DataFrame, results: DataFrame, folder: str) -> dict[str, str]:
-    """Write pupils, results and the long spread (known pupils only)."""
+def spread_of(pupils: DataFrame, results: DataFrame, supersede: tuple | None = None) -> DataFrame:
+    """The long spread: best points of known pupils per subject.
+
+    ``supersede`` (new level, old level) leaves out a subject's old level in the stages and years in which the subject
+    occurs at the new one; other years keep theirs, and the results themselves keep all.
+    """
+    if supersede is not None:
+        results = clean.supersede_level(results, *supersede, scope=["stage", "year"])
     known = results.join(pupils.select("stage", "year", "pupil"), ["stage", "year", "pupil"], "left_semi")
-    spread = known.groupBy("stage", "year", "pupil", "provider", "subject").agg(F.max("points").alias("points"))
-    return {
-        name: write_clean(df, folder, name) for name, df in (("pupils", pupils), ("results", results), ("spread", spread))
-    }
+    return known.groupBy("stage", "year", "pupil", "provider", "subject").agg(F.max("points").alias("points"))
+
+
+def run(pupils: DataFrame, results: DataFrame, folder: str, supersede: tuple | None = None) -> dict[str, str]:
+    """Write pupils, results and the spread, which is made from the written tables, so the source is read once."""
+    spark = pupils.sparkSession
+    paths = {name: write_clean(df, folder, name) for name, df in (("pupils", pupils), ("results", results))}
+    written = [spark.read.parquet(paths[name]) for name in ("pupils", "results")]
+    return paths | {"spread": write_clean(spread_of(*written, supersede), folder, "spread")}
+
+
+def run_from_files(
+    spark, sources: Sequence[dict], specs: DataFrame, folder: str, levels: dict[str, Sequence], supersede: dict[str, tuple] | None = None,
+    rescale_from: int | None = None, earlier: str = "KS4", backfill: dict[str, str] | None = None,
+    prior_subjects: dict[str, str] | None = None,
+) -> None:
+    """From raw extracts to written tables, stage by stage.
+
+    ``sources``: {"stage", "year", "pupils", "results"} with the paths of one extract each; ``specs``: patterns and names
+    by stage and year (``fields.read_field_spec``). Extracts are scanned by their own spec, brought to the names of the
+    long tables and appended by name, so that headers may drift. Stages after ``earlier`` take blank attributes
+    (``backfill``) and best points of ``prior_subjects`` from the earlier stage's records of any year, newest first.
+    """
+    tables: dict[str, dict[str, DataFrame]] = {}
+    for one in sources:
+        pairs = fields.fields_of(specs, one["stage"], one["year"])
+        people = [p for p in pairs if p[1] not in RESULT_NAMES or p[1] in ("PupilMatchingRefAnonymous", "URN")]
+        marks = [p for p in pairs if p[1] in RESULT_NAMES]
+        mark = {"stage": F.lit(one["stage"]), "year": F.lit(int(one["year"]))}
+        pupils = scan.scan_pupils(spark, one["pupils"], people, one["stage"]).withColumns(mark)
+        results = scan.scan_results(spark, one["results"], marks).withColumns(mark)
+        for name, df in (("pupils", pupils), ("results", results)):
+            renamed = df.withColumnsRenamed({k: v for k, v in LONG_NAMES.items() if k in df.columns})
+            seen = tables.setdefault(one["stage"], {})
+            seen[name] = seen[name].unionByName(renamed, allowMissingColumns=True) if name in seen else renamed
+    history = marks_of = None
+    for stage in sorted(tables, key=lambda s: (s != earlier, s)):
+        raw = tables[stage]["results"].withColumn("exam_year", F.col("exam_year").try_cast("int"))
+        results = clean_results(raw, levels[stage], rescale_from)
+        fill = stage != earlier and history is not None
+        pupils = clean_pupils(tables[stage]["pupils"], history if fill else None, backfill)
+        if fill and prior_subjects:
+            pupils = link.backfill_across_years(pupils, marks_of, {name: name for name in prior_subjects.values()})
+        run(pupils, results, f"{folder}/{stage}", (supersede or {}).get(stage))
+        if stage == earlier:
+            history = spark.read.parquet(f"{folder}/{stage}/pupils")
+            kept = spark.read.parquet(f"{folder}/{stage}/results").filter(F.col("subject").isin(list(prior_subjects or {})))
+            names = {s: F.max(F.when(F.col("subject") == s, F.col("points"))).alias(n) for s, n in (prior_subjects or {}).items()}
+            marks_of = kept.groupBy("pupil", "year").agg(F.count("*").alias("__n"), *names.values()).drop("__n")

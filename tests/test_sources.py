@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tallybook.operators import link, uptake
 from tallybook.sources import fields, pipeline, scan, sink
 
 
@@ -51,14 +52,14 @@ def test_clean_run_and_registration(spark, tmp_path):
         ("KS4", 2017, 2017, "a", 1, 310, "2610", "q", 8.5), ("KS4", 2017, 2017, "a", 1, 310, "2610", "r", 4.0), ("KS4", 2017, 2016, "a", 1, 310, "9", "q", 7.0),
         ("KS4", 2017, 2017, "a", 1, 310, "2210", "q", 3.0), ("KS4", 2017, 2017, "a", 1, 391, "2210", "q9", 7.0), ("KS4", 2017, 2017, "z", 1, 310, "2610", "q", 4.0),
     ], schema)
-    cleaned = pipeline.clean_results(results, [310, 391], supersede=(391, 310), rescale_from=2017)
+    cleaned = pipeline.clean_results(results, [310, 391], rescale_from=2017)
     assert sorted((r["pupil"], r["level"], r["subject"], r["points"]) for r in cleaned.collect()) == [
-        ("a", 310, "2610", 8.0), ("a", 391, "2210", 7.0), ("z", 310, "2610", 5.0)]
+        ("a", 310, "2210", 3.0), ("a", 310, "2610", 8.0), ("a", 391, "2210", 7.0), ("z", 310, "2610", 5.0)]
     pupils = pipeline.clean_pupils(spark.createDataFrame([("KS4", 2017, "a", "f")], "stage string, year int, pupil string, gender string"))
     folder = str(tmp_path / "cleaned")
-    pipeline.run(pupils, cleaned, folder)
+    pipeline.run(pupils, cleaned, folder, supersede=(391, 310))
     found = scan.register_cohorts(spark, folder, "KS4", 2017)
-    assert found["spread"].count() == 2 and spark.table("results_KS4_2017").count() == 3
+    assert found["spread"].count() == 2 and spark.table("results_KS4_2017").count() == 4
     with pytest.raises(LookupError):
         scan.register_cohorts(spark, folder, "KS4", 2011)
     plan = found["results"]._jdf.queryExecution().executedPlan().toString()
@@ -71,3 +72,66 @@ def test_subset_and_report(spark, tmp_path):
     subset = scan.scan_subset(df, ids, "URN")
     path = sink.write_report(subset, str(tmp_path / "report"))
     assert sorted((r["URN"], r["n"]) for r in scan.read_delimited(spark, path, ",").collect()) == [("1", "5"), ("TOTAL", "11")]
+
+
+def test_level_change_keeps_other_years(spark):
+    schema = "stage string, year int, pupil string, provider long, level int, subject string, points double"
+    results = spark.createDataFrame([
+        ("KS4", 2014, "a", 1, 310, "2210", 5.0), ("KS4", 2017, "a", 1, 391, "2210", 7.0), ("KS4", 2017, "a", 1, 310, "2210", 8.0),
+        ("KS4", 2017, "a", 1, 310, "2610", 6.0), ("KS5", 2017, "a", 1, 310, "2210", 3.0),
+    ], schema)
+    pupils = results.select("stage", "year", "pupil").distinct()
+    spread = pipeline.spread_of(pupils, results, (391, 310))
+    assert sorted((r.stage, r.year, r.subject, r.points) for r in spread.collect()) == [
+        ("KS4", 2014, "2210", 5.0), ("KS4", 2017, "2210", 7.0), ("KS4", 2017, "2610", 6.0), ("KS5", 2017, "2210", 3.0)]
+
+
+def test_back_fill_keeps_types(spark):
+    now = spark.createDataFrame([("a", None, " "), ("b", 3.0, "x")], "pupil string, mark double, eth string")
+    past = spark.createDataFrame([("a", 2014, 9.0, "p"), ("a", 2015, 27.0, ""), ("b", 2015, 1.0, "q")], "pupil string, year int, mark double, eth string")
+    for out in (link.backfill_across_years(now, past, {"mark": "mark", "eth": "eth"}), link.backfill_column(link.backfill_column(now, past, "mark", "mark"), past, "eth", "eth")):
+        assert dict(out.dtypes)["mark"] == "double"
+        assert sorted((r.pupil, r.mark, r.eth) for r in out.collect()) == [("a", 27.0, "p"), ("b", 3.0, "x")]
+
+
+def test_run_from_files(spark, tmp_path):
+    spec = tmp_path / "spec.json"
+    people = {"_PupilMatchingRefAnonymous": "PupilMatchingRefAnonymous", "_GENDER": "GENDER", "_URN": "URN", "KS2MAT": "KS2Mat"}
+    marks = {"EXAMYEAR": "EXAMYEAR", "SUBLEVNO": "SUBLEVNO", " QAN": " QAN", "MAPPING": "MAPPING", "GRADE": "GRADE", "POINTS": "POINTS"}
+    late = {**people, **marks, "KS4_FSM": "KS4_FSM", "EVERFSM_6": "EVERFSM_6", "EVERFSM_3": "EVERFSM_3", "FSMeligible": "FSMeligible"}
+    spec.write_text(json.dumps({"KS4": {"2014": {**people, **marks}, "2017": {**people, **marks}}, "KS5": {"2017": late}}))
+    header = "X_PupilMatchingRefAnonymous\tX_URN\tEXAMYEAR\tSUBLEVNO\t{}QAN\tMAPPING\tGRADE\tPOINTS\n".replace("{}", "")
+    files = {}
+    for name, text in {
+        "p14": "X_PupilMatchingRefAnonymous\tX_GENDER\tX_URN\tKS2MAT\na\tf\t1\t4.5\n", "r14": header + "a\t1\t2014\t310\tq\t2210\tB\t5\n",
+        "p17": "X_URN\tX_PupilMatchingRefAnonymous\tX_GENDER\n1\tb\tm\n", "r17": header + "b\t1\t2017\t391\tq\t2210\tA\t7\nb\t1\t2017\t310\tr\t2210\tA\t4\n",
+        "p5": "X_PupilMatchingRefAnonymous\tX_GENDER\tX_URN\tKS2MAT\tKS4_FSM\tEVERFSM_6\tEVERFSM_3\tFSMeligible\na\tf\t9\t\t1\t\t\t\n",
+        "r5": header + "a\t9\t2017\t111\tq\t2610\tA\t50\n",
+    }.items():
+        files[name] = str(tmp_path / f"{name}.txt")
+        (tmp_path / f"{name}.txt").write_text(text)
+    sources = [{"stage": s, "year": y, "pupils": files[p], "results": files[r]} for s, y, p, r in (
+        ("KS4", 2014, "p14", "r14"), ("KS4", 2017, "p17", "r17"), ("KS5", 2017, "p5", "r5"))]
+    folder = str(tmp_path / "out")
+    pipeline.run_from_files(
+        spark, sources, fields.read_field_spec(spark, str(spec)), folder, {"KS4": [310, 391], "KS5": [111]}, {"KS4": (391, 310)}, 2017,
+        backfill={"KS2Mat": "KS2Mat"}, prior_subjects={"2210": "maths"},
+    )
+    spread = spark.read.parquet(f"{folder}/KS4/spread")
+    assert sorted((r.year, r.pupil, r.points) for r in spread.collect()) == [(2014, "a", 5.0), (2017, "b", 7.0)]
+    late = spark.read.parquet(f"{folder}/KS5/pupils").first()
+    assert (late.pupil, late.KS2Mat, late.maths, late.EVERFSM_6) == ("a", 4.5, 5.0, 1)
+    assert spark.read.parquet(f"{folder}/KS5/spread").count() == 1
+
+
+def test_body_line_like_the_header_stays(spark, tmp_path):
+    head = "LA,URN,Name,Type of provider,Subject,Qualification,Entries"
+    row = "x,1,A,Academy,CS,GCSE,12"
+    (tmp_path / "a.csv").write_text(f"{row}\n{head}\n{row}\n{row}\n")
+    assert scan.read_entry_sheet(spark, str(tmp_path / "a.csv")).count() == 2
+
+
+def test_valid_providers_in_access(spark):
+    facts = spark.createDataFrame([(1, 1, "s"), (2, 1, "t"), (3, 900000, "s")], "pupil long, provider long, subject string")
+    got = {r.subject: (r.providers, r.takers) for r in uptake.subject_access_all(facts).collect()}
+    assert got == {"s": (1, 1), "t": (1, 1)}
