@@ -208,16 +208,16 @@ def jaccard_classes(docs: DataFrame, p: Forest = Forest(), id_col: str = "doc_id
 def one_of_each(docs: DataFrame, p: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep one document of each class: the one with the least (id, text digest), and of equal rows any one.
 
-    Documents without words are all kept, but equal rows (id and text) once.
+    Documents without words are all kept, but equal rows (id and text) once. All columns come back, whatever their names.
     """
     classes = stored(jaccard_classes(docs, p, id_col, text_col), "labelled")
     pairs = classes.groupBy("doc_id", "key").agg(
         F.count("*").alias("n"), F.min(F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("class_key") == F.col("key"))).alias("keep")
     )
-    odd = stored(pairs.filter("not keep or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "keep"), "odd")
+    odd = stored(pairs.filter("not keep or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("keep").alias("__keep")), "odd")
     marked = docs.withColumn("__text", text_key(text_col)).join(
         sized(odd, 64), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left"
     )
-    plain = marked.filter("keep is null").select(docs.columns)
-    repeated = marked.filter("keep").dropDuplicates(["__id", "__key"]).select(docs.columns)
+    plain = marked.filter("__keep is null").select(docs.columns)
+    repeated = marked.filter("__keep").dropDuplicates(["__id", "__key"]).select(docs.columns)
     return plain.unionByName(repeated)

@@ -48,7 +48,7 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def place(df: DataFrame, key: Column, shards: Sequence[str], slots: int = 65537) -> DataFrame:
-    """Add ``slot`` and ``shard``; one lookup a row, no shuffle.
+    """Add ``slot`` and ``shard`` (or replace columns of these names); one lookup a row, no shuffle.
 
     The table has a bounded size (``slots``) and travels to the tasks as a folded literal array. Equal keys share a
     shard, so a null key (taken as empty) and repeated rows do as well; keys should identify documents, not sources.

@@ -102,7 +102,7 @@ def host_reputation(hosts: DataFrame, p: Reputation = Reputation()) -> DataFrame
 def judge(pages: DataFrame, rules: Sequence[Rule], p: Reputation = Reputation(), url: str = "url", bad: str = "bad") -> DataFrame:
     """Add host, path, rule and verdict (allow or block) to every page; ``bad`` is its labelled outcome, null without one.
 
-    Null urls and urls without ``://`` have an empty host and path and are judged like any host. Repeated pages count as
+    Columns of these names are replaced. Null urls and urls without ``://`` have an empty host and path and are judged like any host. Repeated pages count as
     often as they come. Of a hot host only its counts are shuffled; the join back leaves a hot host to the adaptive skew
     join, or broadcasts the reputations when they are measured small.
     """

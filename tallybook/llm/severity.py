@@ -171,7 +171,8 @@ def chances(model: SeverityModel, data: np.ndarray, offsets: np.ndarray) -> np.n
         value = np.where(model.features[at] == found, model.weights[at], 0.0)
         sums = np.concatenate([[0.0], np.cumsum(value)])
         z = sums[first[1:]] - sums[first[:-1]]
-    return grade_chances(z, model.cuts)[0]
+    chance = grade_chances(z, model.cuts)[0]
+    return chance / chance.sum(axis=1, keepdims=True)
 
 
 def severity(model: SeverityModel, text: Column) -> Column:
@@ -182,7 +183,7 @@ def severity(model: SeverityModel, text: Column) -> Column:
     def score(column: pa.Array) -> pa.Array:
         p = np.concatenate([chances(model, data, offsets) for _, _, data, offsets in pieces(column)] or [np.zeros((0, 3))])
         return pa.StructArray.from_arrays(
-            [pa.array(p @ np.arange(3.0)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array((p[:, 0] < 0.5).astype(np.int32))],
+            [pa.array(np.clip(p @ np.arange(3.0), 0, 2)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array((p[:, 0] < 0.5).astype(np.int32))],
             ["severity", "grade", "toxic"],
         )
 

@@ -369,7 +369,11 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "tex
 
 
 def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans`` (repeated runs; empty if none) and ``kept`` (the remaining bytes, concatenated)."""
+    """``docs`` with ``spans`` (repeated runs; empty if none) and ``kept`` (the remaining bytes, concatenated).
+
+    Columns of these names are replaced. Rows with equal texts, null ids or no text are all kept.
+    """
+    docs = docs.drop("spans", "kept")
     spans = stored(repeated_spans(docs, p, text_col).withColumnRenamed("key", "__key"), "spans")
     size = spans.agg(F.coalesce(F.sum(64 + 8 * F.size("spans")), F.lit(0)).alias("s")).first().s
     marked = docs.withColumn("__text", text_key(text_col)).join(F.broadcast(spans) if size <= 32 << 20 else spans, F.col("__text") == F.col("__key"), "left")
