@@ -10,6 +10,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def labelled_ids(labels: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct ids of a label table, those with the lowest hashes: small enough to broadcast."""
+    ids = labels.select("doc_id").filter("doc_id is not null").distinct()
+    return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+
+
 def draw(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """(text, label, doc_id) of at most ``per_class`` documents of each class 0 and 1, and the weight of a row of each class.
 

@@ -45,7 +45,7 @@ def _buckets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def learn_domains(labelled: DataFrame, domains: tuple[str, ...], p: Mix = Mix()) -> DomainModel:
-    """Multinomial model of the domains from all rows (text, domain) of a labelled table; other domains are left out.
+    """Multinomial model of the domains from all rows (text, domain) given; other domains are left out.
 
     Every task sums its trigram counts; one row a bucket and domain comes back.
     """

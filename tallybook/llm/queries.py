@@ -138,9 +138,9 @@ def op5_suffix_merge(spark, sf_dir):
     )
 
 
-def domain_labels(docs, labels):
-    """Labelled documents with their language as the domain."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+def domain_labels(docs, labels, most=20_000):
+    """At most ``most`` labelled documents with their language as the domain, for fitting."""
+    return docs.join(labelled.labelled_ids(labels, most), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
 
 
 @query("op1_soft_mixing")
