@@ -6,6 +6,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,14 +18,14 @@ HEADLINE = [
     "best_attempt", "drop_ambiguous_keys", "backfill_across_years", "nearest_distance", "spread_subjects", "ntile_bands",
     "provision_by_criteria", "subject_access_all", "subject_combinations", "representation_cube", "average_by_subject",
     "pass_rate_by_subject", "provider_differential", "subject_gap_table", "anonymise_table", "league_table", "ols_by_subject",
-    "logit_uptake_flag", "logit_uptake", "qualification_counts", "reach_trend", "write_clean",
+    "logit_uptake_flag", "logit_uptake", "qualification_counts", "reach_trend", "write_clean", "single_qualification",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, "bench", os.environ.get("BENCH_MEMORY", "16g"))
+    spark = local_session(cpus, "bench", os.environ.get("BENCH_MEMORY", "16g"), tempfile.mkdtemp(prefix="bench-"))
     catalogue.QUERIES["dataset_totals"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm up the JVM
     seconds = {}
     for key in HEADLINE:

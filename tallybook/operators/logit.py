@@ -122,12 +122,12 @@ def _fit_row(fit: dict) -> tuple:
 
 
 def coefficient_rows(fits: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
-    """One row per coefficient with z and its p."""
+    """One row per coefficient of the converged fits with z and its p."""
     terms = F.explode(F.array(
         F.struct(F.lit("(Intercept)").alias("term"), F.col("b0").alias("est"), F.col("se0").alias("std_error")),
         F.struct(F.lit(x).alias("term"), F.col("b1").alias("est"), F.col("se1").alias("std_error")),
     ))
-    rows = fits.select(*groups, "n", terms.alias("__c")).select(*groups, "n", "__c.*")
+    rows = fits.filter("converged").select(*groups, "n", terms.alias("__c")).select(*groups, "n", "__c.*")
     return rows.withColumn("z", F.try_divide("est", "std_error")).withColumn("p", tails.p_of_z(F.col("z")))
 
 
@@ -168,7 +168,7 @@ def logit_interaction(df: DataFrame, groups: Sequence[str], y: str, x: str, cate
     A full interaction is the same model as one regression per category, so the coefficients are those of the
     base and the differences from it, with independent standard errors.
     """
-    fits = grouped_logit(df, [*groups, category], y, x)
+    fits = grouped_logit(df, [*groups, category], y, x).filter("converged")
     top = fits.groupBy(*groups).agg(F.max(F.struct("n", category, "b0", "b1", "se0", "se1")).alias("base"))
     joined = null_safe_join(fits, top, groups, "inner")
     is_base = F.col(category).eqNullSafe(F.col(f"base.{category}"))
@@ -184,7 +184,8 @@ def logit_interaction(df: DataFrame, groups: Sequence[str], y: str, x: str, cate
 
 
 def logit_fit_quality(fits: DataFrame, x: str) -> DataFrame:
-    """Model chi-squared with p, three pseudo R squared, and Wald intervals of the odds ratios."""
+    """Model chi-squared with p, three pseudo R squared, and Wald intervals of the odds ratios, of the converged fits."""
+    fits = fits.filter("converged")
     chi = F.col("null_deviance") - F.col("deviance")
     cox = 1 - F.exp(-chi / F.col("n"))
     out = fits.withColumns({

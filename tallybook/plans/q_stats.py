@@ -27,9 +27,34 @@ def _(t):
     return table.select("subject", "n_a", "n_b", *[F.round(c, k).alias(c) for c, k in digits.items()], "magnitude")
 
 
-@query("welch_ttest_p")
+SIMPSON = "(SELECT i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS h FROM range(0, 2001) r(i))"
+
+
+def t_tail_sql(source: str, keys: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    return f"""angles AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM {source}),
+  tails AS (SELECT {keys}, greatest(0.0, 1 - 2 * any_value(exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi())) * sum(h * cos(th * i / 2000.0) ** (df - 1)) * any_value(th) / 6000) AS p
+    FROM angles, {SIMPSON} GROUP BY {keys})"""
+
+
+def normal_tail_sql(source: str, keys: str) -> str:
+    """Two-sided tail of the normal distribution beyond z by Simpson's rule; past ten it counts as none."""
+    return f"""ends AS (SELECT *, least(abs(z), 10.0) AS e FROM {source}),
+  tails AS (SELECT {keys}, greatest(0.0, 1 - 2 / sqrt(2 * pi()) * sum(h * exp(-((e * i / 2000.0) ** 2) / 2)) * any_value(e) / 6000) AS p FROM ends, {SIMPSON} GROUP BY {keys})"""
+
+
+STARS_SQL = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '** ' WHEN p < 0.05 THEN '*  ' WHEN p < 0.1 THEN '.  ' ELSE '   ' END"
+
+
+def rounded(table, **digits):
+    return table.withColumns({c: F.round(c, k) for c, k in digits.items()})
+
+
+@query("welch_ttest_p", WELCH_SQL + ", " + t_tail_sql("w", "subject") + """ SELECT subject, round(t, 5) AS t, round(df, 3) AS df, round(p, 6) AS p, round(d, 6) AS d,
+  printf('_t_(%.0f)=%.3f _p_=%.3f _d_=%.2f', df, t, p, d) AS description FROM w JOIN tails USING (subject)""")
 def _(t):
-    return stats.with_p(welch_rows(t)).select("subject", "t", "df", "p", "d", "description")
+    tests = stats.with_p(welch_rows(t)).select("subject", "t", "df", "p", "d", "description")
+    return rounded(tests, t=5, df=3, p=6, d=6)
 
 
 OLS_SQL = """q AS (SELECT subject, count(*) AS n, count(prior) AS n_prior FROM facts JOIN pupils USING (pupil) GROUP BY subject HAVING count(*) > 60 AND count(prior) > 40),
@@ -57,9 +82,12 @@ def _(t):
     return ols_rows(t).withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@query("ols_by_subject_p")
+@query("ols_by_subject_p", OTHERS_SQL + ", " + OLS_SQL + MOMENTS_SQL + """, r AS (SELECT s.* FROM s JOIN q USING (subject)),
+  terms AS (SELECT subject, n - 3 AS df, '(Intercept)' AS term, b0 AS est, b0 / se0 AS t FROM r UNION ALL SELECT subject, n - 3, 'male', b1, b1 / se1 FROM r UNION ALL SELECT subject, n - 3, 'other_mean', b2, b2 / se2 FROM r),
+  """ + t_tail_sql("terms", "subject, term") + f" SELECT subject, term, round(t, 4) AS t, round(p, 6) AS p, printf('%.3f', round(est, 3)) || {STARS_SQL} AS marks FROM terms JOIN tails USING (subject, term)")
 def _(t):
-    return stats.with_t_p(ols_rows(t)).withColumn("marks", scales.starred(F.col("est"), F.col("p"), 3))
+    tests = stats.with_t_p(ols_rows(t)).withColumn("marks", scales.starred(F.col("est"), F.col("p"), 3))
+    return rounded(tests.select("subject", "term", "t", "p", "marks"), t=4, p=6)
 
 
 def simple_sql(x: str) -> str:
@@ -94,9 +122,12 @@ def _(t):
     return tests.select("subject", "n", "res_df", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
-@query("nested_ols_anova_p")
+@query("nested_ols_anova_p", PAIR_SQL + f""", u AS (SELECT subject, points AS y, CAST(gender = 'O' AS DOUBLE) AS a, focus_points AS b FROM pairs WHERE gender IS NOT NULL AND subject <> '{FOCUS}'),
+  {MOMENTS_SQL}, c2 AS (SELECT subject, (rss_reduced - rss) / s2 AS chi2, sqrt((rss_reduced - rss) / s2) AS z FROM s), {normal_tail_sql("c2", "subject")}
+  SELECT subject, round(chi2, 4) AS chi2, round(p, 6) AS anova_p FROM c2 JOIN tails USING (subject)""")
 def _(t):
-    return stats.anova_p(attain.subject_gap_tests(t.facts, t.cohort(), FOCUS, "F", "O"))
+    tests = stats.anova_p(attain.subject_gap_tests(t.facts, t.cohort(), FOCUS, "F", "O"))
+    return rounded(tests.select("subject", "chi2", "anova_p"), chi2=4, anova_p=6)
 
 
 @query("logit_uptake_flag", """people AS (SELECT * FROM cohort WHERE flag IS NOT NULL AND gender IS NOT NULL), offered AS (SELECT DISTINCT provider, subject FROM facts),
@@ -147,10 +178,11 @@ def _(t):
     return rounded_rows(logit.coefficient_rows(simple_logit(t), ["subject", "gender"], "score_100k").drop("p"))
 
 
-@query("logit_uptake_p")
+@query("logit_uptake_p", newton_sql(["subject", "gender"]) + """, terms AS (SELECT subject, gender, '(Intercept)' AS term, b0 / se0 AS z FROM fits UNION ALL SELECT subject, gender, 'score_100k', b1 / se1 FROM fits),
+  """ + normal_tail_sql("terms", "subject, gender, term") + f" SELECT subject, gender, term, round(z, 3) AS z, round(p, 6) AS p, {STARS_SQL} AS marks FROM terms JOIN tails USING (subject, gender, term)")
 def _(t):
     rows = logit.coefficient_rows(simple_logit(t), ["subject", "gender"], "score_100k")
-    return rows.withColumn("marks", scales.stars(F.col("p")))
+    return rounded(rows.withColumn("marks", scales.stars(F.col("p"))).select("subject", "gender", "term", "z", "p", "marks"), z=3, p=6)
 
 
 @query("logit_interaction", newton_sql(["subject", "gender", "ethnicity"]) + """, base AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY subject, gender ORDER BY n DESC, ethnicity DESC) = 1),
@@ -172,9 +204,10 @@ def _(t):
     return quality.select("subject", "gender", "n", "chi2_df", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
-@query("logit_fit_quality_p")
+@query("logit_fit_quality_p", newton_sql(["subject", "gender"]) + """, c2 AS (SELECT subject, gender, null_deviance - deviance AS chi2, sqrt(greatest(null_deviance - deviance, 0)) AS z FROM fits),
+  """ + normal_tail_sql("c2", "subject, gender") + " SELECT subject, gender, round(chi2, 4) AS chi2, 1 AS chi2_df, round(p, 6) AS p FROM c2 JOIN tails USING (subject, gender)")
 def _(t):
-    return logit.logit_fit_quality(simple_logit(t), "score_100k").select("subject", "gender", "chi2", "chi2_df", "p")
+    return rounded(logit.logit_fit_quality(simple_logit(t), "score_100k").select("subject", "gender", "chi2", "chi2_df", "p"), chi2=4, p=6)
 
 
 @query("significance_stars", """p AS (SELECT pupil, score / 1000000 AS p FROM pupils)

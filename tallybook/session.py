@@ -15,8 +15,8 @@ BASE_CONF = {
 }
 
 
-def local_session(cpus: int | str = 8, app: str = "tallybook", memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench."""
+def local_session(cpus: int | str = 8, app: str = "tallybook", memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; ``shared`` is the folder for intermediates."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -24,6 +24,8 @@ def local_session(cpus: int | str = 8, app: str = "tallybook", memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in BASE_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
