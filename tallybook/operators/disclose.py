@@ -146,11 +146,11 @@ def year_on_year(table: DataFrame, first: Triple, second: Triple, cutoff: int =
 
 
 def masks_to_text(table: DataFrame, counts: Sequence[str], percents: Sequence[str]) -> DataFrame:
-    """-1 to X, -2 to Y, everything else to text."""
+    """-1 to X, -2 to Y, null stays null, everything else to text."""
     for c in counts:
         table = table.withColumn(c, F.when(F.col(c) == -1, "X").when(F.col(c) == -2, "Y").otherwise(F.col(c).cast("string")))
     for c in percents:
-        table = table.withColumn(c, F.when(F.col(c) == -1, "X").when(F.col(c) == -2, "Y").otherwise(F.format_string("%.1f", c)))
+        table = table.withColumn(c, F.when(F.col(c) == -1, "X").when(F.col(c) == -2, "Y").when(F.col(c).isNotNull(), F.format_string("%.1f", c)))
     return table
 
 
