@@ -27,8 +27,8 @@ def half_up(value: Column, digits: int) -> Column:
 
 
 def fixed(value, digits: int) -> Column:
-    """Number as text with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", half_up(_col(value), digits))
+    """Number as text with a fixed count of decimals; null stays null."""
+    return F.when(_col(value).isNotNull(), F.format_string(f"%.{digits}f", half_up(_col(value), digits)))
 
 
 def number(value) -> Column:

@@ -45,9 +45,11 @@ def welch_ttest(df: DataFrame, groups: Sequence[str], value: Column, in_a: Colum
 
 
 def with_p(tests: DataFrame) -> DataFrame:
-    """Two-sided p of a t column, and the test as text."""
+    """Two-sided p of a t column, and the test as text; a test without a value has no text."""
     out = tests.withColumn("p", tails.p_of_t(F.col("t"), F.col("df")))
-    return out.withColumn("description", F.format_string("_t_(%.0f)=%.3f _p_=%.3f _d_=%.2f", "df", "t", "p", "d"))
+    known = F.col("df").isNotNull() & F.col("t").isNotNull() & F.col("p").isNotNull() & F.col("d").isNotNull()
+    text = F.format_string("_t_(%.0f)=%.3f _p_=%.3f _d_=%.2f", "df", "t", "p", "d")
+    return out.withColumn("description", F.when(known, text))
 
 
 # --- least squares ----------------------------------------------------------------------------------------------

@@ -17,6 +17,12 @@ def cells(df):
     return [(r["a"], r["b"], r["p"]) for r in df.orderBy("id").collect()]
 
 
+def test_masks_to_text_keeps_null(spark):
+    table = spark.createDataFrame([(0, None), (-1, -1.0), (-2, -2.0), (10, 12.5)], "part long, per double")
+    got = {tuple(r) for r in disclose.masks_to_text(table, ["part"], ["per"]).collect()}
+    assert got == {("0", None), ("X", "X"), ("Y", "Y"), ("10", "12.5")}
+
+
 def test_suppress_triple_masks_the_whole_first(spark):
     got = cells(disclose.suppress_triple(triples(spark, [(100, 97), (100, 3), (5, 5), (12, 6), (12, 8), (6, 0), (103, 97)]), TRIPLE))
     assert got == [
