@@ -250,7 +250,8 @@ def subject_gender_means(facts: DataFrame, people: DataFrame, female: str = "F",
 
 
 def _mean_sd(mean: str, sd: str) -> Column:
-    return F.concat(fixed(mean, 2), F.lit("("), fixed(sd, 2), F.lit(")"))
+    """Mean and, in brackets, the deviation, which a single value has not ("null")."""
+    return F.concat(fixed(mean, 2), F.lit("("), F.coalesce(fixed(sd, 2), F.lit("null")), F.lit(")"))
 
 
 def entry_profile(
