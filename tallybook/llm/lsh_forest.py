@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +19,9 @@ from .textbatch import SEED, per_document, pieces, shingles, word_hashes
 
 @dataclass(frozen=True)
 class Forest:
-    """``trees`` tries over ``depth`` MinHash values; matched prefixes are shortened until a pair of similarity
-    ``threshold`` shares one in some tree with probability ``recall``. ``block`` documents or ``block_shingles``
-    shingles at most meet in one task when verified."""
+    """``trees`` tries over ``depth`` MinHash values. Matched prefixes begin at full depth and are shortened until a pair of
+    similarity ``threshold`` shares one in some tree with probability ``recall``. ``block`` documents or
+    ``block_shingles`` shingles at most meet in one task when verified."""
 
     threshold: float = 0.8
     size: int = 5
@@ -31,20 +31,34 @@ class Forest:
     block: int = 512
     block_shingles: int = 1_000_000
 
-    def prefix(self) -> int:
-        for length in range(self.depth, 0, -1):
-            if 1 - (1 - self.threshold**length) ** self.trees >= self.recall:
-                return length
-        raise ValueError("no prefix reaches the recall; use more trees")
+    def shortened(self, joins: Mapping[tuple[int, int], int]) -> list[int]:
+        """Matched prefix length of each tree; ``joins[tree, n]``: leaves that share just n levels with the leaf before.
+
+        Shortening a tree's prefix to n joins these leaves to their neighbours, and lowers the chance that a pair at the
+        threshold is missed in all trees. The tree with the fewest new joins for its gain goes a level up, until the chance
+        is low enough; of equal ones the longest prefix.
+        """
+        lengths = [self.depth] * self.trees
+
+        def miss(n: int) -> float:
+            return 1 - self.threshold**n
+
+        while math.prod(map(miss, lengths)) > 1 - self.recall:
+            price = [
+                (joins.get((tree, n - 1), 0) / math.log(miss(n) / miss(n - 1)), -n, tree)
+                for tree, n in enumerate(lengths) if n > 1
+            ]
+            if not price:
+                raise ValueError("no prefix reaches the recall; use more trees")
+            lengths[min(price)[2]] -= 1
+        return lengths
 
 
 def _signatures(p: Forest):
-    """Tasks that sketch whole texts: digest of the shingle set, its size, and a matched prefix for each tree."""
-    length = p.prefix()
+    """Tasks that sketch whole texts: digest of the shingle set, its size, and the path in each tree, two bytes a level."""
     rng = np.random.default_rng(SEED + 2)
-    factors = rng.integers(0, 2**31, p.trees * length, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    masks = rng.integers(0, 2**32, p.trees * length, dtype=np.uint32)
-    joiners = rng.integers(0, 2**62, length, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = rng.integers(0, 2**31, p.trees * p.depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    masks = rng.integers(0, 2**32, p.trees * p.depth, dtype=np.uint32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,23 +68,83 @@ def _signatures(p: Forest):
                 short = (values >> np.uint64(32)).astype(np.uint32)
                 counts = np.diff(first)
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1], first[1:])]
-                paths = np.zeros((high - low, p.trees), np.uint64)
-                for tree in range(p.trees):
-                    for level in range(length):
-                        i = tree * length + level
-                        least = per_document((short ^ masks[i]) * factors[i], first, np.minimum, 0)
-                        paths[:, tree] = (paths[:, tree] ^ least.astype(np.uint64)) * joiners[level]
-                        paths[:, tree] ^= paths[:, tree] >> np.uint64(29)
+                paths = np.zeros((high - low, p.trees * p.depth), np.dtype(">u2"))
+                for i in range(p.trees * p.depth):
+                    least = per_document((short ^ masks[i]) * factors[i], first, np.minimum, 0)
+                    paths[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
                 own = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("doc_id"), own.column("key"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1) * p.trees, pa.int32()), pa.array(paths.ravel().view(np.int64)))],
+                    [own.column("doc_id"), own.column("key"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in paths], pa.binary())],
                     ["doc_id", "key", "digest", "n_shingles", "paths"],
                 )
 
     return sketch
 
 
+def _walk(p: Forest):
+    """Tasks that walk sorted leaves: for each that shares levels with the leaf before it, how many, and for every prefix
+    length the first leaf of the run that shares such a prefix. The first and last leaf of a task come with their paths."""
+
+    def rows(uid, tree, levels, heads, paths) -> pa.RecordBatch:
+        n = len(uid)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * p.depth, pa.int32()), pa.array(heads.ravel()))
+        columns = [pa.array(uid, pa.int64()), pa.array(tree, pa.int32()), pa.array(levels, pa.int32()), lists, pa.array(paths, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["uid", "tree", "levels", "heads", "path"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # tree, path, uid and heads of the leaf before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, uid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "uid"))
+            path = np.frombuffer(b"".join(batch.column("path").to_pylist()), ">u2").reshape(-1, p.depth)
+            shared = np.zeros((len(uid), p.depth), bool)
+            shared[1:] = (path[1:] == path[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            if last is not None:
+                shared[0] = (path[0] == last[1]) & (tree[0] == last[0])
+            shared = np.logical_and.accumulate(shared, axis=1)
+            begin = np.maximum.accumulate(np.where(shared, -1, np.arange(len(uid))[:, None]), axis=0)
+            heads = uid[np.maximum(begin, 0)]
+            if last is not None:
+                heads = np.where(begin < 0, last[3][None, :], heads)
+            else:
+                yield rows(uid[:1], tree[:1], [0], heads[:1], [path[0].tobytes()])
+            joined = shared[:, 0]
+            if joined.any():
+                yield rows(uid[joined], tree[joined], shared[joined].sum(axis=1), heads[joined], [None] * int(joined.sum()))
+            last = tree[-1], path[-1], uid[-1], heads[-1]
+        if last is not None:
+            yield rows([last[2]], [last[0]], [0], last[3][None, :], [last[1].tobytes()])
+
+    return walk
+
+
+def trie_joins(leaves: DataFrame, p: Forest) -> DataFrame:
+    """(uid, tree, levels, heads): every leaf (uid, tree, path) that shares the first ``levels`` > 0 levels with the leaf
+    before it in the order of its tree; ``heads[n]`` is a leaf of the same tree with the same first n levels.
+
+    Sorted paths are the trie: leaves with the same prefix stand together. The sort is by range, and by ``uid`` within
+    equal paths, so that a prefix shared by very many leaves spans tasks; the ends of the tasks, two each, are walked again.
+    """
+    schema = "uid long, tree int, levels int, heads array<long>, path binary"
+    order = ["tree", "path", "uid"]
+    walked = stored(leaves.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(p), schema), "tries")
+    ends = walked.filter("levels = 0").select(*order).distinct().coalesce(1).sortWithinPartitions(*order)
+    return walked.unionAll(ends.mapInArrow(_walk(p), schema)).filter("levels > 0").select("uid", "tree", "levels", "heads")
+
+
+def candidate_edges(sets: DataFrame, p: Forest) -> DataFrame:
+    """(a, b): each node (uid, paths) with the head of its run in every tree, at the prefix lengths that reach the recall."""
+    width = 2 * p.depth
+    tree = sets.select("uid", "paths", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree"))
+    leaves = tree.select("uid", "tree", F.substring(F.col("paths"), F.col("tree") * width + 1, F.lit(width)).alias("path"))
+    joins = trie_joins(leaves, p)
+    seen = joins.groupBy("tree", "levels").agg(F.count("*").alias("n")).collect()  # trees x depth rows at most
+    lengths = p.shortened({(r["tree"], r["levels"]): r["n"] for r in seen})
+    length = F.element_at(F.array(*map(F.lit, lengths)), F.col("tree") + 1)
+    return joins.filter(F.col("levels") >= length).select(F.col("uid").alias("a"), F.element_at("heads", length).alias("b"))
+
+
 def _shingle_sets(p: Forest):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,15 +215,15 @@ def jaccard_classes(docs: DataFrame, p: Forest = Forest(), id_col: str = "doc_id
     digits, A-Z as a-z; a shorter text is one shingle) is ``threshold`` or more. ``n_links`` counts a document's links,
     copies included; ``class`` joins what links connect, and (class_id, class_key) is its least (id, text digest).
 
-    Documents with equal sets are one node, so groups of copies cost one row. The forest's prefix buckets link each
-    member to the bucket's least one; connected buckets are candidate components. All pairs of a component are then
+    Documents with equal sets are one node, so groups of copies cost one row. Each tree's paths are sorted into a trie, in
+    which leaves that share a matched prefix are linked to one of them; what links connect is a candidate component. All pairs of a component are then
     compared exactly: small components share blocks, large ones are cut into chunks, and each pair of chunks is a block
     of its own, from which only link counts and one label a document come back. Documents without words (null, empty)
     have no links and are classes of their own.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(text_col).alias("key"))
     kinds = dict(own.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, key binary, digest binary, n_shingles long, paths array<long>"
+    schema = f"doc_id {kinds['doc_id']}, key binary, digest binary, n_shingles long, paths binary"
     sketched = stored(own.mapInArrow(_signatures(p), schema), "sketches")
     sets = sketched.filter("n_shingles > 0").groupBy("digest").agg(
         F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "key")).alias("least"), F.min("key").alias("key"),
@@ -157,10 +231,7 @@ def jaccard_classes(docs: DataFrame, p: Forest = Forest(), id_col: str = "doc_id
     )
     sets = stored(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
 
-    leaves = sets.select("uid", F.posexplode("paths").alias("tree", "path")).select("uid", F.xxhash64("tree", "path").alias("node"))
-    nodes = leaves.groupBy("node").agg(F.min("uid").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    edges = leaves.join(nodes, "node").select(F.col("uid").alias("a"), F.col("least").alias("b"))
-    members = stored(components(edges), "candidates").join(sets.select(F.col("uid").alias("id"), "key", "n_docs", "n_shingles"), "id")
+    members = stored(components(candidate_edges(sets, p)), "candidates").join(sets.select(F.col("uid").alias("id"), "key", "n_docs", "n_shingles"), "id")
 
     sums = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     load = F.greatest(F.col("n") / p.block, F.col("m") / p.block_shingles)

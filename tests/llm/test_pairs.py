@@ -66,12 +66,46 @@ def test_jaccard_join(spark, docs_of, block):
     assert {i: got[i].class_id for i in ids} == {i: ids[r] for i, r in zip(ids, roots)}
 
 
-def test_prefix_is_shortened_until_the_recall():
-    assert lsh_forest.Forest(recall=0.5).prefix() > lsh_forest.Forest().prefix()
-    length = lsh_forest.Forest().prefix()
-    assert 1 - (1 - 0.8**length) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (length + 1)) ** 20
+def test_prefixes_are_shortened_until_the_recall():
+    def recall(lengths):
+        return 1 - np.prod([1 - 0.8**n for n in lengths])
+
+    lengths = lsh_forest.Forest().shortened({})
+    assert recall(lengths) >= 0.9999 and max(lengths) - min(lengths) <= 1
+    longer = [n + (i == lengths.index(min(lengths))) for i, n in enumerate(lengths)]
+    assert recall(longer) < 0.9999
+    crowded = lsh_forest.Forest().shortened({(0, n): 10**6 for n in range(1, 7)} | {(1, n): n for n in range(1, 7)})
+    assert crowded[0] == 6 and recall(crowded) >= 0.9999
     with pytest.raises(ValueError):
-        lsh_forest.Forest(trees=1).prefix()
+        lsh_forest.Forest(trees=1).shortened({})
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_sorted_tries_hold_every_shared_prefix(spark, partitions):
+    p = lsh_forest.Forest(trees=2, depth=3)
+    rnd = random.Random(partitions)
+    paths = {(uid, tree): tuple(rnd.choice([1, 256, 513]) for _ in range(3)) for uid in range(120) for tree in range(2)}
+    rows = [(uid, tree, bytearray(np.array(path, ">u2").tobytes())) for (uid, tree), path in paths.items()]
+    leaves = spark.createDataFrame(rows, "uid long, tree int, path binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    joins = lsh_forest.trie_joins(leaves, p).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for n in (1, 2, 3):
+        group = {k: k for k in paths}
+
+        def root(k):
+            while group[k] != k:
+                k = group[k]
+            return k
+
+        for r in joins:
+            if r.levels >= n:
+                a, b = (r.uid, r.tree), (r.heads[n - 1], r.tree)
+                assert paths[a][:n] == paths[b][:n]
+                group[root(a)] = root(b)
+        prefixes = {(tree, path[:n]) for (_, tree), path in paths.items()}
+        assert len({root(k) for k in paths}) == len(prefixes)
 
 
 def test_one_of_each_class(spark, docs_of):
