@@ -18,8 +18,8 @@ class Lists:
     """``sample``: vectors the index is fitted on at most. ``list_size``: vectors a list should hold, ``most_lists`` bounds
     their number and so the broadcast centroids. A vector is filed in the lists whose centroids are at most ``spread``
     times as far as the nearest, in ``replicas`` at most; a query reads the lists up to ``ratio`` times as far. ``beam``
-    (of a query) and ``filing_beam``: centroids kept by a graph search, ``degree``: neighbours of a centroid in the graph. ``block``: vectors of a list
-    that one task compares."""
+    (of a query) and ``filing_beam``: centroids kept by a graph search, ``degree``: neighbours of a centroid in the graph. ``block``: vectors, and
+    queries, of a list that one task compares."""
 
     sample: int = 20_000
     list_size: int = 200
@@ -176,7 +176,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, p: Lists = Lists()
     Equal vectors are one entry with their k + 1 lowest ids, so that a vector that very many rows share costs one row. The
     index is fitted on a bounded sample: balanced clusters and a graph over their centroids. Every vector is filed by a
     walk on that graph, in several lists if it lies at a boundary; a query walks the same graph and reads the lists that
-    the distance ratio selects. Long lists are split into blocks, each of which meets the list's queries in one task.
+    the distance ratio selects. The vectors and the queries of a long list are split into blocks, of which each two meet in
+    one task.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asks"))
@@ -201,12 +202,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, p: Lists = Lists()
     filed_schema = "vid long, vector array<double>, list int"
     filed = stored(entries.select("vid", "vector").mapInArrow(_file(graph, p.filing_beam, dim, p.spread, p.replicas), filed_schema), "lists")
     asked = stored(entries.filter("asks").select("vid", "vector").mapInArrow(_file(graph, p.beam, dim, p.ratio, None), filed_schema), "asked")
-    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
-    sizes = F.broadcast(stored(sizes, "sizes"))  # one row a list, at most ``most_lists``
+    parts = asked.groupBy("list").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
+    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")).join(parts, "list")
+    sizes = F.broadcast(stored(sizes, "sizes"))  # one row a list that is read, at most ``most_lists``
+    part = F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")
     left = filed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).join(entries.select("vid", "low"), "vid")
-    right = asked.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left, right = left.select("list", "block", "vid", "vector", "low"), right.select("list", "block", "vid", "vector")
-    found = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(_compare(dim, k + 1), "qid long, vid long, score double")
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "block", "part", "vid", "vector", "low")
+    right = asked.join(sizes, "list").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.select("list", "block", "part", "vid", "vector")
+    keys = ["list", "block", "part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare(dim, k + 1), "qid long, vid long, score double")
     met = found.groupBy("qid", "vid").agg(F.min("score").alias("score"))
     best = met.join(entries.select("vid", "ids", "low"), "vid")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("score", "low"))

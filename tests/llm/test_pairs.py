@@ -230,7 +230,8 @@ def brute_nearest(rows, k=10):
     return out
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("block", [50, 3])
+def test_neighbours(spark, block):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8)) * 3
     rows = [(i, [float(np.float32(v)) for v in centres[i % 6] + rng.normal(size=8)]) for i in range(3000)]
@@ -238,7 +239,7 @@ def test_neighbours(spark):
     rows += [(5000, None), (5100, [0.0] * 8), (5200, [float("nan")] * 8), (5300, [1.0] * 7 + [None]), (5400, [1.0] * 3), (5500, [float("inf")] * 8)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("vid", F.lit(1)).withColumn("list", F.lit(2))
     got = {}
-    for r in posting_lists.nearest(vectors, F.col("vec_id") % 100 == 0, p=posting_lists.Lists(list_size=100, block=50)).collect():
+    for r in posting_lists.nearest(vectors, F.col("vec_id") % 100 == 0, p=posting_lists.Lists(list_size=100, block=block)).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = brute_nearest(rows)
     assert set(got) == set(want)
