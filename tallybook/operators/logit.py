@@ -10,9 +10,9 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import tails
+from ..session import cut_lineage
 from .common import count_if, null_safe_join
 
 FIT = "n long, b0 double, b1 double, se0 double, se1 double, deviance double, null_deviance double, converged boolean"
@@ -39,36 +39,33 @@ def grouped_logit(
     estimates ran off (complete separation).
     """
     spark = df.sparkSession
-    counts = (
+    # Stored in the shared folder: read once a step, and a lost executor costs a re-read only.
+    counts = cut_lineage(
         df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*groups, F.col(x).cast("double").alias("__x"))
         .agg(F.count("*").alias("__n"), F.sum(y).cast("double").alias("__s"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    try:
-        summary = counts.groupBy(*groups).agg(
-            F.sum("__n").alias("n"), F.sum("__s").alias("s"), F.sum(F.col("__x") * F.col("__n")).alias("sx"),
-            F.sum(F.col("__x") * F.col("__x") * F.col("__n")).alias("sxx"), (F.min("__x") < F.max("__x")).alias("varies"),
-        ).filter((F.col("n") > min_n) & (F.col("s") > 0) & (F.col("s") < F.col("n")) & F.col("varies"))
-        # One row per group: subjects x genders x categories, coded lists all of them.
-        fits = {}
-        for r in summary.collect():
-            mean = r["sx"] / r["n"]
-            scale = math.sqrt(max(r["sxx"] / r["n"] - mean * mean, 0.0)) or 1.0
-            share = r["s"] / r["n"]
-            fits[tuple(r[g] for g in groups)] = {
-                "n": r["n"], "mean": mean, "scale": scale, "b": [math.log(share / (1 - share)), 0.0], "done": False,
-                "null": -2 * (r["s"] * math.log(share) + (r["n"] - r["s"]) * math.log(1 - share)),
-            }
-        for _ in range(steps):
-            open_groups = {k: f for k, f in fits.items() if not f["done"]}
-            if not open_groups:
-                break
-            for r in _newton_sums(spark, counts, groups, open_groups, summary).collect():
-                _newton_step(fits[tuple(r[g] for g in groups)], r, tolerance)
-        rows = [(*key, *_fit_row(f)) for key, f in fits.items()]
-    finally:
-        counts.unpersist()
+    summary = counts.groupBy(*groups).agg(
+        F.sum("__n").alias("n"), F.sum("__s").alias("s"), F.sum(F.col("__x") * F.col("__n")).alias("sx"),
+        F.sum(F.col("__x") * F.col("__x") * F.col("__n")).alias("sxx"), (F.min("__x") < F.max("__x")).alias("varies"),
+    ).filter((F.col("n") > min_n) & (F.col("s") > 0) & (F.col("s") < F.col("n")) & F.col("varies"))
+    # One row per group: subjects x genders x categories, coded lists all of them.
+    fits = {}
+    for r in summary.collect():
+        mean = r["sx"] / r["n"]
+        scale = math.sqrt(max(r["sxx"] / r["n"] - mean * mean, 0.0)) or 1.0
+        share = r["s"] / r["n"]
+        fits[tuple(r[g] for g in groups)] = {
+            "n": r["n"], "mean": mean, "scale": scale, "b": [math.log(share / (1 - share)), 0.0], "done": False,
+            "null": -2 * (r["s"] * math.log(share) + (r["n"] - r["s"]) * math.log(1 - share)),
+        }
+    for _ in range(steps):
+        open_groups = {k: f for k, f in fits.items() if not f["done"]}
+        if not open_groups:
+            break
+        for r in _newton_sums(spark, counts, groups, open_groups, summary).collect():
+            _newton_step(fits[tuple(r[g] for g in groups)], r, tolerance)
+    rows = [(*key, *_fit_row(f)) for key, f in fits.items()]
     fields = ", ".join(f"`{g}` {summary.schema[g].dataType.simpleString()}" for g in groups)
     return spark.createDataFrame(rows, f"{fields}, {FIT}")
 

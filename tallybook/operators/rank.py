@@ -39,7 +39,7 @@ def dense_rank_desc(value: str, group: Sequence[str] = ()) -> Column:
     return F.when(F.col(value).isNotNull(), F.dense_rank().over(window))
 
 
-def _with_cuts_below(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
+def with_cuts_below(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
     """Number of the (sorted, distinct) cut points below a value, by halving: compiled comparisons, no lambda."""
     df = df.withColumn(name, F.lit(0))
     step = 1 << (buckets - 1).bit_length() - 1
@@ -60,7 +60,7 @@ def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: s
     """
     steps = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(order, steps, 10 * buckets)).alias("__cuts"))
-    placed = _with_cuts_below(attach_bounded(df, cuts, groups), order, "__below", buckets)
+    placed = with_cuts_below(attach_bounded(df, cuts, groups), order, "__below", buckets)
     on_cut = F.coalesce(F.get("__cuts", F.col("__below")) == F.col(order), F.lit(False)).cast("int")
     placed = placed.withColumn("__bucket", 2 * F.col("__below") + on_cut).drop("__cuts", "__below")
     keys = [*groups, "__bucket"]
@@ -73,7 +73,7 @@ def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: s
         .groupBy(*keys)
         .agg(F.array_distinct(F.percentile_approx(tie, steps, 10 * buckets)).alias("__cuts"))
     )
-    placed = _with_cuts_below(attach_bounded(placed, tie_cuts, keys, "left"), tie, "__sub", buckets).drop("__cuts")
+    placed = with_cuts_below(attach_bounded(placed, tie_cuts, keys, "left"), tie, "__sub", buckets).drop("__cuts")
     keys = [*keys, "__sub"]
     counts = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*groups)

@@ -1,6 +1,6 @@
 """Exact nearest distance from points to a reference point set, without comparing all pairs.
 
-The reference set is summarised in a pyramid of square cells, each with its tight bounding box. Every
+The reference set is summarised in a pyramid of cells of equal counts, each with its tight bounding box. Every
 point starts with the top cell and descends level by level: its candidate cells are replaced by their
 occupied children (at most 16), the smallest upper bound over the candidates is kept, and cells whose
 lower bound exceeds it are dropped. A point so carries a handful of cells whatever the density; only
@@ -9,12 +9,17 @@ the reference points of the last surviving cells are measured. Every level is an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import one_value
+from .common import attach_bounded, one_value
+from .rank import with_cuts_below
 
 SPLIT = 4  # cells per side when a cell is divided
+LEAF = 64  # reference points a smallest cell should hold
+MOST_LEVELS = 5
 
 
 def _cell(level: int, levels: int, ix: Column, iy: Column) -> list[Column]:
@@ -30,20 +35,40 @@ def _box_reach(value: Column, low: str, high: str) -> Column:
     return F.greatest(F.abs(value - F.col(low)), F.abs(F.col(high) - value))
 
 
+def _levels_for(count: int) -> int:
+    """Depth at which cells of equal counts hold about ``LEAF`` points, ``MOST_LEVELS`` at most."""
+    return min(max(math.ceil(math.log(max(count / LEAF, 1), SPLIT * SPLIT)), 1), MOST_LEVELS)
+
+
+def equal_count_cells(refs: DataFrame, levels: int) -> DataFrame:
+    """Add ``ix``, the strip of ``rx``, and ``iy``, the bin of ``ry`` in its strip; each cut at approximate quantiles.
+
+    Cells follow the points, so that a dense cluster is split however far the other points lie.
+    """
+    cells = SPLIT**levels
+    steps = [i / cells for i in range(1, cells)]
+
+    def cuts(value: str) -> Column:
+        return F.array_distinct(F.percentile_approx(value, steps, 10 * cells)).alias("__cuts")
+
+    strips = with_cuts_below(refs.withColumn("__cuts", one_value(refs, cuts("rx"))), "rx", "ix", cells).drop("__cuts")
+    bins = attach_bounded(strips, strips.groupBy("ix").agg(cuts("ry")), ["ix"])
+    return with_cuts_below(bins, "ry", "iy", cells).drop("__cuts")
+
+
 def nearest_distance(
-    points: DataFrame, reference: DataFrame, cutoff: float | None = None, levels: int = 4, x: str = "x", y: str = "y"
+    points: DataFrame, reference: DataFrame, cutoff: float | None = None, levels: int | None = None, x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Points with ``distance`` to the nearest reference point, and ``near`` (distance <= cutoff) if asked for.
 
-    The smallest cell is the reference set's extent / 4**levels wide, so that at most four top cells exist.
-    The result is exact for any choice; points and vertices without coordinates take no part.
+    There are 4**levels strips of equal counts and as many bins in each; the depth follows the number of reference
+    points if not given. The result is exact for any depth; points and vertices without coordinates take no part.
     """
     id_cols = points.columns
-    extent = F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y))
-    leaf = one_value(reference, F.when(extent > 0, extent / SPLIT**levels).otherwise(1.0).alias("leaf"))
-    refs = reference.select(F.col(x).alias("rx"), F.col(y).alias("ry")).dropna().distinct()
+    refs = cut_lineage(reference.select(F.col(x).alias("rx"), F.col(y).alias("ry")).dropna().distinct())
+    levels = _levels_for(refs.count()) if levels is None else levels
     # Stored once: every level reads the cells, the last step the reference points.
-    refs = cut_lineage(refs.withColumns({"ix": F.floor(F.col("rx") / leaf), "iy": F.floor(F.col("ry") / leaf)}))
+    refs = cut_lineage(equal_count_cells(refs, levels))
 
     box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
     leaves = cut_lineage(refs.groupBy("ix", "iy").agg(
@@ -53,7 +78,7 @@ def nearest_distance(
     # One row per distinct location keeps a hot location from being searched more than once.
     places = points.select(F.col(x).alias("px"), F.col(y).alias("py")).dropna().distinct()
     top = leaves.select(*_cell(0, levels, F.col("ix"), F.col("iy"))).distinct()
-    # At most four cells, held in one array.
+    # One cell, held in an array.
     tops = top.agg(F.collect_list(F.struct(F.col("cx").alias("parent_x"), F.col("cy").alias("parent_y")))).scalar()
     found = places.withColumn("cell", F.explode(tops)).select("px", "py", "cell.*")
 

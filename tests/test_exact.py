@@ -36,7 +36,7 @@ def test_bands_with_one_value_holding_most_rows(spark, bands):
     assert got[20_000] is None
 
 
-@pytest.mark.parametrize("levels", [1, 4])
+@pytest.mark.parametrize("levels", [None, 1, 4])
 def test_nearest_distance_is_exact(spark, levels):
     rng = random.Random(2)
     cluster = [(rng.gauss(0, 0.01), rng.gauss(0, 0.01)) for _ in range(300)]
@@ -53,6 +53,14 @@ def test_nearest_distance_is_exact(spark, levels):
     assert got[999][0] is None and len(got) == len(points) + 1
 
 
+def test_a_dense_cluster_is_split_however_far_the_other_points_lie(spark):
+    rng = random.Random(9)
+    rows = [(rng.random(), rng.random()) for _ in range(4000)] + [(1e6, 1e6)] + [(0.5, i / 500) for i in range(500)]
+    cells = spatial.equal_count_cells(spark.createDataFrame(rows, "rx double, ry double"), 3)
+    sizes = [r["count"] for r in cells.groupBy("ix", "iy").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 16
+
+
 def test_best_attempt_with_one_pupil_holding_a_third_of_all_rows(spark):
     rng = random.Random(3)
     data = [(2017, "hot" if rng.random() < 0.34 else f"p{rng.randint(0, 300)}", rng.randint(1, 20), 310, f"s{rng.randint(0, 3)}", f"q{rng.randint(0, 2)}", "A", float(rng.randint(0, 8))) for _ in range(3000)]
