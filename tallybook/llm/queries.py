@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, labelled, line_crf, lsh_forest, mixing, phrases, placement, posting_lists, reputation, severity, suffixes
+from . import chat, labelled, line_crf, lsh_forest, mixing, periodic, phrases, placement, posting_lists, reputation, severity, suffixes
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -202,3 +202,66 @@ def op3_chat_format(spark, sf_dir):
 @query("op7_posting_lists")
 def op7_posting_lists(spark, sf_dir):
     return posting_lists.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def _crc_nibbles():
+    """Remainders of the 16 half bytes under the reflected CRC-32 polynomial."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+OP12_SQL = f"""
+WITH halves AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT & 15, ascii(c)::BIGINT >> 4])) AS h FROM documents),
+numbered AS (
+  SELECT uid, doc_id, w, len(w)::BIGINT AS n,
+         xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], h), lambda c, x: xor(c >> 4, [{", ".join(f"{x}::BIGINT" for x in _crc_nibbles())}][(xor(c, x) & 15) + 1]))) AS h FROM halves),
+placed AS (SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM numbered),
+d AS (
+  SELECT uid, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM placed),
+words AS (SELECT uid, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
+matches AS (SELECT uid, b.i - a.i AS lag, b.i FROM words a JOIN words b USING (uid, x, n) WHERE b.i > a.i AND 3 * (b.i - a.i) <= n),
+marked AS (SELECT uid, lag, i, i - row_number() OVER (PARTITION BY uid, lag ORDER BY i) AS g FROM matches),
+diagonals AS (SELECT uid, lag, min(i) - lag AS start, count(*) + lag AS length FROM marked GROUP BY uid, lag, g HAVING count(*) >= greatest(24 - lag, 2 * lag)),
+runs AS (SELECT uid, start, length, min(lag) AS period FROM diagonals GROUP BY uid, start, length),
+summed AS (
+  SELECT uid, count(*) AS n_runs, first({{'s': start, 'l': length, 'p': period}} ORDER BY length::DOUBLE / period DESC, start, period) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY uid),
+dropped AS (SELECT DISTINCT uid, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (SELECT uid, string_agg(x, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (uid, i) GROUP BY uid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+       (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN summed USING (uid) LEFT JOIN collapsed USING (uid)
+"""
+
+
+def _looped(docs):
+    """``docs`` (doc_id, text); of a tenth of them, by checksum of the id, the words from some place on are a loop."""
+    check = F.crc32(F.col("doc_id").cast("string"))
+    chosen = F.coalesce(check % 10 == 0, F.lit(False))
+    rows = docs.withColumn("g", F.floor(check / 10).cast("long")).withColumn("words", F.when(chosen, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    rows = rows.withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.col("g") % F.greatest(F.col("n"), F.lit(1).cast("long")))
+    rows = rows.withColumn("p", F.lit(1).cast("long") + F.expr("(n - a) div (3 + g % 8)"))
+    loop = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.flatten(F.array_repeat(loop, F.expr("cast((n - a) div p + 1 as int)")))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), (F.col("n") - F.col("a")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", OP12_SQL)
+def op12_periodic_runs(spark, sf_dir):
+    """Runs of all documents, a tenth of which are given a loop first."""
+    found = periodic.collapse_runs(_looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+                    lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * b.length div b.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "b.start", "b.length", "b.period", exponent, "runs_sha256", "collapsed_sha256")
