@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, labelled, line_crf, lsh_forest, mixing, periodic, phrases, placement, posting_lists, reputation, severity, suffixes
+from . import chat, labelled, line_crf, lsh_forest, mixing, periodic, phrases, placement, posting_lists, reputation, severity, suffixes, threshold_join
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -265,3 +265,34 @@ def op12_periodic_runs(spark, sf_dir):
                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
     exponent = F.expr("1000 * b.length div b.period").alias("exponent_milli")
     return rows.select("doc_id", "n_runs", "b.start", "b.length", "b.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+OP11_SQL = """
+WITH good AS (
+  SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+rows AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM good),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    """Every seventh row has a changed label; components are whole 256ths."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+
+    def whole(x):  # the largest whole number up to 256 x, as a double
+        near = F.rint(256 * x.cast("double"))
+        return near - (near > 256 * x.cast("double")).cast("double")
+
+    rows = rows.withColumn("embedding", F.transform("embedding", whole))
+    return threshold_join.hard_negatives(rows, F.col("vec_id") % 100 == 0)
