@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from . import chat, labelled, line_crf, lsh_forest, mixing, periodic, phrases, placement, posting_lists, reputation, severity, suffixes, threshold_join
+from . import chat, labelled, line_crf, lsh_forest, mixing, periodic, phrases, placement, posting_lists, reputation, secret_scan, severity, suffixes, threshold_join
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -296,3 +298,26 @@ def op11_hard_negatives(spark, sf_dir):
 
     rows = rows.withColumn("embedding", F.transform("embedding", whole))
     return threshold_join.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+SECRETS = (
+    secret_scan.Pattern("assign", re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE), 2, 6,
+                        (b"password", b"passwd", b"secret", b"token", b"api")),
+    secret_scan.Pattern("access", re.compile(rb"AKIA[A-Z0-9]+"), 0, 20, (b"akia",), 20),
+    secret_scan.Pattern("hex", re.compile(rb"[0-9a-f]{24,}"), 0, 24, (), 24),
+)
+
+
+@query("op13_secret_battery")
+def op13_secret_battery(spark, sf_dir):
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), SECRETS)
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    kinds = [p.kind for p in SECRETS]
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(written(of(*kinds)).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

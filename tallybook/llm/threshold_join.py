@@ -210,7 +210,7 @@ def _fill(rows: DataFrame, requests: DataFrame, n: int, dim: int, p: Mining) ->
     drawn = rows.orderBy(F.xxhash64("uid"), "uid").limit(p.sample).select("uid", "label", "vector").toArrow()  # ``sample`` rows
     sample, uids, labels = _matrix(drawn, dim), _column(drawn, "uid"), _column(drawn, "label")
     by_block = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
-    done, waiting = [], requests
+    filled, waiting = rows.sparkSession.createDataFrame([], "auid long, place int, vec_id long, score long, rank int"), requests
     best = Window.partitionBy("auid", "place").orderBy(F.desc("score"), "vec_id", "uid")
     for factor in (*p.rounds, None):
         number = waiting.count()
@@ -228,10 +228,7 @@ def _fill(rows: DataFrame, requests: DataFrame, n: int, dim: int, p: Mining) ->
         full = found.groupBy("auid", "place").agg(F.count("*").alias("n"))
         open_ = asked.join(full, ["auid", "place"], "left").filter("coalesce(n, 0) < want and threshold > low").drop("n", "threshold")
         waiting = stored(open_, "waiting")
-        done.append(found.join(waiting.select("auid", "place"), ["auid", "place"], "left_anti"))
-    filled = done[0]
-    for more in done[1:]:
-        filled = filled.unionByName(more)
+        filled = filled.unionByName(found.join(waiting.select("auid", "place"), ["auid", "place"], "left_anti"))
     return filled
 
 
@@ -277,8 +274,6 @@ def hard_negatives(vectors: DataFrame, anchors: Column, p: Mining = Mining(), id
     positives = stored(positives, "positives")
     second = positives.join(asking, "auid").select("auid", "place", "label", "vector", F.lit(False).alias("same"), F.lit(p.negatives).alias("want"),
                                                    limit(p.low, True).alias("low"), limit(p.high, False).alias("high")).filter("low <= high")
-    negatives = _fill(rows, stored(second, "requests"), n, dim, p).withColumnRenamed("vec_id", "negative_id").withColumnRenamed("score", "negative_score") if positives.head(1) else None
-    if negatives is None:
-        return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
+    negatives = _fill(rows, stored(second, "requests"), n, dim, p).withColumnRenamed("vec_id", "negative_id").withColumnRenamed("score", "negative_score")
     whole = negatives.join(positives, ["auid", "place"]).join(asking.select("auid", "anchor_id"), "auid")
     return whole.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
