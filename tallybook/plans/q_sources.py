@@ -1,5 +1,7 @@
 """Queries: scans and sinks (S). The raw extracts are written from the tables at hand, then read back."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import link, uptake
@@ -192,6 +194,64 @@ def _(t):
     return scan.scan_clean(t.spark, cleaned(t), "spread").groupBy("stage", "year").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
 
 
+RUN_PEOPLE = {"_PupilMatchingRefAnonymous": "PupilMatchingRefAnonymous", "_URN": "URN", "_GENDER": "GENDER", "KS2MAT": "KS2Mat"}
+RUN_RESULTS = {"_EXAMYEAR": "EXAMYEAR", "SUBLEVNO": "SUBLEVNO", "QAN": "QAN", "MAPPING": "MAPPING", "GRADE": "GRADE", "POINTS": "POINTS"}
+RUN_LATE = {"KS4_FSM": "KS4_FSM", "EVERFSM_6": "EVERFSM_6", "EVERFSM_3": "EVERFSM_3", "FSMeligible": "FSMeligible"}
+AGAIN = ("KS5", 1996)
+
+
+def extracts(t, results, pupils):
+    """Raw files of every stage and year, headers differing between the stages: path by (stage, year) and kind."""
+    folder = f"{scratch_folder(t.spark)}/raw"
+    stages = {"KS4": "A_", "KS5": "B_"}
+    for stage, mark in stages.items():
+        r = results.filter(F.col("stage") == stage).select(
+            F.col("pupil").alias(f"{mark}PupilMatchingRefAnonymous"), F.col("provider").alias(f"{mark}URN"), F.col("exam_year").alias(f"{mark}EXAMYEAR"),
+            F.col("level").alias("SUBLEVNO"), F.col("qualification").alias(f"{mark}QAN"), F.col("subject").alias("MAPPING"), F.col("grade").alias("GRADE"), F.col("points").alias("POINTS"), "year")
+        p = pupils.filter(F.col("stage") == stage).select(
+            F.col("gender").alias(f"{mark}GENDER"), F.col("pupil").alias(f"{mark}PupilMatchingRefAnonymous"), F.lit(1).alias(f"{mark}URN"), F.col("prior").alias(f"{mark}KS2MAT"), "year")
+        for name, df in (("results", r), ("pupils", p)):
+            df.repartition("year").write.partitionBy("year").option("header", True).option("sep", "\t").csv(f"{folder}/{stage}/{name}")
+    return folder
+
+
+@query("run_from_files", f"""raw AS (SELECT *, CASE level WHEN 'N' THEN 'KS5' ELSE 'KS4' END AS stage FROM results WHERE grade = 'O'),
+  again AS (SELECT * FROM raw WHERE NOT (stage = '{AGAIN[0]}' AND year = {AGAIN[1]} AND pupil % 2 = 1)),
+  own AS (SELECT *, rank() OVER (PARTITION BY stage, year, pupil, subject, qualification ORDER BY points DESC) AS r FROM again),
+  best AS (SELECT stage, year, pupil, level, provider, subject, max(points) AS points FROM own WHERE r = 1 GROUP BY ALL),
+  newer AS (SELECT DISTINCT stage, year, subject FROM best WHERE level = 'R'),
+  spread AS (SELECT b.stage, b.year, pupil, provider, b.subject, max(points) AS points FROM best b LEFT JOIN newer n ON b.stage = n.stage AND b.year = n.year AND b.subject = n.subject
+    WHERE NOT (level = 'A' AND n.subject IS NOT NULL) GROUP BY ALL)
+  SELECT stage, year, count(*) AS n, sum(points) AS points, any_value(k.n_pupils) AS n_pupils, any_value(k.prior) AS prior FROM spread
+    JOIN (SELECT year, count(*) AS n_pupils, round(sum(prior), 2) AS prior FROM pupils GROUP BY year) k USING (year) GROUP BY stage, year""")
+def _(t):
+    """From raw files of two stages and all years to the written spread; then one year of one stage again, with half its results."""
+    results = t.results.withColumns({
+        "stage": F.when(F.col("level") == "N", "KS5").otherwise("KS4"), "exam_year": F.when(F.col("grade") == "O", F.col("year")).otherwise(F.col("year") - 1),
+        "level": F.when(F.col("level") == "A", 310).when(F.col("level") == "R", 391).otherwise(111)})
+    early = t.pupils.withColumn("stage", F.lit("KS4"))
+    late = t.pupils.withColumns({"stage": F.lit("KS5"), "prior": F.when(F.col("pupil") % 3 == 0, F.col("prior"))})  # blanks come from the earlier stage
+    raw, folder = extracts(t, results, early.unionByName(late)), f"{scratch_folder(t.spark)}/out"
+    second = extracts(t, results.filter((F.col("stage") == AGAIN[0]) & (F.col("year") == AGAIN[1]) & (F.col("pupil") % 2 == 0)), late.filter(F.col("year") == AGAIN[1]))
+    years = [r.year for r in t.pupils.select("year").distinct().orderBy("year").collect()]
+    spec = {s: {str(y): RUN_PEOPLE | RUN_RESULTS | (RUN_LATE if s == "KS5" else {}) for y in years} for s in ("KS4", "KS5")}
+    specs = fields.field_filter_spec(t.spark.createDataFrame([(json.dumps(spec),)], "value string"))
+
+    def source(base, stage, year):
+        return {"stage": stage, "year": year, **{name: f"{base}/{stage}/{name}/year={year}" for name in ("pupils", "results")}}
+
+    levels, rules = {"KS4": [310, 391], "KS5": [111]}, {"supersede": {"KS4": (391, 310)}, "backfill": {"KS2Mat": "KS2Mat"}}
+    pipeline.run_from_files(t.spark, [source(raw, s, y) for s in ("KS4", "KS5") for y in years], specs, folder, levels, **rules)
+    pipeline.run_from_files(t.spark, [source(second, *AGAIN)], specs, folder, levels, **rules)
+    out = None
+    for stage in ("KS4", "KS5"):
+        spread = t.spark.read.parquet(f"{folder}/{stage}/spread").groupBy("stage", "year").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
+        people = t.spark.read.parquet(f"{folder}/{stage}/pupils").groupBy("stage", "year").agg(F.count("*").alias("n_pupils"), F.round(F.sum("KS2Mat"), 2).alias("prior"))
+        both = spread.join(people, ["stage", "year"])
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @query("clean_pupils", CLEAN_SQL + """ SELECT s.stage, p.year, CASE WHEN p.score > 20000 THEN p.pupil ELSE -p.pupil END AS pupil, p.gender,
     coalesce(CASE WHEN p.score > 100000 THEN p.prior END, n.v) AS prior
   FROM pupils p CROSS JOIN (VALUES ('KS4'), ('KS5')) s(stage) LEFT JOIN newest n ON n.pupil = CASE WHEN p.score > 20000 THEN p.pupil ELSE -p.pupil END""")

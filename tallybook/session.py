@@ -59,3 +59,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder for intermediate files in the shared folder."""
     return f"{shared_folder(spark)}/tallybook-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, in whatever store the path is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

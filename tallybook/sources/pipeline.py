@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scales
 from ..operators import clean, link
-from . import fields, scan
+from ..session import exists
+from . import scan
 from .sink import write_clean
 
 # Names in the field specs and in the long tables.
@@ -56,11 +57,19 @@ def spread_of(pupils: DataFrame, results: DataFrame, supersede: tuple | None = N
     return known.groupBy("stage", "year", "pupil", "provider", "subject").agg(F.max("points").alias("points"))
 
 
-def run(pupils: DataFrame, results: DataFrame, folder: str, supersede: tuple | None = None) -> dict[str, str]:
-    """Write pupils, results and the spread, which is made from the written tables, so the source is read once."""
+def run(
+    pupils: DataFrame, results: DataFrame, folder: str, supersede: tuple | None = None, years: Sequence[int] | None = None
+) -> dict[str, str]:
+    """Write pupils, results and the spread, which is made from the written tables, so the source is read once.
+
+    ``years``: the years at hand; the spread of other years already in the folder is left as it is (None: all are made anew).
+    A run that failed between two tables is mended by running it again.
+    """
     spark = pupils.sparkSession
     paths = {name: write_clean(df, folder, name) for name, df in (("pupils", pupils), ("results", results))}
     written = [spark.read.parquet(paths[name]) for name in ("pupils", "results")]
+    if years is not None:
+        written = [df.filter(F.col("year").isin(sorted(set(years)))) for df in written]
     return paths | {"spread": write_clean(spread_of(*written, supersede), folder, "spread")}
 
 
@@ -74,11 +83,15 @@ def run_from_files(
     ``sources``: {"stage", "year", "pupils", "results"} with the paths of one extract each; ``specs``: patterns and names
     by stage and year (``fields.read_field_spec``). Extracts are scanned by their own spec, brought to the names of the
     long tables and appended by name, so that headers may drift. Stages after ``earlier`` take blank attributes
-    (``backfill``) and best points of ``prior_subjects`` from the earlier stage's records of any year, newest first.
+    (``backfill``) and best points of ``prior_subjects`` from the earlier stage's records of any year, newest first; those
+    records are the ones in the folder, also if this run brings none of the earlier stage.
+
+    A stage and year in ``sources`` replaces what the folder holds of it; all others stay.
     """
     tables: dict[str, dict[str, DataFrame]] = {}
+    rows = [tuple(r) for r in specs.select("stage", "year", "pattern", "name").collect()]  # metadata, read once
     for one in sources:
-        pairs = fields.fields_of(specs, one["stage"], one["year"])
+        pairs = [(pattern, name) for stage, year, pattern, name in rows if (stage, year) == (one["stage"], int(one["year"]))]
         people = [p for p in pairs if p[1] not in RESULT_NAMES or p[1] in ("PupilMatchingRefAnonymous", "URN")]
         marks = [p for p in pairs if p[1] in RESULT_NAMES]
         mark = {"stage": F.lit(one["stage"]), "year": F.lit(int(one["year"]))}
@@ -88,7 +101,10 @@ def run_from_files(
             renamed = df.withColumnsRenamed({k: v for k, v in LONG_NAMES.items() if k in df.columns})
             seen = tables.setdefault(one["stage"], {})
             seen[name] = seen[name].unionByName(renamed, allowMissingColumns=True) if name in seen else renamed
+    years = {stage: [int(one["year"]) for one in sources if one["stage"] == stage] for stage in tables}
     history = marks_of = None
+    if earlier not in tables and exists(spark, f"{folder}/{earlier}/results"):
+        history, marks_of = _earlier_records(spark, f"{folder}/{earlier}", prior_subjects or {})
     for stage in sorted(tables, key=lambda s: (s != earlier, s)):
         raw = tables[stage]["results"].withColumn("exam_year", F.col("exam_year").try_cast("int"))
         results = clean_results(raw, levels[stage], rescale_from)
@@ -96,9 +112,14 @@ def run_from_files(
         pupils = clean_pupils(tables[stage]["pupils"], history if fill else None, backfill)
         if fill and prior_subjects:
             pupils = link.backfill_across_years(pupils, marks_of, {name: name for name in prior_subjects.values()})
-        run(pupils, results, f"{folder}/{stage}", (supersede or {}).get(stage))
+        run(pupils, results, f"{folder}/{stage}", (supersede or {}).get(stage), years[stage])
         if stage == earlier:
-            history = spark.read.parquet(f"{folder}/{stage}/pupils")
-            kept = spark.read.parquet(f"{folder}/{stage}/results").filter(F.col("subject").isin(list(prior_subjects or {})))
-            names = {s: F.max(F.when(F.col("subject") == s, F.col("points"))).alias(n) for s, n in (prior_subjects or {}).items()}
-            marks_of = kept.groupBy("pupil", "year").agg(F.count("*").alias("__n"), *names.values()).drop("__n")
+            history, marks_of = _earlier_records(spark, f"{folder}/{stage}", prior_subjects or {})
+
+
+def _earlier_records(spark, folder: str, prior_subjects: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Written pupils of a stage, and each pupil's and year's best points in the given subjects."""
+    kept = spark.read.parquet(f"{folder}/results").filter(F.col("subject").isin(list(prior_subjects)))
+    names = {s: F.max(F.when(F.col("subject") == s, F.col("points"))).alias(n) for s, n in prior_subjects.items()}
+    marks = kept.groupBy("pupil", "year").agg(F.count("*").alias("__n"), *names.values()).drop("__n")
+    return spark.read.parquet(f"{folder}/pupils"), marks

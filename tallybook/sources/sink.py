@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 def write_clean(df: DataFrame, folder: str, table: str, stage: str = "stage", year: str = "year") -> str:
     """A cleaned table as Parquet by stage and year; one shuffle puts a partition's rows into few files.
 
-    Adaptive execution splits a partition that holds too many rows.
+    Only the stages and years that ``df`` holds are replaced, so a year can be cleaned again beside the others, and a run
+    that failed can be repeated. Adaptive execution splits a partition that holds too many rows.
     """
     path = f"{folder}/{table}"
-    df.hint("rebalance", stage, year).write.mode("overwrite").partitionBy(stage, year).parquet(path)
+    writer = df.hint("rebalance", stage, year).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(stage, year).parquet(path)
     return path
 
 

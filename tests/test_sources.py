@@ -122,6 +122,21 @@ def test_run_from_files(spark, tmp_path):
     late = spark.read.parquet(f"{folder}/KS5/pupils").first()
     assert (late.pupil, late.KS2Mat, late.maths, late.EVERFSM_6) == ("a", 4.5, 5.0, 1)
     assert spark.read.parquet(f"{folder}/KS5/spread").count() == 1
+    # one year of one stage again, with another result: the rest stays, and the earlier stage is found in the folder
+    (tmp_path / "r5.txt").write_text(header + "a\t9\t2017\t111\tq\t2610\tB\t40\na\t9\t2017\t111\tr\t2210\tB\t30\n")
+    pipeline.run_from_files(spark, sources[2:], fields.read_field_spec(spark, str(spec)), folder, {"KS5": [111]}, backfill={"KS2Mat": "KS2Mat"}, prior_subjects={"2210": "maths"})
+    assert sorted((r.subject, r.points) for r in spark.read.parquet(f"{folder}/KS5/spread").collect()) == [("2210", 30.0), ("2610", 40.0)]
+    late = spark.read.parquet(f"{folder}/KS5/pupils").first()
+    assert (late.KS2Mat, late.maths) == (4.5, 5.0) and spark.read.parquet(f"{folder}/KS4/spread").count() == 2
+
+
+def test_a_year_written_again_leaves_the_others(spark, tmp_path):
+    def rows(*years):
+        return spark.createDataFrame([("KS4", y, f"p{y}-{n}", n) for y, n in years], "stage string, year int, pupil string, n int")
+
+    sink.write_clean(rows((2014, 1), (2015, 1)), str(tmp_path), "t")
+    path = sink.write_clean(rows((2015, 2), (2015, 3)), str(tmp_path), "t")
+    assert sorted((r.year, r.n) for r in spark.read.parquet(path).collect()) == [(2014, 1), (2015, 2), (2015, 3)]
 
 
 def test_body_line_like_the_header_stays(spark, tmp_path):
