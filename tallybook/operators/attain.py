@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-from . import disclose, profile, rank, stats
+from ..session import cut_lineage, stored
+from . import disclose, logit, profile, rank, select, stats
 from .common import count_if, either, fixed, null_safe_join, percent
 from .uptake import sits
 
@@ -405,20 +405,33 @@ def ebacc_summary(
 # --- deprivation ------------------------------------------------------------------------------------------------
 
 
-def deprivation_bands(population: DataFrame, bands: int, score: str = "score") -> DataFrame:
-    """Per (subject, gender, band of the score): pupils, takers, share. Population: see ``logit.offered_population``."""
-    banded = rank.ntile_bands(population, ["subject", "gender"], score, "pupil", bands)
-    return banded.groupBy("subject", "gender", "band").agg(
-        F.count("*").alias("total"), F.sum("sits").alias("takers")
-    ).withColumn("percentage", percent("takers", "total"))
+def _banded(people: DataFrame, facts: DataFrame, bands: int, attributes: Sequence[str], score: str) -> tuple[DataFrame, DataFrame]:
+    """(population, takers) per offered subject with the band of the score within (subject, gender).
+
+    The edges of the bands come from histograms over the people of the providers that offer a subject; people and takers
+    are compared with them where they are read, so no table of people by subject is written or shuffled.
+    """
+    known = people.filter(F.col("gender").isNotNull() & F.col(score).isNotNull()).select("pupil", "provider", "gender", *attributes, score)
+    population = logit.per_subject(logit.exposed(known, facts).drop("provider"))
+    edges = stored(select.band_edges(population, ["subject", "gender"], score, "pupil", bands).select("subject", "gender", "edges"), "edges")
+    takers = facts.select("pupil", "provider", "subject").join(known, ["pupil", "provider"]).drop("provider")
+    band = select.band_of(score, "pupil").cast("int")
+    return tuple(null_safe_join(df, edges, ["subject", "gender"], "inner").withColumn("band", band).drop("edges") for df in (population, takers))
+
+
+def _shares(population: DataFrame, takers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    totals = population.groupBy(*keys).agg(F.count("*").alias("total"))
+    taken = takers.groupBy(*keys).agg(F.count("*").alias("takers"))
+    both = null_safe_join(totals, taken, keys, "left").withColumn("takers", F.coalesce("takers", F.lit(0).cast("long")))
+    return both.withColumn("percentage", percent("takers", "total"))
 
 
-def deprivation_by_category(population: DataFrame, bands: int, category: str, leave_out: Sequence[str] = (), score: str = "score") -> DataFrame:
+def deprivation_bands(people: DataFrame, facts: DataFrame, bands: int, score: str = "score") -> DataFrame:
+    """Per (subject, gender, band of the score): pupils of providers that offer the subject, takers, share; all subjects."""
+    return _shares(*_banded(people, facts, bands, (), score), ["subject", "gender", "band"])
+
+
+def deprivation_by_category(people: DataFrame, facts: DataFrame, bands: int, category: str, leave_out: Sequence[str] = (), score: str = "score") -> DataFrame:
     """Bands drawn per (subject, gender), then pupils, takers and share per category within them."""
-    banded = rank.ntile_bands(population, ["subject", "gender"], score, "pupil", bands)
-    return (
-        banded.filter(~F.col(category).isin(list(leave_out)))
-        .groupBy("subject", "gender", category, "band")
-        .agg(F.count("*").alias("total"), F.sum("sits").alias("takers"))
-        .withColumn("percentage", percent("takers", "total"))
-    )
+    both = _banded(people, facts, bands, [category], score)
+    return _shares(*[df.filter(~F.col(category).isin(list(leave_out))) for df in both], ["subject", "gender", category, "band"])

@@ -1,121 +1,129 @@
-"""Logistic regressions of uptake, fitted for every group in the same Spark job.
+"""Logistic regressions of uptake, fitted for every group in the same Spark jobs.
 
-Newton steps on (intercept, slope) per group: each step is one aggregation over the pre-aggregated
-(group, x) counts, and only one row of sums per group returns to the driver.
+Newton steps on (intercept, slope) per group: each step is one aggregation over histograms of x, which meets the small
+table of the fits.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tails
-from ..session import cut_lineage
+from ..session import stored
 from .common import count_if, null_safe_join
 
-FIT = "n long, b0 double, b1 double, se0 double, se1 double, deviance double, null_deviance double, converged boolean"
+STATE_BYTES = 256  # of a fit, at most, with its keys
+BROADCAST_BYTES = 8 << 20
 
 
-def offered_population(cohort: DataFrame, facts: DataFrame, subjects: Sequence[str] | None = None) -> DataFrame:
-    """Every entry once per subject its provider offers, with ``sits``."""
-    chosen = facts if subjects is None else facts.filter(F.col("subject").isin(list(subjects)))
-    offered = chosen.select("provider", "subject").distinct()
-    taken = chosen.select("pupil", "provider", "subject", F.lit(1).alias("sits"))
-    return (
-        cohort.join(offered, "provider")
-        .join(taken, ["pupil", "provider", "subject"], "left")
-        .withColumn("sits", F.coalesce("sits", F.lit(0)))
-    )
+def offered_subjects(facts: DataFrame) -> DataFrame:
+    """(provider, subjects): the subjects that each provider offers, in one row."""
+    return facts.groupBy("provider").agg(F.collect_set("subject").alias("subjects"))
+
+
+def exposed(people: DataFrame, facts: DataFrame) -> DataFrame:
+    """``people`` with the array ``subjects`` that their provider offers, stored: one row a person, however many subjects.
+
+    Rows are dealt evenly over the session's shuffle partitions, since what is made of them later is many times as large.
+    """
+    parts = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(people.join(offered_subjects(facts), "provider").repartition(parts), "exposed")
+
+
+def per_subject(rows: DataFrame) -> DataFrame:
+    """Rows of ``exposed`` once per offered subject: made where they are read, to be aggregated there."""
+    return rows.withColumn("subject", F.explode("subjects")).drop("subjects")
+
+
+def uptake_fits(people: DataFrame, facts: DataFrame, groups: Sequence[str], x: str, min_n: int = 0) -> DataFrame:
+    """P(sits) ~ x per subject and ``groups`` (attributes of ``people``), among people whose provider offers the subject.
+
+    Nobody is repeated per subject in any stored or shuffled table: the histogram of x per provider and group meets the
+    provider's list of subjects, and what the fit needs from the takers are two sums, which come from the facts.
+    """
+    known = people.filter(F.col(x).isNotNull()).select("pupil", "provider", *groups, F.col(x).cast("double").alias("__x"))
+    histogram = known.groupBy("provider", *groups, "__x").agg(F.count("*").alias("__n"))
+    takers = facts.select("pupil", "provider", "subject").join(known, ["pupil", "provider"])
+    sums = takers.groupBy("subject", *groups).agg(F.count("*").alias("s"), F.sum("__x").alias("sx"))
+    return fit(per_subject(exposed(histogram, facts).drop("provider")), sums, ["subject", *groups], min_n)
 
 
 def grouped_logit(
     df: DataFrame, groups: Sequence[str], y: str, x: str, min_n: int = 0, steps: int = 30, tolerance: float = 1e-10
 ) -> DataFrame:
-    """y ~ x per group: one row per group with coefficients, standard errors and deviances.
+    """y ~ x per group: one row per group with coefficients, standard errors and deviances."""
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counts = known.groupBy(*groups, F.col(x).cast("double").alias("__x")).agg(F.count("*").alias("__n"), F.sum(y).alias("__s"))
+    counts = stored(counts, "counts")
+    sums = counts.groupBy(*groups).agg(F.sum("__s").alias("s"), F.sum(F.col("__s") * F.col("__x")).alias("sx"))
+    return fit(counts.drop("__s"), sums, groups, min_n, steps, tolerance)
 
-    Groups where the outcome or the predictor does not vary are left out; ``converged`` is false where the
-    estimates ran off (complete separation).
+
+def fit(rows: DataFrame, takers: DataFrame, keys: Sequence[str], min_n: int = 0, steps: int = 30, tolerance: float = 1e-10) -> DataFrame:
+    """Logistic regressions of all groups from sufficient statistics.
+
+    Up to ``BROADCAST_BYTES`` of counted fits are sent to the histogram; more are joined by shuffle.
+
+    ``rows``: keys, ``__x`` and ``__n``, the population's histogram, read once a Newton step and aggregated where it is
+    read; ``takers``: keys, number ``s`` of positive outcomes and their sum ``sx`` of x. The state of the fits is a small
+    table of its own, written once a step; only whether fits are open comes to the driver. Groups where the outcome or
+    the predictor does not vary are left out; ``converged`` is false where the estimates ran off (complete separation) or
+    the steps were used up.
     """
-    spark = df.sparkSession
-    # Stored in the shared folder: read once a step, and a lost executor costs a re-read only.
-    counts = cut_lineage(
-        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*groups, F.col(x).cast("double").alias("__x"))
-        .agg(F.count("*").alias("__n"), F.sum(y).cast("double").alias("__s"))
-    )
-    summary = counts.groupBy(*groups).agg(
-        F.sum("__n").alias("n"), F.sum("__s").alias("s"), F.sum(F.col("__x") * F.col("__n")).alias("sx"),
-        F.sum(F.col("__x") * F.col("__x") * F.col("__n")).alias("sxx"), (F.min("__x") < F.max("__x")).alias("varies"),
-    ).filter((F.col("n") > min_n) & (F.col("s") > 0) & (F.col("s") < F.col("n")) & F.col("varies"))
-    # One row per group: subjects x genders x categories, coded lists all of them.
-    fits = {}
-    for r in summary.collect():
-        mean = r["sx"] / r["n"]
-        scale = math.sqrt(max(r["sxx"] / r["n"] - mean * mean, 0.0)) or 1.0
-        share = r["s"] / r["n"]
-        fits[tuple(r[g] for g in groups)] = {
-            "n": r["n"], "mean": mean, "scale": scale, "b": [math.log(share / (1 - share)), 0.0], "done": False,
-            "null": -2 * (r["s"] * math.log(share) + (r["n"] - r["s"]) * math.log(1 - share)),
-        }
+    x, n = F.col("__x"), F.col("__n")
+    summary = rows.groupBy(*keys).agg(
+        F.sum("__n").alias("n"), F.sum(x * n).alias("__sx"), F.sum(x * x * n).alias("__sxx"), (F.min("__x") < F.max("__x")).alias("__varies"))
+    start = null_safe_join(summary, takers, keys, "inner").filter((F.col("n") > min_n) & (F.col("s") > 0) & (F.col("s") < F.col("n")) & F.col("__varies"))
+    mean = F.col("__sx") / F.col("n")
+    start = start.withColumns({"mean": mean, "scale": F.sqrt(F.greatest(F.col("__sxx") / F.col("n") - mean * mean, F.lit(0.0))), "share": F.col("s") / F.col("n")})
+    start = start.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
+    none = F.lit(float("nan"))
+    state = start.select(
+        *keys, "n", F.col("s").cast("double").alias("s"), ((F.col("sx") - F.col("s") * F.col("mean")) / F.col("scale")).alias("sz"), "mean", "scale",
+        (-2 * (F.col("s") * F.ln("share") + (F.col("n") - F.col("s")) * F.ln(1 - F.col("share")))).alias("null_deviance"),
+        F.ln(F.col("share") / (1 - F.col("share"))).alias("a"), F.lit(0.0).alias("b"), *[none.alias(c) for c in ("v00", "v01", "v11", "deviance")],
+        F.lit(False).alias("done"), F.lit(False).alias("failed"))
+    state = stored(state, "state")
+    few = state.count() * STATE_BYTES <= BROADCAST_BYTES
     for _ in range(steps):
-        open_groups = {k: f for k, f in fits.items() if not f["done"]}
-        if not open_groups:
+        open_ = state.filter("not done")
+        stepped = _newton_step(rows, F.broadcast(open_) if few else open_, keys, tolerance)
+        state = stored(state.filter("done").unionByName(stepped), "state")
+        if state.filter("not done").isEmpty():
             break
-        for r in _newton_sums(spark, counts, groups, open_groups, summary).collect():
-            _newton_step(fits[tuple(r[g] for g in groups)], r, tolerance)
-    rows = [(*key, *_fit_row(f)) for key, f in fits.items()]
-    fields = ", ".join(f"`{g}` {summary.schema[g].dataType.simpleString()}" for g in groups)
-    return spark.createDataFrame(rows, f"{fields}, {FIT}")
-
-
-def _newton_sums(spark: SparkSession, counts: DataFrame, groups: Sequence[str], fits: dict, summary: DataFrame) -> DataFrame:
-    """Gradient, curvature and deviance of every open group at its current estimates."""
-    schema = ", ".join(f"`{g}` {summary.schema[g].dataType.simpleString()}" for g in groups)
-    state = spark.createDataFrame(
-        [(*k, *f["b"], f["mean"], f["scale"]) for k, f in fits.items()],
-        f"{schema}, __b0 double, __b1 double, __mean double, __scale double",
-    )
-    z = (F.col("__x") - F.col("__mean")) / F.col("__scale")
-    rows = null_safe_join(counts, state, groups, "inner").withColumn("__z", z)
-    eta = F.col("__b0") + F.col("__b1") * F.col("__z")
-    rows = rows.withColumn("__p", 1 / (1 + F.exp(-eta)))
-    w = F.col("__n") * F.col("__p") * (1 - F.col("__p"))
-    g = F.col("__s") - F.col("__n") * F.col("__p")
-    tiny = F.lit(1e-300)
-    loglik = F.col("__s") * F.ln(F.greatest("__p", tiny)) + (F.col("__n") - F.col("__s")) * F.ln(F.greatest(1 - F.col("__p"), tiny))
-    return rows.groupBy(*groups).agg(
-        F.sum(g).alias("g0"), F.sum(g * F.col("__z")).alias("g1"), F.sum(w).alias("h00"),
-        F.sum(w * F.col("__z")).alias("h01"), F.sum(w * F.col("__z") * F.col("__z")).alias("h11"),
-        (-2 * F.sum(loglik)).alias("deviance"),
-    )
-
-
-def _newton_step(fit: dict, sums, tolerance: float) -> None:
-    det = sums["h00"] * sums["h11"] - sums["h01"] ** 2
-    if det <= 0:
-        fit["done"] = True
-        fit["failed"] = True
-        return
-    fit.update(cov=(sums["h11"] / det, -sums["h01"] / det, sums["h00"] / det), deviance=sums["deviance"])
-    step0 = (sums["h11"] * sums["g0"] - sums["h01"] * sums["g1"]) / det
-    step1 = (sums["h00"] * sums["g1"] - sums["h01"] * sums["g0"]) / det
-    if max(abs(step0), abs(step1)) < tolerance:
-        fit["done"] = True
-    else:
-        fit["b"] = [fit["b"][0] + step0, fit["b"][1] + step1]
-
-
-def _fit_row(fit: dict) -> tuple:
-    """Estimates on the scale of x."""
-    b0, b1 = fit["b"]
-    ratio = fit["mean"] / fit["scale"]
-    v0, c, v1 = fit.get("cov", (float("nan"),) * 3)
-    return (
-        fit["n"], b0 - b1 * ratio, b1 / fit["scale"], math.sqrt(v0 - 2 * ratio * c + ratio * ratio * v1),
-        math.sqrt(v1) / fit["scale"], fit.get("deviance"), fit["null"], fit["done"] and not fit.get("failed", False),
-    )
+    ratio = F.col("mean") / F.col("scale")
+    return state.select(
+        *keys, "n", (F.col("a") - F.col("b") * ratio).alias("b0"), (F.col("b") / F.col("scale")).alias("b1"),
+        F.sqrt(F.col("v00") - 2 * ratio * F.col("v01") + ratio * ratio * F.col("v11")).alias("se0"), (F.sqrt("v11") / F.col("scale")).alias("se1"),
+        "deviance", "null_deviance", (F.col("done") & ~F.col("failed")).alias("converged"))
+
+
+def _newton_step(rows: DataFrame, state: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """The fits after one step; at the solution they keep their estimates and are done."""
+    kept = [c for c in state.columns if c not in keys]
+    z = (F.col("__x") - F.col("mean")) / F.col("scale")
+    met = null_safe_join(rows, state, keys, "inner").withColumn("__z", z)
+    met = met.withColumn("__eta", F.col("a") + F.col("b") * F.col("__z")).withColumn("__p", 1 / (1 + F.exp(-F.col("__eta"))))
+    n, p, zz, eta = (F.col(c) for c in ("__n", "__p", "__z", "__eta"))
+    w = n * p * (1 - p)
+    missed = -(F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))))  # logarithm of 1 - p
+    sums = met.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in kept], F.sum(n * p).alias("__s0"), F.sum(n * p * zz).alias("__s1"), F.sum(w).alias("__h00"), F.sum(w * zz).alias("__h01"),
+        F.sum(w * zz * zz).alias("__h11"), F.sum(n * missed).alias("__missed"))
+    h00, h01, h11 = F.col("__h00"), F.col("__h01"), F.col("__h11")
+    sums = sums.withColumns({"__det": h00 * h11 - h01 * h01, "__g0": F.col("s") - F.col("__s0"), "__g1": F.col("sz") - F.col("__s1")})
+    det = F.when(F.col("__det") > 0, F.col("__det"))
+    sums = sums.withColumns({"__da": (h11 * F.col("__g0") - h01 * F.col("__g1")) / det, "__db": (h00 * F.col("__g1") - h01 * F.col("__g0")) / det})
+    was, nan, failed = F.col("done"), F.lit(float("nan")), F.col("__da").isNull()
+    arrived = failed | (F.greatest(F.abs("__da"), F.abs("__db")) < tolerance)
+    new = {
+        "v00": F.coalesce(h11 / det, nan), "v01": F.coalesce(-h01 / det, nan), "v11": F.coalesce(h00 / det, nan),
+        "deviance": -2 * (F.col("a") * F.col("s") + F.col("b") * F.col("sz") + F.col("__missed")), "done": arrived, "failed": failed,
+        "a": F.when(arrived, F.col("a")).otherwise(F.col("a") + F.col("__da")), "b": F.when(arrived, F.col("b")).otherwise(F.col("b") + F.col("__db")),
+    }
+    return sums.select(*keys, *[F.when(was, F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in kept])
 
 
 def coefficient_rows(fits: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
@@ -159,13 +167,13 @@ def logit_uptake_by_flag(cohort: DataFrame, facts: DataFrame, flag: str = "flag"
     )
 
 
-def logit_interaction(df: DataFrame, groups: Sequence[str], y: str, x: str, category: str) -> DataFrame:
-    """y ~ x * category per group, the largest category being the base.
+def logit_interaction(fits: DataFrame, groups: Sequence[str], x: str, category: str) -> DataFrame:
+    """y ~ x * category per group, the largest category being the base; ``fits`` are those per group and category.
 
     A full interaction is the same model as one regression per category, so the coefficients are those of the
     base and the differences from it, with independent standard errors.
     """
-    fits = grouped_logit(df, [*groups, category], y, x).filter("converged")
+    fits = fits.filter("converged")
     top = fits.groupBy(*groups).agg(F.max(F.struct("n", category, "b0", "b1", "se0", "se1")).alias("base"))
     joined = null_safe_join(fits, top, groups, "inner")
     is_base = F.col(category).eqNullSafe(F.col(f"base.{category}"))

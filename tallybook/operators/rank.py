@@ -1,7 +1,7 @@
 """Ranks, bands, quantiles, top rows.
 
 Windows run only where the group is bounded (already aggregated tables); anything over facts uses
-aggregation, a threshold, or the bucketed rank below.
+aggregation, a threshold, or the exact selection of ``select``.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
-from .common import attach_bounded, number, null_safe_join, percent, with_group_stats
-
-BUCKETS = 64
+from ..session import stored
+from . import select
+from .common import number, null_safe_join, percent, with_group_stats
 
 
 def group_total_share(counts: DataFrame, group: Sequence[str], n: str = "n", digits: int = 2) -> DataFrame:
@@ -39,75 +38,15 @@ def dense_rank_desc(value: str, group: Sequence[str] = ()) -> Column:
     return F.when(F.col(value).isNotNull(), F.dense_rank().over(window))
 
 
-def with_cuts_below(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
-    """Number of the (sorted, distinct) cut points below a value, by halving: compiled comparisons, no lambda."""
-    df = df.withColumn(name, F.lit(0))
-    step = 1 << (buckets - 1).bit_length() - 1
-    while step:
-        passed = F.coalesce(F.get("__cuts", F.col(name) + (step - 1)) < F.col(value), F.lit(False))
-        df = df.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))
-        step //= 2
-    return df
-
-
-def bucketed_row_number(df: DataFrame, groups: Sequence[str], order: str, tie: str, buckets: int = BUCKETS) -> DataFrame:
-    """Exact ``rank`` (1..n per group, by ``order`` then ``tie``) and group size ``size`` for groups of any size.
+def ntile_bands(df: DataFrame, groups: Sequence[str], order: str, tie: str, bands: int, name: str = "band") -> DataFrame:
+    """Equal-count bands per group by ``order`` then ``tie`` (unique in a group); rows without a value get no band.
 
-    Approximate quantiles only choose cut points; rows are numbered exactly inside each bucket and the
-    counts of earlier buckets are added. A value that is itself a cut point has a bucket of its own, which
-    is cut again on the tie-break, so that one value holding much of a group is spread as well.
-    The rows are read several times: hand in a stored table (``ntile_bands`` stores them).
+    Rows are neither sorted nor moved: each is compared with the edges of its group's bands, which come from refined
+    histograms. ``df`` is read once a pass: hand in a scan or a stored table.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(order, steps, 10 * buckets)).alias("__cuts"))
-    placed = with_cuts_below(attach_bounded(df, cuts, groups), order, "__below", buckets)
-    on_cut = F.coalesce(F.get("__cuts", F.col("__below")) == F.col(order), F.lit(False)).cast("int")
-    placed = placed.withColumn("__bucket", 2 * F.col("__below") + on_cut).drop("__cuts", "__below")
-    keys = [*groups, "__bucket"]
-    # Single-value buckets several times the fair share: at most buckets / 4 of them in a group.
-    filled = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
-    fair = F.sum("__n").over(Window.partitionBy(*groups)) / buckets
-    hot = filled.withColumn("__fair", fair).filter((F.col("__bucket") % 2 == 1) & (F.col("__n") > 4 * F.col("__fair")))
-    tie_cuts = (
-        attach_bounded(placed, hot.select(*keys), keys)
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(tie, steps, 10 * buckets)).alias("__cuts"))
-    )
-    placed = with_cuts_below(attach_bounded(placed, tie_cuts, keys, "left"), tie, "__sub", buckets).drop("__cuts")
-    keys = [*keys, "__sub"]
-    counts = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(*groups)
-    before = group.orderBy("__bucket", "__sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumns(
-        {"__offset": F.coalesce(F.sum("__n").over(before), F.lit(0)), "size": F.sum("__n").over(group)}
-    ).drop("__n")
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie))
-    return (
-        attach_bounded(placed.withColumn("__inside", inside), offsets, keys)
-        .withColumn("rank", F.col("__inside") + F.col("__offset"))
-        .drop("__inside", "__offset", "__bucket", "__sub")
-    )
-
-
-def band_of_rank(rank: Column, size: Column, bands: int) -> Column:
-    """Band of a rank when a group is cut into ``bands`` parts, the first ones larger by one row."""
-    small = F.floor(size / bands)
-    wide = size % bands
-    edge = wide * (small + 1)
-    return (
-        F.when(rank <= edge, F.floor((rank - 1) / (small + 1)) + 1)
-        .otherwise(wide + F.floor((rank - 1 - edge) / F.greatest(small, F.lit(1))) + 1)
-        .cast("int")
-    )
-
-
-def ntile_bands(df: DataFrame, groups: Sequence[str], order: str, tie: str, bands: int, name: str = "band") -> DataFrame:
-    """Equal-count bands per group by ``order`` then ``tie``; rows without a value get no band."""
-    df = cut_lineage(df)
-    known = df.filter(F.col(order).isNotNull())
-    ranked = bucketed_row_number(known, groups, order, tie)
-    banded = ranked.withColumn(name, band_of_rank(F.col("rank"), F.col("size"), bands)).drop("rank", "size")
-    return banded.unionByName(df.filter(F.col(order).isNull()).withColumn(name, F.lit(None).cast("int")))
+    edges = stored(select.band_edges(df, groups, order, tie, bands).select(*groups, "edges"), "edges")
+    marked = null_safe_join(df, edges, groups, "left")
+    return marked.withColumn(name, select.band_of(order, tie).cast("int")).drop("edges")
 
 
 def keep_group_max(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -121,11 +60,27 @@ def first_n_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, from a histogram of the values."""
-    histogram = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__n"))
-    return histogram.groupBy(*groups).agg(
-        *[F.percentile(value, q, F.col("__n")).alias(name) for name, q in quantiles.items()]
-    )
+    """Exact interpolated quantiles per group, from the values at the ranks next to each; no task holds a group's values."""
+
+    def place(q: float) -> Column:
+        return (F.col("size") - 1) * F.lit(float(q))  # from 0 on, between two rows
+
+    def both(size: Column) -> Column:
+        return F.array(*[(f(place(q)) + 1).cast("long") for q in quantiles.values() for f in (F.floor, F.ceil)])
+
+    rows = stored(df.filter(F.col(value).isNotNull()).select(*groups, value), "values")
+    at = select.values_at_ranks(rows, groups, value, both)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when(F.col("rank") == rank.cast("long"), F.col("value").cast("double")))
+
+    out = {}
+    for name, q in quantiles.items():
+        low, high = F.floor(place(q)), F.ceil(place(q))
+        a, b = value_at(low + 1), value_at(high + 1)
+        part = F.max(place(q) - low)
+        out[name] = F.when(a == b, a).otherwise(a * (1 - part) + b * part)
+    return at.groupBy(*groups).agg(*[c.alias(name) for name, c in out.items()])
 
 
 def iqr_outliers(df: DataFrame, group: str, value: str) -> DataFrame:

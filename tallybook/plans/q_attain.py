@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scales
-from ..operators import attain, logit, represent
+from ..operators import attain, represent
 from .q_uptake import LETTER_SQL, top_sql
 from .registry import query
 from .testbed import FOCUS, SECOND, THIRD
@@ -317,24 +317,19 @@ def _(t):
     return represent.representation_two_subjects(groups(t), [FOCUS, "All"])
 
 
-OFFERED_SQL = f"""offered AS (SELECT DISTINCT provider, subject FROM facts WHERE subject IN ('{FOCUS}', '{SECOND}')),
+OFFERED_SQL = """offered AS (SELECT DISTINCT provider, subject FROM facts),
   population AS (SELECT c.*, o.subject, CAST(f.points IS NOT NULL AS INTEGER) AS sits FROM cohort c JOIN offered o ON c.provider = o.provider
     LEFT JOIN facts f ON f.pupil = c.pupil AND f.provider = c.provider AND f.subject = o.subject WHERE c.gender IS NOT NULL AND c.score IS NOT NULL)"""
 
 
-def offered(t):
-    people = t.cohort().filter("gender IS NOT NULL AND score IS NOT NULL")
-    return logit.offered_population(people, t.facts, [FOCUS, SECOND])
-
-
 @query("deprivation_bands", OFFERED_SQL + """, b AS (SELECT *, CAST(ntile(10) OVER (PARTITION BY subject, gender ORDER BY score, pupil) AS INTEGER) AS band FROM population)
   SELECT subject, gender, band, count(*) AS total, sum(sits)::BIGINT AS takers, round(100.0 * sum(sits) / count(*), 1) AS percentage FROM b GROUP BY ALL""")
 def _(t):
-    return attain.deprivation_bands(offered(t), 10)
+    return attain.deprivation_bands(t.cohort(), t.facts, 10)
 
 
 @query("deprivation_by_category", OFFERED_SQL + """, b AS (SELECT *, CAST(ntile(4) OVER (PARTITION BY subject, gender ORDER BY score, pupil) AS INTEGER) AS band FROM population)
   SELECT subject, gender, ethnicity, band, count(*) AS total, sum(sits)::BIGINT AS takers, round(100.0 * sum(sits) / count(*), 1) AS percentage FROM b
   WHERE ethnicity NOT IN ('5-LOW') GROUP BY ALL""")
 def _(t):
-    return attain.deprivation_by_category(offered(t), 4, "ethnicity", ["5-LOW"])
+    return attain.deprivation_by_category(t.cohort(), t.facts, 4, "ethnicity", ["5-LOW"])

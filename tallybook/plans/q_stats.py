@@ -140,10 +140,9 @@ def _(t):
     return fits.select("subject", "gender", "n", *[F.round(c, 6).alias(c) for c in ("b0", "se0", "b1", "se1")])
 
 
-def offered_all(t):
+def sitting(t):
     people = t.cohort().filter("gender IS NOT NULL AND score IS NOT NULL AND ethnicity IS NOT NULL")
-    people = people.select("pupil", "provider", "gender", "ethnicity", (F.col("score") / 100000).alias("score_100k"))
-    return logit.offered_population(people, t.facts)
+    return people.select("pupil", "provider", "gender", "ethnicity", (F.col("score") / 100000).alias("score_100k"))
 
 
 def newton_sql(keys: list[str], steps: int = 8) -> str:
@@ -165,7 +164,7 @@ def newton_sql(keys: list[str], steps: int = 8) -> str:
 
 
 def simple_logit(t):
-    return logit.grouped_logit(offered_all(t), ["subject", "gender"], "sits", "score_100k")
+    return logit.uptake_fits(sitting(t), t.facts, ["gender"], "score_100k")
 
 
 def rounded_rows(rows):
@@ -191,7 +190,8 @@ def _(t):
     UNION ALL SELECT subject, gender, n, CASE WHEN is_base THEN 'score_100k' ELSE 'score_100k:' || ethnicity END, CASE WHEN is_base THEN b1 ELSE b1 - c1 END, CASE WHEN is_base THEN se1 ELSE sqrt(se1 ** 2 + e1 ** 2) END FROM j)
   SELECT subject, gender, n, term, round(est, 5) AS est, round(std_error, 5) AS std_error, round(est / std_error, 3) AS z FROM r""")
 def _(t):
-    rows = logit.logit_interaction(offered_all(t), ["subject", "gender"], "sits", "score_100k", "ethnicity")
+    fits = logit.uptake_fits(sitting(t), t.facts, ["gender", "ethnicity"], "score_100k")
+    rows = logit.logit_interaction(fits, ["subject", "gender"], "score_100k", "ethnicity")
     return rounded_rows(rows.drop("p"))
 
 

@@ -65,3 +65,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder of this name, in whatever store the path is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back: its size is then known to the planner, and a lost executor
+    costs a re-read, not a re-run."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions import tails
-from tallybook.operators import clean, logit, rank, reshape, spatial, stats
+from tallybook.operators import clean, logit, rank, reshape, select, spatial, stats
 
 
 def test_tail_probabilities():
@@ -36,6 +36,43 @@ def test_bands_with_one_value_holding_most_rows(spark, bands):
     assert got[20_000] is None
 
 
+@pytest.mark.parametrize("bins,small", [(32, 150), (1024, 100_000)])
+def test_values_at_ranks_by_many_passes(spark, bins, small):
+    """A group of distinct values only, heavy tails, one value holding most rows, whole numbers, null keys."""
+    rng = random.Random(4)
+    data = [("distinct", rng.random()) for _ in range(1500)] + [("tails", rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 12)) for _ in range(600)]
+    data += [("hot", 7.0 if rng.random() < 0.7 else float(rng.randint(-3, 20))) for _ in range(900)] + [(None, float(i)) for i in range(40)] + [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    rows = select.values_at_ranks(df, ["g"], "v", lambda n: F.array(F.lit(1).cast("long"), F.ceil(n / 3), n, n + 1), bins, small).collect()
+    seen = {}
+    for r in rows:
+        values = sorted(v for g, v in data if g == r["g"] and v is not None)
+        want = values[r["rank"] - 1]
+        assert (r["value"], r["size"], r["below"], r["equal"]) == (want, len(values), sum(v < want for v in values), values.count(want))
+        seen.setdefault(r["g"], set()).add(r["rank"])
+    assert seen == {"distinct": {1, 500, 1500}, "tails": {1, 200, 600}, "hot": {1, 300, 900}, None: {1, 14, 40}, "one": {1}}
+    ids = spark.range(10_000).select(F.lit("a").alias("g"), (F.col("id") * 7 + 10**15).alias("v"))
+    assert [r["value"] for r in select.values_at_ranks(ids, ["g"], "v", lambda n: F.array(F.lit(6001).cast("long")), bins, small).collect()] == [6000 * 7 + 10**15]
+
+
+def test_band_edges_cut_ties_only_where_needed(spark):
+    data = [("a", float(i // 10), i) for i in range(100)]
+    df = spark.createDataFrame(data, "g string, v double, id long")
+    (row,) = select.band_edges(df, ["g"], "v", "id", 4, bins=4, small=40).collect()
+    assert [(e["rank"], e["value"], e["tie"]) for e in row["edges"]] == [(25, 2.0, 24), (50, 4.0, None), (75, 7.0, 74)]
+
+
+def test_quantiles_of_a_group_of_distinct_values(spark):
+    rng = random.Random(8)
+    data = [("g", rng.gauss(0, 1)) for _ in range(5001)] + [("h", float(i)) for i in range(4)] + [("i", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in rank.group_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}).collect()}
+    for g in ("g", "h"):
+        want = np.quantile([v for k, v in data if k == g], [0.25, 0.5, 0.9])
+        assert got[g] == pytest.approx(tuple(want), rel=1e-12)
+    assert set(got) == {"g", "h"}
+
+
 @pytest.mark.parametrize("levels", [None, 1, 4])
 def test_nearest_distance_is_exact(spark, levels):
     rng = random.Random(2)
@@ -115,7 +152,7 @@ def test_logit_matches_newton_per_group_and_with_interaction(spark):
     assert fits["m"]["deviance"] == pytest.approx(deviance, rel=1e-9)
     d = [np.ones(n), z, c == "b", c == "c", z * (c == "b"), z * (c == "c")]
     b, se, _ = newton(y, np.column_stack([np.asarray(v, float) for v in d]))
-    rows = {r["term"]: r for r in logit.logit_interaction(df.filter("g = 'm'"), ["g"], "y", "x", "c").collect()}
+    rows = {r["term"]: r for r in logit.logit_interaction(logit.grouped_logit(df.filter("g = 'm'"), ["g", "c"], "y", "x"), ["g"], "x", "c").collect()}
     assert rows["x:b"]["est"] == pytest.approx(b[4] / 9000, rel=1e-6)
     assert rows["x:c"]["std_error"] == pytest.approx(se[5] / 9000, rel=1e-5)
     assert rows["x"]["est"] == pytest.approx(b[1] / 9000, rel=1e-6)
