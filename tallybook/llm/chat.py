@@ -87,7 +87,11 @@ def segments(conversations: DataFrame, template: Template = Template()) -> DataF
 
 
 class Reader:
-    """Reads formatted text back piece by piece: no more than the open turn is held."""
+    """Reads formatted text back piece by piece: no more than the open turn is held.
+
+    What is learned is the text of the pieces whose flag is set. Roles and texts are parsed from the marks alone, and
+    ``mask_matches`` tells whether the flagged text is that of the roles the template learns.
+    """
 
     def __init__(self, template: Template):
         self.template = template
@@ -97,8 +101,18 @@ class Reader:
         self.begin()
 
     def begin(self) -> None:
-        self.rest, self.role, self.open, self.turns = "", None, False, 0
-        self.all, self.learned, self.loss_chars, self.chars, self.body = hashlib.sha256(), hashlib.sha256(), 0, 0, []
+        self.rest, self.role, self.open, self.turns, self.legal = "", START, False, 0, True
+        self.all, self.learned, self.of_roles = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.loss_chars, self.chars, self.body = 0, 0, []
+
+    def take(self, piece: str, loss: bool, legal: bool) -> None:
+        """A segment: its text, whether it is learned, and whether its turn was allowed."""
+        self.legal = self.legal and legal
+        if loss:  # a segment holds a whole escaped text
+            text = unescape(piece)
+            self.learned.update(text.encode())
+            self.loss_chars += len(text)
+        self.feed(piece)
 
     def feed(self, piece: str) -> None:
         self.chars += len(piece)
@@ -123,31 +137,39 @@ class Reader:
             self.all.update(f"{self.role}\n{text}\n".encode())
             self.turns += 1
             if self.role in self.template.loss:
-                self.learned.update(text.encode())
-                self.loss_chars += len(text)
+                self.of_roles.update(text.encode())
             self.open = False
 
     def row(self) -> tuple:
-        return self.turns, self.all.hexdigest(), self.loss_chars, self.learned.hexdigest(), self.chars
+        legal = self.legal and END in self.template.moves.get(self.role, ())
+        matches = self.learned.digest() == self.of_roles.digest()
+        return self.turns, self.all.hexdigest(), self.loss_chars, self.learned.hexdigest(), self.chars, legal, matches
+
+
+COLUMNS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "legal", "mask_matches")
 
 
 def read_back(written: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digest of every conversation, parsed from the formatted text alone: number of turns, digest of roles and texts,
-    length and digest of what is learned, and formatted length. Segments of a conversation pass in order through one
-    task, which holds the open turn only."""
+    """One row a conversation, read from its segments: number of turns and digest of roles and texts, parsed from the marks;
+    length and digest of the text under the loss flags; formatted length; ``legal``: the machine allowed every turn, and a
+    conversation may end after the last; ``mask_matches``: the flags cover just the texts of the learned roles.
+
+    Segments of a conversation pass in order through one task, which holds the open turn only. Rows with a null conv_id are
+    one conversation; an empty table gives an empty result.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, now, known = Reader(template), None, False
         out = []
         for batch in batches:
-            for conv, missing, text in zip(batch["conv_id"], batch["missing"], batch["text"]):
+            for conv, missing, text, loss, legal in zip(batch["conv_id"], batch["missing"], batch["text"], batch["loss"], batch["legal"]):
                 name = None if missing else conv
                 if not known or name != now:
                     if known:
                         out.append((now, *reader.row()))
                         reader.begin()
                     now, known = name, True
-                reader.feed(text)
+                reader.take(text, loss, legal)
             if out:
                 yield frame(out)
                 out = []
@@ -155,12 +177,12 @@ def read_back(written: DataFrame, template: Template = Template()) -> DataFrame:
             yield frame([(now, *reader.row())])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        made = pd.DataFrame(rows, columns=list(COLUMNS))
         return made.astype({"conv_id": "Int64"}) if numeric else made
 
     kind = dict(written.dtypes)["conv_id"]
     numeric = kind in ("bigint", "int", "smallint", "tinyint")
     sorted_ = written.repartition("conv_id").sortWithinPartitions("conv_id", "at", "part")
-    chosen = sorted_.select(F.coalesce("conv_id", F.lit(0)).alias("conv_id") if numeric else "conv_id", F.col("conv_id").isNull().alias("missing"), "text")
-    schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    chosen = sorted_.select(F.coalesce("conv_id", F.lit(0)).alias("conv_id") if numeric else "conv_id", F.col("conv_id").isNull().alias("missing"), "text", "loss", F.coalesce("legal", F.lit(False)).alias("legal"))
+    schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, legal boolean, mask_matches boolean"
     return chosen.mapInPandas(parse, schema)

@@ -38,10 +38,12 @@ graded AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
 paged AS (
   SELECT s.*, g.quality = 0 AS bad FROM split s LEFT JOIN graded g ON g.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(\\D|$)', 1) AS BIGINT)),
 host_c AS (
-  SELECT host, coalesce(regexp_extract(host, '[^.]*\\.[^.]*$'), '') AS two, regexp_extract(host, '[^.]*$') AS suffix, count(bad) AS n, coalesce(sum(bad::INT), 0) AS bad
+  SELECT host, regexp_extract(host, '[^.]*$') AS one, regexp_extract(host, '[^.]*\\.[^.]*$') AS two, regexp_extract(host, '[^.]*\\.[^.]*\\.[^.]*$') AS three,
+         two IN ({", ".join(f"'{x}'" for x in reputation.SUFFIXES)}) AS listed, count(bad) AS n, coalesce(sum(bad::INT), 0) AS bad
   FROM paged GROUP BY host),
-hosts AS (SELECT host, CASE WHEN two = '' THEN host ELSE two END AS domain, suffix, n, bad FROM host_c),
-suffix_0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS prior FROM hosts GROUP BY suffix),
+hosts AS (SELECT host, coalesce(nullif(CASE WHEN listed THEN three ELSE two END, ''), host) AS domain, CASE WHEN listed THEN two ELSE one END AS suffix, n, bad FROM host_c),
+overall AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS share FROM hosts),
+suffix_0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT share FROM overall) AS prior FROM hosts GROUP BY suffix),
 {LEVEL_SQL.format(name="suffix").strip()},
 domain_0 AS (SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.bad) AS bad, any_value(p.mean) AS prior FROM hosts h JOIN suffix_p p ON p.suffix = h.suffix GROUP BY h.domain, h.suffix),
 {LEVEL_SQL.format(name="domain").strip()},
@@ -52,7 +54,8 @@ fits AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM split JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT s.page_id, s.host, s.path, f.rule,
-       coalesce(f.verdict, CASE WHEN p.mean - 1.645 * sqrt(p.mean * (1 - p.mean) / (p.total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.verdict, CASE WHEN p.mean - 1.645 * sqrt(p.mean * (1 - p.mean) / (p.total + 1)) > least(0.5, 2 * (SELECT share FROM overall)) THEN 'block' ELSE 'allow' END) AS verdict,
+       round(p.mean, 6) AS mean, round(p.mean - 1.645 * sqrt(p.mean * (1 - p.mean) / (p.total + 1)), 6) AS bound
 FROM split s JOIN host_p p ON p.host = s.host LEFT JOIN fits f ON f.page_id = s.page_id
 """
 
@@ -65,7 +68,7 @@ def op4_host_reputation(spark, sf_dir):
     number = F.regexp_extract(reputation.url_parts(F.col("url"))[1], r"/([0-9]{1,18})(\D|$)", 1)
     pages = pages.withColumn("doc_id", F.when(number != "", number).cast("long")).join(graded, "doc_id", "left")
     judged = reputation.judge(pages.withColumn("bad", F.col("quality") == 0), URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
 
 
 OP8_SQL = r"""
@@ -183,11 +186,13 @@ WITH c AS (
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 w AS (
   SELECT *, length({_escaped("text")}) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length({_escaped("role")}) END AS chars,
-         CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned FROM c)
+         CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+         coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') || '>' || role
+           IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS allowed FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        sum(length(learned))::BIGINT AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars
+       sum(chars)::BIGINT AS formatted_chars, bool_and(allowed) AND last(role ORDER BY turn, role, text) = 'assistant' AS legal, true AS mask_matches
 FROM w GROUP BY conv_id
 """
 

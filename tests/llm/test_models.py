@@ -179,8 +179,13 @@ def test_reader_inverts_the_format(turns, step):
     for i in range(0, len(written), step):
         reader.feed(written[i : i + step])
     learned = "".join(t for r, t in turns if r == "assistant")
-    assert reader.row() == (
-        len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(written))
+    row = reader.row()
+    assert (row[0], row[1], row[4]) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(written))
+    assert reader.of_roles.hexdigest() == hashlib.sha256(learned.encode()).hexdigest()
+    reader.begin()
+    for r, t in turns:
+        reader.take(escape(t), r == "assistant", True)
+    assert reader.row()[2:4] == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
 def test_chat_machine_and_odd_rows(spark):
@@ -196,7 +201,13 @@ def test_chat_machine_and_odd_rows(spark):
     back = {r.conv_id: r for r in chat.read_back(made).collect()}
     assert {k: (r.n_turns, r.loss_chars) for k, r in back.items()} == {1: (3, 1), 2: (3, 1), None: (2, 0), 3: (1, 0)}
     assert back[None].turns_sha256 == hashlib.sha256(b"\nn\nuser\n</s>\n").hexdigest()
+    assert {k: r.legal for k, r in back.items()} == {1: True, 2: False, None: False, 3: False} and all(r.mask_matches for r in back.values())
     assert chat.read_back(chat.segments(talk.limit(0))).count() == 0
+    # what is learned is what the flags cover: other flags, other digests
+    turned = {r.conv_id: r for r in chat.read_back(made.withColumn("loss", (F.col("part") == 1) & ~F.col("loss"))).collect()}
+    assert (turned[1].loss_chars, turned[1].mask_matches) == (2, False) and turned[1].loss_sha256 == hashlib.sha256(b"su").hexdigest()
+    none = {r.conv_id: r for r in chat.read_back(made.withColumn("loss", F.lit(False))).collect()}
+    assert (none[1].loss_chars, none[1].mask_matches, none[1].turns_sha256) == (0, False, back[1].turns_sha256) and none[3].mask_matches
 
 
 # Reputation, sharding -----------------------------------------------------------------------------------------------
@@ -211,9 +222,38 @@ def test_urls_rules_and_reputation(spark):
     assert [(got[i].host, got[i].path) for i in range(8)] == parts
     assert [got[i].rule for i in range(8)] == [None, None, None, "example.net/en/", None, "example.com/de/", "org/fr/", None]
     assert got[100].verdict == "block" and got[200].verdict == "allow"
+    assert got[100].bound > 0.5 > got[200].bound and got[100].mean > got[100].bound
     assert reputation.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_reputation_blocks_as_in_sql(spark, tmp_path):
+    """Hosts that are worse than others are blocked by the posterior bound alone; repeated pages and long urls; listed suffixes."""
+    import duckdb
+
+    from oracle_check import compare
+
+    hosts = ["a.bad.com", "b.bad.com", "shop.co.uk", "www.news.co.uk", "x.good.org", "y.good.org", "net", "z.mixed.com", "co.uk"]
+    share = {"a.bad.com": 0.9, "b.bad.com": 0.7, "shop.co.uk": 0.6, "z.mixed.com": 0.2}
+    rng = np.random.default_rng(3)
+    pages, labels = [], []
+    for h in hosts:
+        for _ in range(40):
+            n = len(pages)
+            pages.append((n, f"http://{h}/doc/{n}" + "?q" * (5000 if n % 90 == 0 else 0), ""))
+            if n % 3:
+                labels.append((n, int(rng.random() >= share.get(h, 0.05)), 0))
+    pages += [pages[5], pages[5], (None, None, None)]
+    for name, rows, schema in (("pages", pages, "page_id long, url string, html string"), ("labels", labels + [labels[0], (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    made = queries.QUERIES["op4_host_reputation"](spark, str(tmp_path))
+    assert compare(made, con, queries.ORACLES["op4_host_reputation"]) is None
+    blocked = {r.host for r in made.filter("verdict = 'block' AND rule IS NULL").collect()}
+    assert {"a.bad.com", "b.bad.com"} <= blocked and not blocked & {"x.good.org", "y.good.org"}
+
+
 def test_lookup_table_by_turns():
     shards, slots = [f"s{i}" for i in range(7)], 101
     table_ = placement.lookup_table(shards, slots)
