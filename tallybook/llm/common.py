@@ -17,7 +17,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the cluster's shared folder and read it back: a lost executor costs a re-read, not a re-run."""
     path = f"{scratch_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``stored``, once all that was made from them is stored itself."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_key(text: str = "text") -> Column:

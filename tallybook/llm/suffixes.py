@@ -10,9 +10,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import sized, stored, text_key
+from .common import BROADCAST_BYTES, discard, sized, stored, text_key
 from .textbatch import SEED, mixed, pieces
 
 GRAM = 16
@@ -20,12 +20,14 @@ GRAM = 16
 
 @dataclass(frozen=True)
 class Repeats:
-    """``length``: bytes of a string that must be found again. ``partitions``: parts of the merge, the session's shuffle
-    partitions if None. ``run``: suffixes a sorted run holds at most."""
+    """``length``: bytes of a string that must be found again. ``part``: suffixes that a part of the merge should hold; there
+    are as many parts as that takes, the session's shuffle partitions at least. ``run``: suffixes a sorted run holds at
+    most. ``broadcast``: bytes up to which a counted table is sent to all tasks; a larger one is joined by shuffle."""
 
     length: int = 400
-    partitions: int | None = None
+    part: int = 60_000
     run: int = 20_000
+    broadcast: int = BROADCAST_BYTES
 
     @property
     def window(self) -> int:
@@ -294,26 +296,34 @@ def _merged(p: Repeats):
     """Tasks that merge the runs of a part and give each context its reach."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[bytes]] = {}
+        """Runs come sorted by part; the runs of one part are held, compressed until the merge reads them."""
+        now, blobs = None, []
         for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist()):
-                runs.setdefault(part, []).append(blob)
-        for part in sorted(runs):
-            out: list[tuple[bytes, int, int]] = []
-            cluster: list[list] = []
-            for shared, suffix, left, context, repeated in merge_runs([read_run(b) for b in runs[part]]):
-                if cluster and shared < p.common:
-                    out += _reaches(cluster, p)
-                    cluster = []
-                if cluster and cluster[-1][4] == context:
-                    cluster[-1][3] = True
-                else:
-                    cluster.append([shared, suffix, left, repeated, context])
-                if len(out) > 50_000:
-                    yield _reach_batch(out)
-                    out = []
-            out += _reaches(cluster, p)
-            yield _reach_batch(out)
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("run")):
+                if part != now and blobs:
+                    yield from merged(blobs)
+                    blobs = []
+                now = part
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from merged(blobs)
+
+    def merged(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[bytes, int, int]] = []
+        cluster: list[list] = []
+        for shared, suffix, left, context, repeated in merge_runs([read_run(b) for b in blobs]):
+            if cluster and shared < p.common:
+                out += _reaches(cluster, p)
+                cluster = []
+            if cluster and cluster[-1][4] == context:
+                cluster[-1][3] = True
+            else:
+                cluster.append([shared, suffix, left, repeated, context])
+            if len(out) > 50_000:
+                yield _reach_batch(out)
+                out = []
+        out += _reaches(cluster, p)
+        yield _reach_batch(out)
 
     return merge
 
@@ -330,42 +340,51 @@ def _reach_batch(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(context, pa.binary()), pa.array(before, pa.int32()), pa.array(after, pa.int32())], ["context", "before", "after"])
 
 
-def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "text") -> DataFrame:
-    """(key, spans): for each text with repeated bytes, by digest, its maximal runs (first, last + 1) in order.
-
-    A byte is repeated when a string of ``length`` bytes that covers it starts anywhere else as well, in any document or
-    the same. Exact: strings are tied to anchors chosen by content, anchors whose following bytes occur once are left out
-    by counting hashes, and the suffixes at the others are sorted in runs where they are read, exchanged front-coded, and
-    merged by loser trees. Sorted suffixes with their left sides tell how far each repeated string reaches.
-
-    Null texts are empty. Copies of a text, and repeated rows, count as occurrences. A hash with very many suffixes is
-    spread over the runs of all tasks and equal contexts of a run are one entry, so a part receives each distinct context
-    once a run.
-    """
-    spark = docs.sparkSession
-    parts = p.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _spans(docs: DataFrame, p: Repeats, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans of each text by digest, and the stored tables they are read from."""
     own = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     long = own.filter(F.length("text") >= p.length)
     listed = stored(long.mapInArrow(_list_anchors(p), "hash long, key binary, pos int"), "anchors")
     counts = listed.groupBy("hash").agg(F.count("*").alias("n"))
     again = stored(counts.filter("n > 1").select("hash"), "repeated")
-    wanted = listed.join(sized(again, 16), "hash", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("wanted"))
+    wanted = listed.join(sized(again, 16, p.broadcast), "hash", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("wanted"))
     wanted = stored(wanted.withColumnRenamed("key", "__key"), "wanted")
-    size = wanted.agg(F.coalesce(F.sum(64 + 4 * F.size("wanted")), F.lit(0)).alias("s")).first().s
-    chosen = long.join(F.broadcast(wanted) if size <= 32 << 20 else wanted, F.col("key") == F.col("__key"))
+    discard(listed, again)
+    size = wanted.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("anchors")).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size.anchors // p.part))
+    chosen = long.join(F.broadcast(wanted) if 64 * size.texts + 4 * size.anchors <= p.broadcast else wanted, F.col("key") == F.col("__key"))
     schema = "part int, run binary, key binary, pos int, context binary"
     both = stored(chosen.select("key", "text", "wanted").mapInArrow(_sorted_runs(p, parts), schema), "runs")
-    runs = both.filter("part is not null").select("part", "run").repartition(parts, "part")
+    discard(wanted)
+    runs = both.filter("part is not null").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
     reach = stored(runs.mapInArrow(_merged(p), "context binary, before int, after int"), "reach")
     places = both.filter("part is null").select("key", "pos", "context").distinct()
-    covers = places.join(reach, "context").groupBy("key").agg(F.array_sort(F.collect_set(F.struct((F.col("pos") - F.col("before")).alias("first"), (F.col("pos") + F.col("after")).alias("last")))).alias("covers"))
-    joined = F.aggregate(
-        "covers", F.array().cast("array<struct<first:int,last:int>>"),
-        lambda done, c: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= c["first"]),
-                               F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], c["last"]).alias("last")))))
-        .otherwise(F.concat(done, F.array(c))),
-    )
-    return covers.select("key", joined.alias("spans"))
+    covers = places.join(reach, "context").select("key", (F.col("pos") - F.col("before")).alias("first"), (F.col("pos") + F.col("after")).alias("last")).distinct()
+    order = Window.partitionBy("key").orderBy("first", "last")
+    seen = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))  # a span ends where none so far goes on
+    covers = covers.withColumn("fresh", F.when(seen >= F.col("first"), 0).otherwise(1))
+    covers = covers.withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = covers.groupBy("key", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")), [both, reach]
+
+
+def repeated_spans(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "text") -> DataFrame:
+    """(key, spans): for each text with repeated bytes, by digest, its maximal runs (first, last + 1) in order.
+
+    A byte is repeated when a string of ``length`` bytes that covers it starts anywhere else as well, in any document or
+    the same. Exact: strings are tied to anchors chosen by content, anchors whose following bytes occur once are left out
+    by counting hashes, and the suffixes at the others are sorted in runs where they are read, exchanged front-coded, and
+    merged by loser trees. Sorted suffixes with their left sides tell how far each repeated string reaches.
+
+    Null texts are empty; an empty table gives an empty result. Copies of a text, and repeated rows, count as occurrences.
+    The merge has as many parts as the counted suffixes take; a task holds the runs of one part. A hash with very many
+    suffixes is spread over the runs of all tasks and equal contexts of a run are one entry, so a part receives each
+    distinct context once a run. Intermediates are deleted when the spans are stored.
+    """
+    spans, tables = _spans(docs, p, text_col)
+    spans = stored(spans, "spans")
+    discard(*tables)
+    return spans
 
 
 def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "text") -> DataFrame:
@@ -374,13 +393,13 @@ def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), text_col: str = "text")
     Columns of these names are replaced. Rows with equal texts, null ids or no text are all kept.
     """
     docs = docs.drop("spans", "kept")
-    spans = stored(repeated_spans(docs, p, text_col).withColumnRenamed("key", "__key"), "spans")
+    spans = repeated_spans(docs, p, text_col).withColumnRenamed("key", "__key")
     size = spans.agg(F.coalesce(F.sum(64 + 8 * F.size("spans")), F.lit(0)).alias("s")).first().s
-    marked = docs.withColumn("__text", text_key(text_col)).join(F.broadcast(spans) if size <= 32 << 20 else spans, F.col("__text") == F.col("__key"), "left")
+    marked = docs.withColumn("__text", text_key(text_col)).join(F.broadcast(spans) if size <= p.broadcast else spans, F.col("__text") == F.col("__key"), "left")
     listed = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["last"]))
     ends = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.length("__raw")))
-    pieces_ = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("__raw"), a + 1, b - a))
-    kept = F.when(F.size("spans") > 0, F.aggregate(pieces_, F.lit(b""), lambda done, x: F.concat(done, x))).otherwise(F.col("__raw"))
+    pieces_ = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("__raw"), a + 1, b - a).cast("string"))  # bytes as they are
+    kept = F.when(F.size("spans") > 0, F.array_join(pieces_, "").cast("binary")).otherwise(F.col("__raw"))
     return marked.withColumns({"spans": listed, "__raw": raw}).withColumn("kept", kept).drop("__text", "__key", "__raw")

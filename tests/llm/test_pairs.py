@@ -140,8 +140,9 @@ def brute_cover(texts, length):
     return masks
 
 
-@pytest.mark.parametrize("seed,length", [(1, 40), (2, 48), (3, 64), (4, 400)])
-def test_repeated_strings(spark, docs_of, seed, length):
+@pytest.mark.parametrize("seed,length,broadcast,part", [(1, 40, 0, 7), (2, 48, 1 << 20, 60_000), (3, 64, 0, 60_000), (4, 400, 1 << 20, 20)])
+def test_repeated_strings(spark, docs_of, seed, length, broadcast, part):
+    """Small tables sent to the tasks or joined by shuffle, few and many parts of the merge."""
     rnd = random.Random(seed)
     base = ["".join(rnd.choice("abcdéß ") for _ in range(rnd.randint(length // 2, 4 * length))) for _ in range(5)] + ["a" * 2 * length]
     texts = [None, "", "short"]
@@ -154,7 +155,7 @@ def test_repeated_strings(spark, docs_of, seed, length):
         texts.append(text)
     texts += texts[-3:] * 2
     docs = docs_of(list(enumerate(texts)))
-    got = {r.doc_id: r for r in suffixes.cut_repeats(docs, suffixes.Repeats(length=length, partitions=3, run=9)).collect()}
+    got = {r.doc_id: r for r in suffixes.cut_repeats(docs, suffixes.Repeats(length=length, part=part, run=9, broadcast=broadcast)).collect()}
     assert len(got) == len(texts)
     for i, mask in enumerate(brute_cover(texts, length)):
         mine = np.zeros(len(mask), bool)
@@ -178,6 +179,29 @@ def test_runs_merge_in_order():
         assert after[0] == suffixes.lcp(before[1], after[1], 0)
 
 
+def test_one_passage_in_many_surroundings(spark):
+    """Every document holds the passage between words of its own; every span is found, whatever stands around it."""
+    passage = "".join(random.Random(0).choice("abcdefgh ") for _ in range(450))
+    rows = [(i, f"{i * 7919:08d} before {i} {passage} after {i} {i * 104729:08d}") for i in range(10_000)]
+    out = suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    at, first, last = F.instr("text", passage[:40]) - 1, F.col("spans")[0]["first"], F.col("spans")[0]["last"]
+    good = (F.size("spans") == 1) & (first <= at) & (last >= at + 450) & (last - first <= 470) & (F.length("kept") == F.length("text") - last + first)
+    assert out.agg(F.count("*"), F.count_if(good)).first()[:] == (10_000, 10_000)
+
+
+def test_many_spans_in_one_long_text(spark):
+    """A long text of many repeated passages is cut in linear time, and intermediates of the run are gone."""
+    rnd = random.Random(1)
+    passages = ["".join(rnd.choice("abcdefgh ß") for _ in range(300)) for _ in range(60)]
+    text = "".join(rnd.choice(passages) + "".join(rnd.choice("XYZ") for _ in range(12)) for _ in range(4000))
+    (row,) = suffixes.cut_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string"), suffixes.Repeats(length=200)).collect()
+    raw, kept, at = text.encode(), b"", 0
+    for s in row["spans"]:
+        kept += raw[at : s["first"]]
+        at = s["last"]
+    assert len(row["spans"]) > 1000 and bytes(row["kept"]) == kept + raw[at:]
+
+
 def brute_hits(text, items, window=13):
     w = words(text)
     hit, found = set(), set()
