@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,14 @@ from .textbatch import SEED
 
 @dataclass(frozen=True)
 class Lists:
-    """``sample``: vectors the index is fitted on at most. ``list_size``: vectors a list should hold, ``most_lists`` bounds
+    """``sample``: vectors the index is fitted on at most, and ``sample_bytes`` their size. ``list_size``: vectors a list should hold, ``most_lists`` bounds
     their number and so the broadcast centroids. A vector is filed in the lists whose centroids are at most ``spread``
     times as far as the nearest, in ``replicas`` at most; a query reads the lists up to ``ratio`` times as far. ``beam``
     (of a query) and ``filing_beam``: centroids kept by a graph search, ``degree``: neighbours of a centroid in the graph. ``block``: vectors, and
     queries, of a list that one task compares."""
 
     sample: int = 20_000
+    sample_bytes: int = 128 << 20
     list_size: int = 200
     most_lists: int = 4096
     spread: float = 1.1
@@ -35,12 +37,22 @@ class Lists:
 
 @dataclass(frozen=True)
 class Graph:
-    """Centroids, the neighbours of each, and where a search begins."""
+    """Centroids, the neighbours of each, where a search begins, and which neighbours stand for the first time in their row."""
 
     centroids: np.ndarray
     neighbours: np.ndarray
     entries: np.ndarray
 
+    @cached_property
+    def first(self) -> np.ndarray:
+        order = np.argsort(self.neighbours, axis=1, kind="stable")
+        ranked = np.take_along_axis(self.neighbours, order, axis=1)
+        fresh = np.ones(ranked.shape, bool)
+        fresh[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+        out = np.empty_like(fresh)
+        np.put_along_axis(out, order, fresh, axis=1)
+        return out
+
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
@@ -65,49 +77,78 @@ def balanced_centroids(sample: np.ndarray, lists: int, rng: np.random.Generator)
 
 
 def build_graph(centroids: np.ndarray, degree: int, rng: np.random.Generator) -> Graph:
-    """Each centroid is tied to its nearest ones and to as many random ones as a quarter of those, for long hops."""
+    """Ties of each centroid: of its nearest ones those that no nearer tie is closer to, so that ties point in all
+    directions; free places go to the nearest ones left out, a quarter to random ones, for long hops."""
     n = len(centroids)
     degree = min(degree, n - 1) if n > 1 else 1
+    if n == 1:
+        return Graph(centroids, np.zeros((1, 1), np.int64), np.zeros(1, np.int64))
+    hops, pool = degree // 4, min(3 * degree, n - 1)
     neighbours = np.empty((n, degree), np.int64)
-    for low in range(0, n, 512):
-        d = squared(centroids[low : low + 512], centroids)
-        d[np.arange(len(d)), low + np.arange(len(d))] = np.inf
-        neighbours[low : low + 512] = np.argsort(d, axis=1, kind="stable")[:, :degree] if n > 1 else 0
-    hops = degree // 4
+    for low in range(0, n, 256):
+        at = np.arange(low, min(low + 256, n))
+        d = squared(centroids[at], centroids)
+        d[np.arange(len(at)), at] = np.inf
+        near = np.argpartition(d, pool - 1, axis=1)[:, :pool]
+        gap = np.take_along_axis(d, near, axis=1)
+        order = np.argsort(gap, axis=1, kind="stable")
+        near, gap = np.take_along_axis(near, order, axis=1), np.take_along_axis(gap, order, axis=1)
+        covered = np.zeros(near.shape, bool)  # some nearer tie is closer to it than the centroid is
+        for j in range(pool):
+            between = ((centroids[near] - centroids[near[:, j]][:, None, :]) ** 2).sum(axis=2)
+            covered[:, j + 1 :] |= (~covered[:, j])[:, None] & (between < gap)[:, j + 1 :]
+        first = np.argsort(covered, axis=1, kind="stable")[:, :degree]  # uncovered ones, then the others, each by distance
+        neighbours[at] = np.take_along_axis(near, first, axis=1)
     if hops:
         neighbours[:, -hops:] = rng.integers(0, n, (n, hops))
     return Graph(centroids, neighbours, rng.choice(n, min(n, 8), replace=False))
 
 
-def search_graph(graph: Graph, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, distances) nearest first, of the best ``beam`` found for each vector by walking the graph.
+def search_graph(graph: Graph, vectors: np.ndarray, beam: int, counted: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, distances) nearest first, of the best ``beam`` found for each vector by walking the graph; -1 and infinity
+    where fewer were met. ``counted`` gets the number of distances computed.
 
-    All vectors walk together: each step opens the nearest centroid not yet opened of every vector, and a walk ends when
-    its beam holds no unopened one.
+    All vectors walk together. Each holds the best ``beam`` centroids it met and which ones it met at all; a step opens the
+    nearest one not yet opened and measures those of its neighbours that are new. A walk ends when all of its beam is open.
     """
     n, width = len(graph.centroids), min(beam, len(graph.centroids))
     out_ids, out_d = np.empty((len(vectors), width), np.int64), np.empty((len(vectors), width))
-    for low in range(0, len(vectors), 128):
-        v = vectors[low : low + 128]
+    most = max(1, min(1024, (32 << 20) // n))  # walks at a time, by what they mark as met
+    for low in range(0, len(vectors), most):
+        v = vectors[low : low + most]
         rows = np.arange(len(v))
-        d = np.full((len(v), n), np.inf)  # distance of every centroid met
-        opened = np.zeros((len(v), n), bool)
-        d[:, graph.entries] = np.sqrt(squared(v, graph.centroids[graph.entries]))
+        met = np.zeros((len(v), n), bool)
+        met[:, graph.entries] = True
+        start = np.sqrt(squared(v, graph.centroids[graph.entries]))
+        places = max(width, len(graph.entries))
+        ids, d = np.full((len(v), places), -1, np.int64), np.full((len(v), places), np.inf)
+        ids[:, : len(graph.entries)], d[:, : len(graph.entries)] = graph.entries, start
+        opened = np.zeros(ids.shape, bool)
+        measured = start.size
         while True:
-            limit = np.partition(d, width - 1, axis=1)[:, width - 1]
-            waiting = np.where(opened | (d > limit[:, None]), np.inf, d)
+            waiting = np.where(opened, np.inf, d)
             best = waiting.argmin(axis=1)
-            live = np.isfinite(waiting[rows, best])
-            if not live.any():
+            live = np.flatnonzero(np.isfinite(waiting[rows, best]))
+            if not len(live):
                 break
-            walkers, at = rows[live], best[live]
-            opened[walkers, at] = True
-            near = graph.neighbours[at]
-            gap = np.sqrt(np.maximum(((graph.centroids[near] - v[walkers][:, None, :]) ** 2).sum(axis=2), 0))
-            d[walkers[:, None], near] = gap
-        d = np.where(np.isfinite(d), d, np.inf)
+            opened[live, best[live]] = True
+            near = graph.neighbours[ids[live, best[live]]]
+            fresh = ~met[live[:, None], near] & graph.first[ids[live, best[live]]]
+            met[live[:, None], near] = True
+            who, which = np.nonzero(fresh)
+            gap = np.full(near.shape, np.inf)
+            gap[who, which] = np.sqrt(((graph.centroids[near[who, which]] - v[live[who]]) ** 2).sum(axis=1))
+            measured += len(who)
+            all_d = np.concatenate([d[live], gap], axis=1)
+            keep = np.argpartition(all_d, places - 1, axis=1)[:, :places]
+            d[live] = np.take_along_axis(all_d, keep, axis=1)
+            ids[live] = np.take_along_axis(np.concatenate([ids[live], near], axis=1), keep, axis=1)
+            opened[live] = np.take_along_axis(np.concatenate([opened[live], np.zeros(near.shape, bool)], axis=1), keep, axis=1)
         order = np.argsort(d, axis=1, kind="stable")[:, :width]
-        out_ids[low : low + 128], out_d[low : low + 128] = order, np.take_along_axis(d, order, axis=1)
+        out_d[low : low + most] = np.take_along_axis(d, order, axis=1)
+        out_ids[low : low + most] = np.where(np.isfinite(out_d[low : low + most]), np.take_along_axis(ids, order, axis=1), -1)
+        if counted is not None:
+            counted.append(measured)
     return out_ids, out_d
 
 
@@ -194,8 +235,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, p: Lists = Lists()
 
     count = entries.count()
     rng = np.random.default_rng(SEED + 7)
-    sample = entries.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(p.sample).select("vector").collect()
-    points = np.array([r["vector"] for r in sample], np.float64)
+    sample = entries.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(min(p.sample, max(p.sample_bytes // (8 * dim), 1)))
+    points = _matrix(sample.select("vector").toArrow().column("vector"), dim)
     lists = int(min(max(count // p.list_size, 1), p.most_lists, len(points)))
     graph = build_graph(balanced_centroids(points, lists, rng), p.degree, rng)
 

@@ -242,6 +242,24 @@ def test_proximity(spark, docs_of):
     assert got == [(1, 1, 1, 4), (3, 2, 1, 3)]
 
 
+@pytest.mark.parametrize("kind", ["clusters", "even"])
+def test_centroid_graph_finds_what_a_scan_finds(kind):
+    """Nearest centroid found for 95 % or more of the vectors, with fewer distances than a scan of all centroids."""
+    rng = np.random.default_rng(5)
+    dim, n = (32, 3000) if kind == "clusters" else (8, 3000)
+    middles = rng.normal(0, 1, (60, dim))
+    make = (lambda m: middles[rng.integers(0, 60, m)] + rng.normal(0, 0.4, (m, dim))) if kind == "clusters" else (lambda m: rng.normal(0, 1, (m, dim)))
+    centroids, vectors = make(n), make(500)
+    graph = posting_lists.build_graph(centroids, 24, rng)
+    counted = []
+    ids, d = posting_lists.search_graph(graph, vectors, 32, counted)
+    exact = np.sqrt(posting_lists.squared(vectors, centroids))
+    assert (ids[:, 0] == exact.argmin(axis=1)).mean() >= 0.95
+    assert sum(counted) < 0.5 * exact.size
+    assert all(len(set(r.tolist())) == 32 for r in ids) and np.allclose(d, np.take_along_axis(exact, ids, axis=1))
+    assert (np.diff(d, axis=1) >= 0).all()
+
+
 def brute_nearest(rows, k=10):
     points = {i: np.array(v, np.float64) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v) and len(v) == 8}
     ids = np.array(sorted(points))
