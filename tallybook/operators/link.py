@@ -61,19 +61,29 @@ def backfill_report(destination: DataFrame, source: DataFrame, column: str, new_
 
 
 def backfill_across_years(
-    destination: DataFrame, history: DataFrame, columns: dict[str, str], key: str = "pupil", year: str = "year"
+    destination: DataFrame, history: DataFrame, columns: dict[str, str], key: str = "pupil", year: str = "year",
+    years: tuple[int, int] | None = None, before: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Fill blanks from the newest non-blank value over all years, for every column in one pass and in its own type.
+    """Fill blanks from the newest non-blank value, for every column in one pass and in its own type.
 
-    One aggregation of the stacked history and one left join replace a join per column and year.
+    ``years``: first and last year of the history that may be used (None: all). ``before``: how many years before a row's
+    own ``year`` the value must come from, least and most; a row without a year is not filled then. One aggregation of the
+    stacked history (a key's distinct values by year) and one left join replace a join per column and year.
     """
-    newest = []
+    if years is not None:
+        history = history.filter(F.col(year).between(*years))
+    found = []
     for column in columns:
         value = filled_only(history, column)
-        newest.append(F.max(F.when(value.isNotNull(), F.struct(F.col(year), value.alias("v")))).alias(f"__{column}"))
-    out = destination.join(history.groupBy(key).agg(*newest), key, "left")
+        record = F.when(value.isNotNull(), F.struct(F.col(year), value.alias("v")))
+        found.append((F.max(record) if before is None else F.array_sort(F.collect_set(record))).alias(f"__{column}"))
+    out = destination.join(history.groupBy(key).agg(*found), key, "left")
     for column, new_name in columns.items():
-        source = F.col(f"__{column}.v")
+        source = F.col(f"__{column}")
+        if before is not None:
+            own, (least, most) = F.col(year), before
+            source = F.get(F.reverse(F.filter(source, lambda r: r[year].between(own - most, own - least))), F.lit(0))
+        source = source["v"]
         if new_name in destination.columns:
             source = F.coalesce(filled_only(destination, new_name), source.cast(destination.schema[new_name].dataType))
         out = out.withColumn(new_name, source)

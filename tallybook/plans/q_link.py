@@ -37,16 +37,6 @@ def _(t):
     )
 
 
-@query("semi_filter", f"SELECT * FROM facts f WHERE EXISTS (SELECT 1 FROM facts g WHERE g.subject = '{FOCUS}' AND g.pupil = f.pupil)")
-def _(t):
-    return link.semi_filter(t.facts, t.facts.filter(F.col("subject") == FOCUS), "pupil")
-
-
-@query("anti_filter", f"SELECT * FROM facts f WHERE NOT EXISTS (SELECT 1 FROM facts g WHERE g.subject = '{FOCUS}' AND g.pupil = f.pupil)")
-def _(t):
-    return link.anti_filter(t.facts, t.facts.filter(F.col("subject") == FOCUS), "pupil")
-
-
 # A person's yearly records: the orders of a customer, blank where the priority is not specified.
 HISTORY_SQL = """history AS (SELECT o_custkey AS person, CAST(year(o_orderdate) AS INTEGER) AS year,
     CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ' ' ELSE o_orderpriority END AS ethnicity,
@@ -95,6 +85,20 @@ def _(t):
     return link.backfill_across_years(people(t), history(t), {"ethnicity": "eth", "gender": "gender"}, "person")
 
 
+@query("backfill_year_range", """h AS (SELECT o_custkey AS person, CAST(year(o_orderdate) AS INTEGER) AS year, nullif(o_orderstatus, 'P') AS gender, o_totalprice AS price FROM orders),
+  d AS (SELECT o_orderkey AS pupil, o_custkey AS person, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 2 = 0 THEN nullif(o_orderstatus, 'P') END AS gender FROM orders),
+  g AS (SELECT pupil, max({'year': h.year, 'v': h.gender}) AS r FROM d JOIN h ON h.person = d.person AND h.year BETWEEN d.year - 3 AND d.year - 1 WHERE h.gender IS NOT NULL AND h.year BETWEEN 1993 AND 1996 GROUP BY pupil),
+  p AS (SELECT pupil, max({'year': h.year, 'v': h.price}) AS r FROM d JOIN h ON h.person = d.person AND h.year BETWEEN d.year - 3 AND d.year - 1 WHERE h.year BETWEEN 1993 AND 1996 GROUP BY pupil)
+  SELECT d.pupil, d.person, d.year, coalesce(d.gender, g.r.v) AS gender, p.r.v AS prior_price FROM d LEFT JOIN g ON g.pupil = d.pupil LEFT JOIN p ON p.pupil = d.pupil""")
+def _(t):
+    """Records of one to three years before a row's own year, of 1993 to 1996 only."""
+    orders = t.table("orders").select(
+        F.col("o_orderkey").alias("pupil"), F.col("o_custkey").alias("person"), F.year("o_orderdate").alias("year"),
+        F.nullif("o_orderstatus", F.lit("P")).alias("gender"), F.col("o_totalprice").alias("price"))
+    now = orders.drop("price").withColumn("gender", F.when(F.col("pupil") % 2 == 0, F.col("gender")))
+    return link.backfill_across_years(now, orders.drop("pupil"), {"gender": "gender", "price": "prior_price"}, "person", years=(1993, 1996), before=(1, 3))
+
+
 @query("backfill_results", f"""best AS (SELECT provider, year, max(points) AS v FROM results WHERE level = 'A' AND subject = '{FOCUS}' GROUP BY provider, year),
   newest AS (SELECT provider, v FROM best QUALIFY row_number() OVER (PARTITION BY provider ORDER BY year DESC) = 1)
   SELECT c_custkey AS provider, v AS prior_points FROM customer LEFT JOIN newest ON c_custkey = provider""")
@@ -185,3 +189,13 @@ def _(t):
         return t.pupils.filter(F.col("gender") == gender).groupBy("ethnicity").agg(F.count("*").alias(name))
 
     return link.paste_tables(table("F", "n_f"), table("O", "n_o"), "ethnicity")
+
+
+@query("semi_filter", f"SELECT * FROM facts f WHERE EXISTS (SELECT 1 FROM facts g WHERE g.subject = '{FOCUS}' AND g.pupil = f.pupil)")
+def _(t):
+    return link.semi_filter(t.facts, t.facts.filter(F.col("subject") == FOCUS), "pupil")
+
+
+@query("anti_filter", f"SELECT * FROM facts f WHERE NOT EXISTS (SELECT 1 FROM facts g WHERE g.subject = '{FOCUS}' AND g.pupil = f.pupil)")
+def _(t):
+    return link.anti_filter(t.facts, t.facts.filter(F.col("subject") == FOCUS), "pupil")

@@ -94,6 +94,21 @@ def test_back_fill_keeps_types(spark):
         assert sorted((r.pupil, r.mark, r.eth) for r in out.collect()) == [("a", 27.0, "p"), ("b", 3.0, "x")]
 
 
+def test_back_fill_within_years(spark):
+    """A newer value from outside the range is not used; the newest inside it is, blanks left out."""
+    now = spark.createDataFrame([("a", 2017, None), ("a", 2015, None), ("b", 2017, "x"), ("c", None, None), (None, 2017, None)], "pupil string, year int, eth string")
+    past = spark.createDataFrame([("a", 2017, "own"), ("a", 2016, "  "), ("a", 2014, "p"), ("a", 2013, "o"), ("a", 2010, "old"), ("b", 2016, "q"), ("c", 2016, "z"), (None, 2016, "n")], "pupil string, year int, eth string")
+
+    def fill(**limits):
+        out = link.backfill_across_years(now, past, {"eth": "eth"}, **limits)
+        return sorted((r.pupil or "", r.year or 0, r.eth) for r in out.collect())
+
+    assert fill(before=(1, 3)) == [("", 2017, None), ("a", 2015, "p"), ("a", 2017, "p"), ("b", 2017, "x"), ("c", 0, None)]
+    assert fill(before=(2, 2)) == [("", 2017, None), ("a", 2015, "o"), ("a", 2017, None), ("b", 2017, "x"), ("c", 0, None)]
+    assert fill(years=(2010, 2013)) == [("", 2017, None), ("a", 2015, "o"), ("a", 2017, "o"), ("b", 2017, "x"), ("c", 0, None)]
+    assert fill(years=(2010, 2013), before=(3, 9)) == [("", 2017, None), ("a", 2015, "old"), ("a", 2017, "o"), ("b", 2017, "x"), ("c", 0, None)]
+
+
 def test_run_from_files(spark, tmp_path):
     spec = tmp_path / "spec.json"
     people = {"_PupilMatchingRefAnonymous": "PupilMatchingRefAnonymous", "_GENDER": "GENDER", "_URN": "URN", "KS2MAT": "KS2Mat"}
