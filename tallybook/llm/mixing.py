@@ -143,6 +143,21 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], p: Mix = Mix())
     return moves
 
 
+def reached(members: DataFrame, targets: Mapping[str, float], moves: list[list[float]], p: Mix = Mix()) -> tuple[dict[str, float], bool]:
+    """(share of all tokens that each domain is expected to have after the moves, whether all targets are met).
+
+    Steps end at ``steps`` also where targets are far or at the edge of what the documents allow; this tells. No tokens
+    give no shares and meet nothing.
+    """
+    weighted = F.col("tokens") * rate(F.col("posterior"), moves)
+    got = members.agg(F.sum("tokens").alias("n"), *[F.sum(weighted * F.element_at("posterior", i + 1)).alias(f"t{i}") for i in range(len(targets))]).first()
+    if not got["n"]:
+        return {}, False
+    whole = sum(targets.values())
+    shares = {d: got[f"t{i}"] / got["n"] for i, d in enumerate(targets)}
+    return shares, all(abs(shares[d] - t / whole) <= p.tolerance for d, t in targets.items())
+
+
 def draw_of(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A document's number in the draw of copies, from its id and text."""
     return F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))

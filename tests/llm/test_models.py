@@ -1,6 +1,7 @@
 """Classifiers, mixing, chat, reputation, sharding and the pipeline on small fixtures."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -113,6 +114,39 @@ def test_ordinal_fit_orders_grades():
     assert np.allclose(chance.sum(axis=1), 1) and (chance.argmax(axis=1) == grade).mean() > 0.95
 
 
+def plain_worth(rows, grade, weight, features, theta, cuts, ridge):
+    """Penalised log likelihood of the cumulative-link model, a document at a time."""
+    total = -ridge / 2 * sum(t * t for t in theta)
+    for r, g, w in zip(rows, grade, weight):
+        z = sum(t for f, t in zip(features, theta) if f in r)
+        below = [0.0] + [1 / (1 + math.exp(-(c - z))) for c in cuts] + [1.0]
+        total += w * math.log(max(below[g + 1] - below[g], 1e-9))
+    return total
+
+
+def test_ordinal_fit_is_the_maximum_of_the_plain_likelihood():
+    rng = np.random.default_rng(11)
+    grade = rng.integers(0, 3, 240)
+    rows = [np.unique(np.concatenate([rng.integers(50, 70, 6), np.flatnonzero(rng.random(8) < 0.15 + 0.3 * g) + 1])).astype(np.uint32) for g in grade]
+    weight = np.where(grade == 0, 3.0, 1.0)
+    p = severity.Fit()
+    model = severity.fit(rows, grade, weight, p)
+    held = [set(r.tolist()) for r in rows]
+    features, theta, cuts = model.features.tolist(), model.weights.tolist(), model.cuts.tolist()
+
+    def worth(x):
+        return plain_worth(held, grade, weight, features, x[: len(theta)], x[len(theta) :], p.ridge)
+
+    best = np.array(theta + cuts)
+    top, step = worth(best), 1e-4
+    for i in range(len(best)):
+        move = np.zeros(len(best))
+        move[i] = step
+        slope = (worth(best + move) - worth(best - move)) / (2 * step)
+        assert abs(slope) < 0.25  # of 400 weighted documents: steps end at a relative gain of 1e-6
+    assert all(worth(best + rng.normal(0, 0.1, len(best))) < top for _ in range(20))
+
+
 # Mixing -------------------------------------------------------------------------------------------------------------
 
 
@@ -130,9 +164,28 @@ def test_rates_meet_targets_and_are_nonnegative(spark):
             plain = np.maximum(0, plain - chance @ (inverse @ ((plain * tokens) @ chance - aim)))
         assert (rates >= 0).all() and np.allclose(rates, plain)
         got = (rates * tokens) @ chance / tokens.sum()
+        shares, met = mixing.reached(members, targets, moves)
+        assert np.allclose(list(shares.values()), got) and met == (np.abs(got - np.array(list(targets.values()))).max() <= 1e-6)
         if min(targets.values()):
             assert np.abs(got - np.array(list(targets.values()))).max() < 1e-2
-    assert mixing.fit_rates(members.limit(0), {"a": 1.0}) == []
+    assert mixing.fit_rates(members.limit(0), {"a": 1.0}) == [] and mixing.reached(members.limit(0), {"a": 1.0}, []) == ({}, False)
+
+
+def test_rates_are_a_least_squares_optimum(spark):
+    """Targets that can be met are met, so the squared error has its least value, zero; and mixed texts share their rate's weight."""
+    rng = np.random.default_rng(6)
+    tokens = rng.integers(1, 300, 300).astype(float)
+    chance = np.concatenate([rng.dirichlet([0.2, 0.2, 0.2], 250), np.full((50, 3), 1 / 3)])
+    members = spark.createDataFrame([(float(t), [float(x) for x in c]) for t, c in zip(tokens, chance)], "tokens double, posterior array<double>")
+    targets = {"a": 0.25, "b": 0.35, "c": 0.4}
+    moves = mixing.fit_rates(members, targets)
+    shares, met = mixing.reached(members, targets, moves)
+    assert met and np.allclose(list(shares.values()), list(targets.values()), atol=1e-6)
+    rates = np.array([r[0] for r in members.select(mixing.rate(F.col("posterior"), moves)).collect()])
+    # among all rates that meet the targets, those found stay near 1: no plain least-norm solution cut at zero does better by much
+    system = (tokens[:, None] * chance).T
+    least = np.linalg.lstsq(system * 1 / np.sqrt(tokens), np.array(list(targets.values())) * tokens.sum() - system @ np.ones(300), rcond=None)[0] / np.sqrt(tokens)
+    assert (rates >= 0).all() and (tokens * (rates - 1) ** 2).sum() <= 1.1 * (tokens * least**2).sum() + 1e-6
 
 
 def test_soft_mixing_of_documents(spark, docs_of):
