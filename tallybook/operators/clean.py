@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scales, text
 
@@ -109,14 +109,22 @@ def normalise_title(df: DataFrame, identifier: str, name: str, level: str, kind:
     )
 
 
-def presence_matrix(entries: DataFrame, facts: DataFrame) -> DataFrame:
-    """1 or 0 for every (entry, subject); the subject list is a one-value subquery, not a join."""
-    subjects = facts.agg(F.sort_array(F.collect_set("subject"))).scalar()
+def presence_bits(entries: DataFrame, facts: DataFrame) -> DataFrame:
+    """(pupil, provider, bits): for every entry one text of 1 and 0, a place for each subject in their order.
+
+    One row an entry; the subject list is a one-value subquery, not a join.
+    """
     taken = facts.groupBy("pupil", "provider").agg(F.collect_set("subject").alias("__taken"))
-    return (
-        entries.select("pupil", "provider")
-        .join(taken, ["pupil", "provider"], "left")
-        .withColumn("subject", F.explode(subjects))
-        .withColumn("sits", F.coalesce(F.array_contains("__taken", F.col("subject")), F.lit(False)).cast("int"))
-        .drop("__taken")
-    )
+    known = entries.select("pupil", "provider").join(taken, ["pupil", "provider"], "left").withColumn("__subjects", subject_list(facts))
+    sits = F.transform("__subjects", lambda s: F.when(F.array_contains("__taken", s), "1").otherwise("0"))
+    return known.select("pupil", "provider", F.array_join(sits, "").alias("bits"))
+
+
+def subject_list(facts: DataFrame) -> Column:
+    return facts.agg(F.sort_array(F.collect_set("subject"))).scalar()
+
+
+def presence_matrix(entries: DataFrame, facts: DataFrame) -> DataFrame:
+    """1 or 0 for every (entry, subject): the bits of each entry written out, for those who ask for dense rows."""
+    rows = presence_bits(entries, facts).select("*", F.posexplode(subject_list(facts)).alias("__at", "subject"))
+    return rows.select("pupil", "provider", "subject", F.substr("bits", F.col("__at") + 1, F.lit(1)).cast("int").alias("sits"))

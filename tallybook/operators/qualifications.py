@@ -49,18 +49,19 @@ def any_qualification_reach(results: DataFrame, keys: Sequence[str], listed: str
 
 
 def qualification_reach_by_area(results: DataFrame, areas: Sequence[str], listed: str) -> DataFrame:
-    """Providers and pupils per area at several grains, and those with any listed qualification."""
-    pairs = results.groupBy(*areas, "provider", "pupil").agg(F.max(listed).alias("__any"))
-    out = None
-    for area in areas:
-        grain = pairs.groupBy(area, "provider", "pupil").agg(F.max("__any").alias("__any"))
-        table = grain.groupBy(area).agg(
-            F.countDistinct("provider").alias("providers"), F.countDistinct("pupil").alias("students"),
-            F.countDistinct(F.when(F.col("__any"), F.col("provider"))).alias("sub_providers"),
-            F.countDistinct(F.when(F.col("__any"), F.col("pupil"))).alias("sub_students"),
-        ).select(F.lit(area).alias("grain"), F.col(area).alias("name"), "providers", "students", "sub_providers", "sub_students")
-        out = table if out is None else out.unionByName(table)
-    return out.withColumns({
+    """Providers and pupils per area at several grains, and those with any listed qualification.
+
+    Distinct counts in two steps for all grains at once: first one row for each provider and each pupil of an area, then
+    their number; both steps are partially aggregated before they are shuffled.
+    """
+    grain = F.explode(F.array(*[F.struct(F.lit(a).alias("grain"), F.col(a).cast("string").alias("name")) for a in areas])).alias("__g")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("id")) for k in ("provider", "pupil")])).alias("__k")
+    stacked = results.select(grain, "provider", "pupil", F.col(listed).alias("__any")).select("__g", kinds, "__any")
+    each = stacked.groupBy("__g.grain", "__g.name", "__k.kind", "__k.id").agg(F.max("__any").alias("__any"))
+    of = {"providers": F.col("kind") == "provider", "students": F.col("kind") == "pupil"}
+    known = F.col("id").isNotNull()
+    counts = [count_if(known & hit).alias(n) for n, hit in of.items()] + [count_if(known & hit & F.col("__any")).alias(f"sub_{n}") for n, hit in of.items()]
+    return each.groupBy("grain", "name").agg(*counts).withColumns({
         "pc_students": percent("sub_students", "students"), "pc_providers": percent("sub_providers", "providers"),
     })
 

@@ -250,3 +250,10 @@ def _(t):
   LEFT JOIN facts f ON g.pupil = f.pupil AND g.provider = f.provider AND g.subject = f.subject""")
 def _(t):
     return clean.presence_matrix(t.cohort().select("pupil", "provider"), t.facts)
+
+
+@query("presence_bits", """list AS (SELECT DISTINCT subject FROM facts)
+  SELECT e.pupil, e.provider, string_agg(CASE WHEN f.points IS NULL THEN '0' ELSE '1' END, '' ORDER BY l.subject) AS bits FROM entries e CROSS JOIN list l
+  LEFT JOIN facts f ON e.pupil = f.pupil AND e.provider = f.provider AND l.subject = f.subject GROUP BY e.pupil, e.provider""")
+def _(t):
+    return clean.presence_bits(t.cohort().select("pupil", "provider"), t.facts)

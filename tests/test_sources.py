@@ -39,7 +39,10 @@ def test_sheets_with_drifting_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Title\n\nLA,URN,Name,Type of provider,Subject,Qualification,Entries\nx,1,\"A, B\",Academy,CS,GCSE,12\n")
     (tmp_path / "b.csv").write_text("LA,URN,Name,Provider Type,Subject,Qualification,Award,Number of entries\nx,2,C,College,IT,Cert,L2,x\n")
     (tmp_path / "c.csv").write_text("Notes\nnothing here\n")
-    out = scan.union_drifted_sources(spark, [str(tmp_path / f"{n}.csv") for n in "abc"])
+    paths = [str(tmp_path / f"{n}.csv") for n in "abc"]
+    with pytest.raises(LookupError, match="c.csv"):  # a sheet without entries is an error unless it may be left out
+        scan.union_drifted_sources(spark, paths)
+    out = scan.union_drifted_sources(spark, paths, skip=True)
     assert sorted((r["URN"], r["Name"], r["Provider Type"], r["Entries"]) for r in out.collect()) == [
         ("1", "A, B", "Academy", 12.0), ("2", "C", "College", None)]
     with pytest.raises(LookupError):
