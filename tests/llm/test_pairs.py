@@ -181,7 +181,7 @@ def test_runs_merge_in_order():
 
 def test_one_passage_in_many_surroundings(spark):
     """Every document holds the passage between words of its own; every span is found, whatever stands around it."""
-    passage = "".join(random.Random(0).choice("abcdefgh ") for _ in range(450))
+    passage = "".join(random.Random(0).choices("abcdefgh ", k=450))
     rows = [(i, f"{i * 7919:08d} before {i} {passage} after {i} {i * 104729:08d}") for i in range(10_000)]
     out = suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
     at, first, last = F.instr("text", passage[:40]) - 1, F.col("spans")[0]["first"], F.col("spans")[0]["last"]
