@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import count_if, number, one_value, percent
+from ..session import stored
+from .common import count_if, number, one_value, percent, with_group_stats
 from .totals import triple_totals
 
 CUTOFF = 6
@@ -106,8 +107,9 @@ def anonymise_table(
     """Round and suppress a table, add totals of the rounded unsuppressed values, turn masks to text.
 
     With ``size`` and ``rows`` only rows with a large enough part are kept (best-provision lists).
+    The table is computed once and stored; its body and its totals are both read from there.
     """
-    table = table.filter(F.col(shape.labels[0]).isNotNull())
+    table = stored(table.filter(F.col(shape.labels[0]).isNotNull()), "published")
     rounded = table
     for triple in shape.triples:
         rounded = round_to_five(rounded, triple)
@@ -154,14 +156,22 @@ def masks_to_text(table: DataFrame, counts: Sequence[str], percents: Sequence[st
     return table
 
 
-def round_if_any_small(table: DataFrame, students: str, providers: str) -> DataFrame:
-    """If any row with takers has nearly as many providers as takers, round all takers to 5 (at least 5)."""
+def round_if_any_small(table: DataFrame, students: str, providers: str, groups: Sequence[str] = ()) -> DataFrame:
+    """If any row with takers has nearly as many providers as takers, round all takers to 5 (at least 5).
+
+    With ``groups`` this is decided for each of them. ``table`` is read twice: hand in a stored one.
+    """
     close = (F.col(students) != 0) & (F.col(providers) > F.col(students) - 6)
-    any_close = one_value(table, F.coalesce(F.max(close), F.lit(False)).alias("any_close"))
+    any_close = F.coalesce(F.max(close), F.lit(False)).alias("__any_close")
+    if groups:
+        table = with_group_stats(table, groups, any_close)
+        rounds = F.col("__any_close")
+    else:
+        rounds = one_value(table, any_close)
     nearest = F.greatest((F.round(F.col(students) / 5) * 5).cast("long"), F.lit(5))
     return table.withColumn(
-        students, F.when(any_close & (F.col(students) != 0), nearest).otherwise(F.col(students))
-    )
+        students, F.when(rounds & (F.col(students) != 0), nearest).otherwise(F.col(students))
+    ).drop("__any_close")
 
 
 def mask_small_groups(

@@ -6,6 +6,8 @@ more rows than there are subjects; every other grain is reached by partial aggre
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import ratio
@@ -13,9 +15,12 @@ from .common import ratio
 ENTRY = ["pupil", "provider"]
 
 
-def entries(facts: DataFrame, focus: str) -> DataFrame:
-    """One row per (pupil, provider): subject count, point sum, and the focus subject's points (null = not sat)."""
-    return facts.groupBy(*ENTRY).agg(
+def entries(facts: DataFrame, focus: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per (pupil, provider): subject count, point sum, and the focus subject's points (null = not sat).
+
+    ``by`` (stage, year) keeps entries of several stages and years apart.
+    """
+    return facts.groupBy(*by, *ENTRY).agg(
         F.count("*").alias("n_subjects"),
         F.sum("points").alias("sum_points"),
         F.avg("points").alias("mean_points"),
@@ -23,10 +28,12 @@ def entries(facts: DataFrame, focus: str) -> DataFrame:
     )
 
 
-def cohort(facts: DataFrame, pupils: DataFrame, providers: DataFrame, focus: str) -> DataFrame:
+def cohort(
+    facts: DataFrame, pupils: DataFrame, providers: DataFrame, focus: str, by: Sequence[str] = ()
+) -> DataFrame:
     """Entries with pupil and provider attributes; pupils without results are not part of the population."""
     return (
-        entries(facts, focus)
+        entries(facts, focus, by)
         .join(pupils.drop("year"), "pupil", "left")
         .join(providers, "provider", "left")
     )

@@ -10,19 +10,21 @@ from .common import percent
 
 
 def total_row(
-    table: DataFrame, labels: Sequence[str], sums: Sequence[str], total: str = "Totals", blank: str = ""
+    table: DataFrame, labels: Sequence[str], sums: Sequence[str], total: str = "Totals", blank: str = "",
+    groups: Sequence[str] = (),
 ) -> DataFrame:
     """The table and its total in one pass (grouping sets), ``is_total`` telling a null label from the total.
 
-    The first label of the total row reads ``total``, further labels ``blank``.
+    The first label of the total row reads ``total``, further labels ``blank``. With ``groups`` there is one total each.
     """
-    grouped = table.groupingSets([[F.col(c) for c in labels], []], *labels).agg(
+    keys = [F.col(c) for c in groups]
+    grouped = table.groupingSets([[*keys, *[F.col(c) for c in labels]], keys], *groups, *labels).agg(
         F.grouping(labels[0]).cast("boolean").alias("is_total"), *[F.sum(c).alias(f"__{c}") for c in sums]
     )
     names = [
         F.when(F.col("is_total"), total if i == 0 else blank).otherwise(F.col(c)).alias(c) for i, c in enumerate(labels)
     ]
-    return grouped.select(*names, "is_total", *[F.col(f"__{c}").alias(c) for c in sums])
+    return grouped.select(*groups, *names, "is_total", *[F.col(f"__{c}").alias(c) for c in sums])
 
 
 def triple_percent(part: str, whole: str, digits: int = 1) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scales
 from . import rank, reshape, uptake
-from .common import number, percent
+from .common import fixed, number, percent
 
 
 def reach_trend(facts: DataFrame, subjects: Sequence[str]) -> DataFrame:
@@ -72,20 +72,25 @@ def yearly_series(table: DataFrame, subjects: dict[str, str], attribute: str, va
     )
 
 
-def league_table(provision: DataFrame, females: DataFrame, codes: DataFrame, name: str = "authority", total: str = "Totals") -> DataFrame:
+def league_table(provision: DataFrame, codes: DataFrame, name: str = "authority", total: str = "Totals") -> DataFrame:
     """Areas with their dense ranks (masked values unranked), each rank's maximum, and the area code.
 
-    The totals row takes part in the ranking and is dropped at the end.
+    ``provision`` is the published table with the sums ``females`` and ``sub_females``. The totals row takes part in the
+    ranking, but for the female share, and is dropped at the end. One row an area, so all windows share one small task.
     """
-    table = provision.withColumn("result", scales.average_to_band(number("grade_avg_subject")))
-    table = table.join(females, name, "left")
+    known = (F.col("females") > 0) & (F.col(name) != total)
+    table = provision.withColumns({
+        "result": scales.average_to_band(number("grade_avg_subject")),
+        "female_n": F.when(known, F.col("sub_females")),
+        "female_per": F.when(known, fixed(percent("sub_females", "females"), 1)),
+    })
     ranks = {
         "result": number("grade_avg_subject"), "provider": F.col("pc_schools").cast("double"),
         "student": number("pc_students"), "cohort": number("average_cohort"), "female": number("female_per"),
     }
-    for key, value in ranks.items():
-        table = table.withColumn(f"__{key}", value).withColumn(f"{key}_rank", rank.dense_rank_desc(f"__{key}"))
-        table = table.withColumn(f"{key}_rank_max", F.max(f"{key}_rank").over(Window.partitionBy()))
+    table = table.withColumns({f"__{k}": value for k, value in ranks.items()})
+    table = table.withColumns({f"{k}_rank": rank.dense_rank_desc(f"__{k}") for k in ranks})
+    table = table.withColumns({f"{k}_rank_max": F.max(f"{k}_rank").over(Window.partitionBy()) for k in ranks})
     keep = [
         name, "schools", "students", "sub_schools", "pc_schools", "sub_students", "pc_students", "average_cohort", "result",
         *[f"{k}_rank{s}" for k in ranks for s in ("", "_max")], "female_n", "female_per",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scales
+from ..session import stored
 from . import disclose, profile, rank, totals
 from .clean import valid_providers
 from .common import count_if, null_safe_join, percent, ratio
@@ -42,8 +43,11 @@ def _stable_sum(value) -> Column:
     return F.round(F.sum(value), 6)
 
 
-def provider_profile(cohort: DataFrame, attributes: Sequence[str] = ()) -> DataFrame:
-    """Per provider: pupils and sum of pupil means; for takers: pupils, focus grades, their pupil means."""
+def provider_profile(cohort: DataFrame, attributes: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """Per provider: pupils and sum of pupil means; for takers: pupils, focus grades, their pupil means.
+
+    ``attributes`` may hold stage and year, which makes one profile for each; ``extra`` are further aggregates.
+    """
     taker_mean = F.when(sits(), F.col("mean_points"))
     return (
         cohort.groupBy("provider", *attributes)
@@ -53,6 +57,7 @@ def provider_profile(cohort: DataFrame, attributes: Sequence[str] = ()) -> DataF
             F.count("focus_points").alias("sub_students"),
             F.sum("focus_points").alias("sub_grade"),
             _stable_sum(taker_mean).alias("sub_all_grades"),
+            *extra,
         )
         .withColumn("schools", F.lit(1).cast("long"))
         .withColumn("sub_schools", (F.col("sub_students") > 0).cast("long"))
@@ -80,26 +85,61 @@ SMALL_GROUP_RULES = [
 ]
 
 
-def criteria_counts(profiles: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Provider profiles rolled up to labels, with totals and ratios, before disclosure masking."""
-    known = profiles.filter(
-        F.col(labels[0]).isNotNull() & ~F.col(labels[0]).isin("", "Not applicable")
-    )
-    sums = [_stable_sum(c) if c.endswith(("grade", "grades")) else F.sum(c) for c in PROFILE_SUMS]
-    table = known.groupBy(*labels).agg(*[F.coalesce(s, F.lit(0)).alias(c) for s, c in zip(sums, PROFILE_SUMS)])
-    table = disclose.round_if_any_small(table, "sub_students", "sub_schools")
-    table = totals.total_row(table, labels, PROFILE_SUMS)
+LABEL = "label"
+
+
+def label_columns(n: int) -> list[str]:
+    """label, label2, ... of a table of several criteria."""
+    return [LABEL if i == 0 else f"{LABEL}{i + 1}" for i in range(n)]
+
+
+def criteria_counts(
+    profiles: DataFrame, tables: dict[str, dict[str, Column]], by: Sequence[str] = (), extra: Sequence[str] = ()
+) -> DataFrame:
+    """Groups, totals and ratios of every criterion, before masking, from one pass over the profiles.
+
+    Each profile is read once and becomes one row a criterion, which partial aggregation shrinks before the only shuffle.
+    The groups are stored: the test for close groups and the totals read them again, by stage, year (``by``) and
+    criterion, and no task holds a whole table however many groups it has. ``extra`` are further columns to sum.
+    Groups whose first label is null, blank or "Not applicable" are left out; labels that a criterion lacks are "".
+    """
+    sums = [*PROFILE_SUMS, *extra]
+    names = label_columns(max(len(labels) for labels in tables.values()))
+    cells = []
+    for criterion, labels in tables.items():
+        padded = [*[c.cast("string") for c in labels.values()], *[F.lit("")] * (len(names) - len(labels))]
+        cells.append(F.struct(F.lit(criterion).alias("criterion"), *[c.alias(n) for c, n in zip(padded, names)]))
+    rows = profiles.select(*by, *sums, F.explode(F.array(*cells)).alias("__cell")).select(*by, *sums, "__cell.*")
+    known = rows.filter(F.col(LABEL).isNotNull() & ~F.col(LABEL).isin("", "Not applicable"))
+    scope = [*by, "criterion"]
+    totalled = [_stable_sum(c) if c.endswith(("grade", "grades")) else F.sum(c) for c in sums]
+    table = known.groupBy(*scope, *names).agg(*[F.coalesce(s, F.lit(0)).alias(c) for s, c in zip(totalled, sums)])
+    table = disclose.round_if_any_small(stored(table, "criteria"), "sub_students", "sub_schools", scope)
+    table = totals.total_row(table, names, sums, groups=scope)
     return table.withColumns({name: make() for name, make in CRITERIA_RATIOS.items()})
 
 
-def provision_by_criteria(profiles: DataFrame, labels: Sequence[str], grades: bool = True) -> DataFrame:
-    """The published provision table of one criterion; every criterion shares the same provider profiles."""
-    table = criteria_counts(profiles, labels)
+PUBLISHED = ["schools", "students", "sub_schools", "pc_schools", "sub_students", "pc_students", "average_cohort"]
+PUBLISHED_GRADES = ["grade_avg_sch", "grade_avg_sub_students", "grade_avg_subject"]
+
+
+def criteria_report(
+    profiles: DataFrame, tables: dict[str, dict[str, Column]], by: Sequence[str] = (), grades: bool = True,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """The published tables of all criteria, stages and years (``by``) as one table, masked, each with its totals row."""
+    names = label_columns(max(len(labels) for labels in tables.values()))
+    table = criteria_counts(profiles, tables, by, extra)
     table = disclose.mask_small_groups(table, SMALL_GROUP_RULES, F.col("is_total"))
-    columns = [*labels, "schools", "students", "sub_schools", "pc_schools", "sub_students", "pc_students", "average_cohort"]
-    if grades:
-        columns += ["grade_avg_sch", "grade_avg_sub_students", "grade_avg_subject"]
-    return table.select(*columns)
+    return table.select(*by, "criterion", *names, *PUBLISHED, *(PUBLISHED_GRADES if grades else []), *extra)
+
+
+def provision_by_criteria(
+    profiles: DataFrame, labels: Sequence[str], grades: bool = True, extra: Sequence[str] = ()
+) -> DataFrame:
+    """The published provision table of one criterion; every criterion shares the same provider profiles."""
+    table = criteria_report(profiles, {labels[0]: {c: F.col(c) for c in labels}}, grades=grades, extra=extra)
+    return table.drop("criterion").withColumnsRenamed(dict(zip(label_columns(len(labels)), labels)))
 
 
 def criteria() -> dict[str, dict[str, Column]]:

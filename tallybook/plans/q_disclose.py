@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import disclose, uptake
 from ..operators.common import count_if, percent
+from ..session import stored
 from .q_uptake import PROFILE_SQL, profiles
 from .registry import query
 from .testbed import FOCUS
@@ -181,7 +182,7 @@ ROUND_ANY_SQL = PROFILE_SQL + """, g AS (SELECT sch_gender, authority, sum(sub_s
 
 def rounded(t):
     table = profiles(t).groupBy("sch_gender", "authority").agg(F.sum("sub_schools").alias("sub_schools"), F.sum("sub_students").alias("sub_students"))
-    return disclose.round_if_any_small(table, "sub_students", "sub_schools")
+    return disclose.round_if_any_small(stored(table, "groups"), "sub_students", "sub_schools")
 
 
 @query("round_if_any_small", ROUND_ANY_SQL + " SELECT * FROM r")

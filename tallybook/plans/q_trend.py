@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import qualifications, trend, uptake
-from .q_uptake import PROFILE_SQL, criteria_sql, profiles
+from ..operators.common import count_if
+from .q_uptake import PROFILE_SQL, criteria_sql
 from .registry import query
 from .testbed import FOCUS, SECOND
 
@@ -93,13 +94,13 @@ RANKS = ["result", "provider", "student", "cohort", "female"]
        + ", ".join(f"{k}_rank, {k}_rank_max" for k in RANKS) + """, female_n, female_per, code
   FROM m LEFT JOIN (SELECT n_name, n_nationkey AS code FROM nation) n ON m.authority = n.n_name WHERE m.authority <> 'Totals'""")
 def _(t):
-    provision = uptake.provision_by_criteria(profiles(t), ["authority"])
-    females = t.cohort().filter("gender = 'F'").groupBy("authority").agg(
-        F.count("focus_points").alias("female_n"),
-        F.format_string("%.1f", F.round(100.0 * F.count("focus_points") / F.count("*"), 1)).alias("female_per"),
-    )
+    female = F.col("gender") == "F"
+    profiles = uptake.provider_profile(t.cohort(), ["authority"], [
+        count_if(female).alias("females"), F.count(F.when(female, F.col("focus_points"))).alias("sub_females"),
+    ])
+    provision = uptake.provision_by_criteria(profiles, ["authority"], extra=["females", "sub_females"])
     codes = t.table("nation").select(F.col("n_name").alias("authority"), F.col("n_nationkey").alias("code"))
-    return trend.league_table(provision, females, codes)
+    return trend.league_table(provision, codes)
 
 
 @query("reach_trend", f"""s AS (SELECT year, provider, count(*) AS students FROM (SELECT DISTINCT year, pupil, provider FROM facts WHERE provider < 900000) GROUP BY ALL), o AS (SELECT year, subject, provider, count(*) AS takers FROM facts WHERE provider < 900000 GROUP BY ALL),

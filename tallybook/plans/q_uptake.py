@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scales
-from ..operators import spatial, uptake
+from ..operators import profile, spatial, uptake
 from .q_link import SUBJECT_NAMES, subject_names
 from .registry import query
 from .testbed import FOCUS, SECOND
@@ -43,20 +43,11 @@ def _(t):
     )
 
 
-def criteria_sql(labels: dict[str, str], source: str = "profiles") -> str:
-    """The published table in SQL: group, round if any group is close, total, ratios, masks."""
-    names = list(labels)
-    cols = ", ".join(f"{e} AS {n}" for n, e in labels.items())
-    keys = ", ".join(names)
-    totals = ", ".join([f"'Totals' AS {names[0]}", *[f"'' AS {n}" for n in names[1:]]])
-    sums = ["schools", "students", "sub_schools", "sub_students", "total_grade", "sub_all_grades", "sub_grade"]
-    grouped = ", ".join(f"coalesce(round(sum({c}), 6), 0) AS {c}" for c in sums)
-    rounded = ", ".join(
-        c if c != "sub_students" else
-        "CASE WHEN (SELECT any_close FROM closest) AND sub_students <> 0 THEN greatest(round(sub_students / 5) * 5, 5) ELSE sub_students END AS sub_students"
-        for c in sums)
-    summed = ", ".join(f"sum({c}) AS {c}" for c in sums)
+SUMS = ["schools", "students", "sub_schools", "sub_students", "total_grade", "sub_all_grades", "sub_grade"]
 
+
+def measures_sql() -> str:
+    """Ratios and masks of a published table."""
     def mask(value, providers, students):
         return (f"CASE WHEN NOT is_total AND {providers} > {students} - 5 AND {students} = 0 THEN '0' "
                 f"WHEN NOT is_total AND {providers} > {students} - 5 THEN 'X' ELSE {value} END")
@@ -65,19 +56,34 @@ def criteria_sql(labels: dict[str, str], source: str = "profiles") -> str:
         return f"CAST(coalesce(round(round({expr}, 9), 1), 0.0)::DOUBLE AS VARCHAR)"
 
     sub = ("sub_schools", "sub_students")
-    return f"""labelled AS (SELECT {cols}, * EXCLUDE ({", ".join(n for n in names if n in PROFILE_COLUMNS) or "schools"}){', schools' if not any(n in PROFILE_COLUMNS for n in names) else ''} FROM {source}),
-  grouped AS (SELECT {keys}, {grouped} FROM labelled WHERE {names[0]} IS NOT NULL AND {names[0]} NOT IN ('', 'Not applicable') GROUP BY {keys}),
-  closest AS (SELECT coalesce(bool_or(sub_students <> 0 AND sub_schools > sub_students - 6), false) AS any_close FROM grouped),
-  rounded AS (SELECT {keys}, {rounded} FROM grouped),
-  u AS (SELECT {keys}, false AS is_total, {", ".join(sums)} FROM rounded UNION ALL SELECT {totals}, true, {summed} FROM rounded)
-  SELECT {keys}, CAST(schools AS BIGINT) AS schools, {mask("CAST(CAST(students AS BIGINT) AS VARCHAR)", "schools", "students")} AS students,
+    return f"""CAST(schools AS BIGINT) AS schools, {mask("CAST(CAST(students AS BIGINT) AS VARCHAR)", "schools", "students")} AS students,
     CAST(sub_schools AS BIGINT) AS sub_schools, round(100.0 * sub_schools / schools, 1) AS pc_schools,
     {mask("CAST(CAST(sub_students AS BIGINT) AS VARCHAR)", *sub)} AS sub_students,
     {mask("CAST(round(100.0 * sub_students / students, 1)::DOUBLE AS VARCHAR)", *sub)} AS pc_students,
     {mask(decimal("sub_students / nullif(sub_schools, 0)"), *sub)} AS average_cohort,
     {mask(decimal("total_grade / nullif(students, 0)"), "schools", "students")} AS grade_avg_sch,
     {mask(decimal("sub_all_grades / nullif(sub_students, 0)"), *sub)} AS grade_avg_sub_students,
-    {mask(decimal("sub_grade / nullif(sub_students, 0)"), *sub)} AS grade_avg_subject FROM u"""
+    {mask(decimal("sub_grade / nullif(sub_students, 0)"), *sub)} AS grade_avg_subject"""
+
+
+def criteria_sql(labels: dict[str, str], source: str = "profiles") -> str:
+    """The published table in SQL: group, round if any group is close, total, ratios, masks."""
+    names = list(labels)
+    cols = ", ".join(f"{e} AS {n}" for n, e in labels.items())
+    keys = ", ".join(names)
+    totals = ", ".join([f"'Totals' AS {names[0]}", *[f"'' AS {n}" for n in names[1:]]])
+    grouped = ", ".join(f"coalesce(round(sum({c}), 6), 0) AS {c}" for c in SUMS)
+    rounded = ", ".join(
+        c if c != "sub_students" else
+        "CASE WHEN (SELECT any_close FROM closest) AND sub_students <> 0 THEN greatest(round(sub_students / 5) * 5, 5) ELSE sub_students END AS sub_students"
+        for c in SUMS)
+    summed = ", ".join(f"sum({c}) AS {c}" for c in SUMS)
+    return f"""labelled AS (SELECT {cols}, * EXCLUDE ({", ".join(n for n in names if n in PROFILE_COLUMNS) or "schools"}){', schools' if not any(n in PROFILE_COLUMNS for n in names) else ''} FROM {source}),
+  grouped AS (SELECT {keys}, {grouped} FROM labelled WHERE {names[0]} IS NOT NULL AND {names[0]} NOT IN ('', 'Not applicable') GROUP BY {keys}),
+  closest AS (SELECT coalesce(bool_or(sub_students <> 0 AND sub_schools > sub_students - 6), false) AS any_close FROM grouped),
+  rounded AS (SELECT {keys}, {rounded} FROM grouped),
+  u AS (SELECT {keys}, false AS is_total, {", ".join(SUMS)} FROM rounded UNION ALL SELECT {totals}, true, {summed} FROM rounded)
+  SELECT {keys}, {measures_sql()} FROM u"""
 
 
 PROFILE_COLUMNS = {"provider", "trust", "sch_type", "sch_gender", "selective", "sch_urban", "authority", "region", "easting"}
@@ -118,15 +124,54 @@ COAST_SQL = PROFILE_SQL + """, coast AS (SELECT s_acctbal * 100 AS e, s_suppkey
   placed AS (SELECT p.*, near FROM profiles p LEFT JOIN near USING (provider)), """
 
 
-@query("provision_by_criteria_coastal", COAST_SQL + criteria_sql({"coastal": "CASE WHEN near THEN 'Coastal' WHEN NOT near THEN 'Inland' END"}, "placed"))
-def _(t):
+COASTAL_SQL = {"coastal": "CASE WHEN near THEN 'Coastal' WHEN NOT near THEN 'Inland' END"}
+
+
+def near_coast(t):
     coast = t.table("supplier").select((F.col("s_acctbal") * 100).alias("x"), (F.col("s_suppkey") * 100.0).alias("y"))
     places = t.providers.select("provider", F.col("easting").alias("x"), F.col("northing").alias("y"))
-    near = spatial.nearest_distance(places, coast, cutoff=5500).select("provider", "near")
-    labelled, labels = uptake.criterion_labels(profiles(t).join(near, "provider", "left"), "Coastal")
+    return spatial.nearest_distance(places, coast, cutoff=5500).select("provider", "near")
+
+
+@query("provision_by_criteria_coastal", COAST_SQL + criteria_sql(COASTAL_SQL, "placed"))
+def _(t):
+    labelled, labels = uptake.criterion_labels(profiles(t).join(near_coast(t), "provider", "left"), "Coastal")
     return uptake.provision_by_criteria(labelled, labels)
 
 
+def report_sql(tables: dict[str, dict[str, str]], source: str, by: str) -> str:
+    """All criteria's published tables by stage and year, in SQL."""
+    def rows(criterion, labels):
+        first, second = (*labels.values(), "''")[:2]
+        return f"SELECT {by}, '{criterion}' AS criterion, {first} AS label, {second} AS label2, {', '.join(SUMS)} FROM {source}"
+
+    grouped = ", ".join(f"coalesce(round(sum({c}), 6), 0) AS {c}" for c in SUMS)
+    summed = ", ".join(f"sum({c}) AS {c}" for c in SUMS)
+    return f"""cells AS ({" UNION ALL ".join(rows(c, labels) for c, labels in tables.items())}),
+  grouped AS (SELECT {by}, criterion, label, label2, {grouped} FROM cells WHERE label IS NOT NULL AND label NOT IN ('', 'Not applicable') GROUP BY ALL),
+  rounded AS (SELECT * REPLACE (CASE WHEN bool_or(sub_students <> 0 AND sub_schools > sub_students - 6) OVER (PARTITION BY {by}, criterion) AND sub_students <> 0
+      THEN greatest(round(sub_students / 5) * 5, 5) ELSE sub_students END AS sub_students) FROM grouped),
+  u AS (SELECT {by}, criterion, label, label2, false AS is_total, {", ".join(SUMS)} FROM rounded
+    UNION ALL SELECT {by}, criterion, 'Totals', '', true, {summed} FROM rounded GROUP BY {by}, criterion)
+  SELECT {by}, criterion, label, label2, {measures_sql()} FROM u"""
+
+
+# Stage and year apart: a level is a stage, so an entry is a pupil's results of one level at one provider.
+STAGED_SQL = f"""sfacts AS (SELECT level AS stage, year, pupil, provider, subject, max(points) AS points FROM results GROUP BY ALL),
+  sentries AS (SELECT stage, year, pupil, provider, avg(points) AS mean_points, max(CASE WHEN subject = '{FOCUS}' THEN points END) AS focus_points FROM sfacts GROUP BY ALL),
+  sprofiles AS (SELECT stage, year, provider, count(*) AS students, round(sum(mean_points), 6) AS total_grade, count(focus_points) AS sub_students, sum(focus_points) AS sub_grade,
+    round(sum(CASE WHEN focus_points IS NOT NULL THEN mean_points END), 6) AS sub_all_grades, 1 AS schools, CAST(count(focus_points) > 0 AS BIGINT) AS sub_schools FROM sentries GROUP BY ALL),
+  splaced AS (SELECT p.*, v.* EXCLUDE (provider), near FROM sprofiles p LEFT JOIN providers v USING (provider) LEFT JOIN near USING (provider)), """
+
+
+@query("criteria_report", COAST_SQL + STAGED_SQL + report_sql(CRITERIA_SQL | {"Coastal": COASTAL_SQL}, "splaced", "stage, year"))
+def _(t):
+    facts = t.results.groupBy(F.col("level").alias("stage"), "year", "pupil", "provider", "subject").agg(F.max("points").alias("points"))
+    entries = profile.entries(facts, FOCUS, ["stage", "year"])
+    profiles = uptake.provider_profile(entries, ["stage", "year"]).join(t.providers, "provider", "left").join(near_coast(t), "provider", "left")
+    return uptake.criteria_report(profiles, uptake.criteria(), ["stage", "year"])
+
+
 MIXED_SQL = f"""per AS (SELECT sch_gender, {CLASS_SQL} AS class, provider, count(CASE WHEN gender = 'F' THEN 1 END) AS f, count(CASE WHEN gender = 'O' THEN 1 END) AS m
     FROM cohort WHERE focus_points IS NOT NULL GROUP BY ALL),
   mixed AS (SELECT sch_gender, class, count(*) AS sub_providers, CAST(ceil(sum(f) / 5) * 5 AS BIGINT) AS females, CAST(ceil(sum(m) / 5) * 5 AS BIGINT) AS males,

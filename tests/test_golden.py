@@ -145,3 +145,24 @@ def test_total_row_tells_null_label_from_total(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "g string, n long")
     out = totals.total_row(df, ["g"], ["n"]).collect()
     assert sorted((r["g"] or "", r["is_total"], r["n"]) for r in out) == [("", False, 2), ("Totals", True, 3), ("a", False, 1)]
+
+
+def test_criteria_report_keeps_years_and_criteria_apart(spark):
+    df = spark.createDataFrame(
+        [(2014, "p1", "a", "Mixed", 10, 8), (2014, "p2", "b", None, 40, 20), (2015, "p1", "a", "Mixed", 40, 33), (2015, "p2", "", "Boys", 30, 22)],
+        "year int, provider string, area string, sex string, students long, sub_students long",
+    ).withColumns({
+        "schools": F.lit(1).cast("long"), "sub_schools": F.lit(1).cast("long"), "criterion": F.lit("clash"), "label": F.lit("clash"),
+        **{c: F.lit(60.0) for c in ("total_grade", "sub_all_grades", "sub_grade")},
+    })
+    close = df.withColumn("sub_students", F.when((F.col("year") == 2014) & (F.col("provider") == "p1"), 3).otherwise(F.col("sub_students")))
+    tables = {"area": {"area": F.col("area")}, "both": {"sex": F.col("sex"), "area": F.col("area")}}
+    out = {tuple(r)[:4]: r for r in uptake.criteria_report(close, tables, ["year"]).collect()}
+    assert set(out) == {
+        (2014, "area", "a", ""), (2014, "area", "b", ""), (2014, "area", "Totals", ""), (2014, "both", "Mixed", "a"), (2014, "both", "Totals", ""),
+        (2015, "area", "a", ""), (2015, "area", "Totals", ""), (2015, "both", "Mixed", "a"), (2015, "both", "Boys", ""), (2015, "both", "Totals", ""),
+    }
+    # One close group of 2014 rounds that year's takers only: 3 to 5 (still masked below), 33 stays.
+    assert out[(2014, "area", "Totals", "")]["sub_students"] == "25" and out[(2015, "area", "a", "")]["sub_students"] == "33"
+    assert out[(2015, "both", "Totals", "")]["sub_students"] == "55"
+    assert uptake.criteria_report(df.limit(0), tables, ["year"]).collect() == []
