@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -371,3 +372,47 @@ def test_pipeline_without_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names: each stage's stated result."""
+    small = "/root/testdata/sf0.001"
+    docs, bench = table(spark, small, "documents"), table(spark, small, "benchmark")
+    phrase = next(r.text for r in bench.orderBy("item_id").collect() if len(phrases_words(r.text)) >= 13)
+    long = " ".join(f"word{i} of a long text," for i in range(40000))
+    odd = [(None, None, None, None, None), (None, "", None, None, None), (None, "", None, None, None), (10**9, None, "en", None, 0),
+           (10**9 + 1, long, "en", "s", len(long)), (10**9 + 2, phrase, None, None, None), (10**9 + 3, phrase + " and a word", "en", "s", 1),
+           (10**9 + 4, " .,;", "en", "s", 4), (None, "a short text without an id", None, "s", None), (None, "a short text without an id", None, "s", None)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    names = ("key", "keep", "uid", "score", "rate", "copies", "tokens", "posterior", "label", "domain", "item", "class_id", "n", "m", "slot", "shard")
+    rows = rows.withColumns({c: F.lit(c) for c in names})
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+
+    def out_of(name):
+        stage = dict(corpus_pipeline.STAGES)[name]
+        made = stage(spark, rows, small)
+        assert made.columns == rows.columns and stage(spark, rows.limit(0), small).count() == 0
+        return made.select("doc_id", "text").collect(), made
+
+    given = Counter((r.doc_id, r.text) for r in rows.collect())
+    for name in ("quality", "decontaminate"):
+        got = Counter((r.doc_id, r.text) for r in out_of(name)[0])
+        assert all(given[k] == n for k, n in got.items())  # equal rows stay or go together
+        assert (None, "") not in got if (None, None) not in got else (None, "") in got
+        if name == "decontaminate":
+            assert not {(10**9 + 2, phrase), (10**9 + 3, phrase + " and a word")} & set(got)
+            assert {(None, None), (None, ""), (10**9, None), (10**9 + 1, long), (10**9 + 4, " .,;")} <= set(got)
+    got = Counter((r.doc_id, r.text) for r in out_of("near_duplicates")[0])
+    assert max(got.values()) == 1 and {(10**9 + 1, long), (10**9 + 4, " .,;"), (10**9, None)} <= set(got)
+    assert sum(k[1] == "a short text without an id" for k in got) == 1
+    got = Counter((r.doc_id, r.text) for r in out_of("mix")[0])
+    assert set(got) <= set(given) and all(n % given[k] == 0 for k, n in got.items())
+    placed, made = out_of("shard")
+    assert Counter((r.doc_id, r.text) for r in placed) == given
+    shards = {}
+    for r in made.select("doc_id", "text", "shard", "slot").collect():
+        assert shards.setdefault((r.doc_id, r.text), (r.shard, r.slot)) == (r.shard, r.slot) and r.shard != "shard"
+
+
+def phrases_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())

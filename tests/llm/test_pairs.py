@@ -235,6 +235,15 @@ def test_phrases(spark, docs_of):
     assert none == 0
 
 
+def test_phrases_of_repeated_rows_and_long_texts(spark, docs_of):
+    item = " ".join(f"w{i}" for i in range(14))
+    long = " ".join(f"filler{i % 977}" for i in range(60000))
+    rows = [(1, f"{long} {item} {long}"), (2, item), (2, item), (None, item.upper()), (None, None), (3, f"{item} {item}"), (4, " ".join(item.split()[:12]))]
+    bench = spark.createDataFrame([("b", item), ("b", item), ("c", item), (None, item), ("d", None), ("e", "")], "item_id string, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in phrases.summarise(*phrases.search(docs_of(rows), bench)).collect()))
+    assert got == [(0, 0, 0, 0, False), (0, 14, 14, 2, True), (1, 120014, 14, 2, False), (2, 14, 14, 2, True), (2, 14, 14, 2, True), (3, 28, 28, 2, True), (4, 12, 0, 0, False)]
+
+
 def test_proximity(spark, docs_of):
     items = spark.createDataFrame([(1, "red fox"), (2, "blue blue whale")], "item_id long, text string")
     docs = docs_of([(1, "the red and quick fox"), (2, "fox " + "pad " * 9 + "red"), (3, "a whale so blue"), (4, None)])
