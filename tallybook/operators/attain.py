@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage, stored
+from ..session import stored
 from . import disclose, logit, profile, rank, select, stats
 from .common import count_if, either, fixed, null_safe_join, percent
 from .uptake import sits
@@ -265,24 +265,28 @@ def entry_profile(
     rows = profile.with_focus_points(facts, attribute, "__attribute").filter(F.col("__attribute").isNotNull()).join(
         people.select("pupil", "provider", "gender", F.col(prior).alias("__prior")), ["pupil", "provider"]
     ).filter(F.col("__prior").isNotNull() & F.col("gender").isin(female, male))
-    moments = [
-        F.count("*").alias("n"), F.round(F.avg("__prior"), 9).alias("mean"), F.stddev_samp("__prior").alias("sd"),
-        F.round(F.avg("__attribute"), 9).alias("a_mean"), F.stddev_samp("__attribute").alias("a_sd"),
-    ]
-    # Everyone sits the attribute subject once, so its rows are the population.
-    everyone = rows.filter(F.col("subject") == attribute).groupBy("gender").agg(*moments).withColumn("subject", F.lit("All"))
-    by_subject = cut_lineage(rows.groupBy("gender", "subject").agg(*moments))
-    table = None
+    moments = []
     for name, code in (("f", female), ("m", male)):
-        one = rank.keep_top(by_subject.filter(F.col("gender") == code), focus, k).unionByName(
-            everyone.filter(F.col("gender") == code)
-        ).select(
-            "subject", F.col("n").alias(f"n_{name}"), F.col("mean").alias(f"mean_{name}"),
-            _mean_sd("mean", "sd").alias(f"prior_{name}"), _mean_sd("a_mean", "a_sd").alias(f"attribute_{name}"),
-        )
-        table = one if table is None else table.join(one, "subject", "left")
-    table = table.withColumn("n", F.col("n_f") + F.col("n_m")).filter(F.col("n").isNotNull())
-    return rank.top_n_ties(cut_lineage(table), top, "mean_f").drop("mean_f", "mean_m")
+        prior_, attribute_ = (F.when(F.col("gender") == code, F.col(c)) for c in ("__prior", "__attribute"))
+        moments += [
+            F.count(prior_).alias(f"n_{name}"), F.round(F.avg(prior_), 9).alias(f"mean_{name}"), F.stddev_samp(prior_).alias(f"sd_{name}"),
+            F.round(F.avg(attribute_), 9).alias(f"a_mean_{name}"), F.stddev_samp(attribute_).alias(f"a_sd_{name}"),
+        ]
+    # Everyone sits the attribute subject once, so its rows are the population as well.
+    is_attribute = F.col("subject") == attribute
+    table = rows.groupBy("subject").agg(*moments).withColumn(
+        "__all", F.explode(F.when(is_attribute, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    ).withColumn("subject", F.when(F.col("__all"), "All").otherwise(F.col("subject")))
+    for name in ("f", "m"):
+        table = rank.mark_top(table, f"__top_{name}", focus, k, f"n_{name}", F.col("__all"))
+    listed = table.filter(F.col("__top_f") & F.col("__top_m")).withColumn("__place", F.rank().over(Window.orderBy(F.desc("mean_f"))))
+    return listed.filter(F.col("__place") <= top).select(
+        "subject",
+        *[c for x in ("f", "m") for c in (
+            F.col(f"n_{x}"), _mean_sd(f"mean_{x}", f"sd_{x}").alias(f"prior_{x}"), _mean_sd(f"a_mean_{x}", f"a_sd_{x}").alias(f"attribute_{x}"),
+        )],
+        (F.col("n_f") + F.col("n_m")).alias("n"),
+    )
 
 
 def grade_gap_by_provider_gender(

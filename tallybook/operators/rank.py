@@ -116,6 +116,19 @@ def keep_top(table: DataFrame, focus: str, k: int, n: str = "n") -> DataFrame:
     )
 
 
+def mark_top(table: DataFrame, name: str, focus: str, k: int, n: str, always: Column) -> DataFrame:
+    """Whether a row's subject is among the k highest in ``n``, as ``keep_top`` picks them; for one row a subject.
+
+    Rows without any are never among them; rows that ``always`` holds for take no place and are marked if they have any.
+    """
+    has, counted = F.col(n) > 0, (F.col(n) > 0) & ~always
+    placed = table.withColumn("__rank", F.when(counted, F.dense_rank().over(Window.orderBy(F.desc(counted), F.desc(n), "subject"))))
+    focus_place = F.coalesce(F.max(F.when(F.col("subject") == focus, F.col("__rank"))).over(Window.partitionBy()), F.lit(0))
+    place = F.col("__rank")
+    top = (place < k) | (F.col("subject") == focus) | ((place == k) & (focus_place <= k))
+    return placed.withColumn(name, (has & always) | (counted & top)).drop("__rank")
+
+
 def top_subjects(facts: DataFrame, focus: str, k: int) -> DataFrame:
     """The k most taken subjects; the focus takes the last place when it is not among them."""
     return keep_top(facts.groupBy("subject").agg(F.count("*").alias("n")), focus, k)

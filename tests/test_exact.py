@@ -180,3 +180,13 @@ def test_welch_against_direct_formula(spark):
     t = (np.mean(a) - np.mean(b)) / math.sqrt(va + vb)
     freedom = (va + vb) ** 2 / (va**2 / 3 + vb**2 / 2)
     assert r["t"] == pytest.approx(t) and r["df"] == pytest.approx(freedom) and r["p"] == pytest.approx(tails.t_tail(t, freedom))
+
+
+def test_marked_subjects_are_those_kept(spark):
+    counts = spark.createDataFrame([(s, n) for s, n in zip("abcdefgh", (9, 7, 7, 5, 4, 2, 1, 0))], "subject string, n long")
+    both = counts.withColumn("always", F.lit(False)).unionByName(spark.createDataFrame([("All", 40, True)], "subject string, n long, always boolean"))
+    for focus in ("a", "c", "f", "h", "none"):
+        for k in (1, 3, 8):
+            kept = {r.subject for r in rank.keep_top(counts.filter("n > 0"), focus, k).collect()}
+            marked = {r.subject for r in rank.mark_top(both, "top", focus, k, "n", F.col("always")).filter("top").collect()}
+            assert marked == kept | {"All"}
