@@ -7,8 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-
 
 def percent(part, whole, digits: int | None = 1) -> Column:
     """100 * part / whole; null when the whole is zero or null."""
@@ -63,18 +61,6 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], *aggregates: Column) ->
     return null_safe_join(df, df.groupBy(*keys).agg(*aggregates), keys, "inner")
 
 
-def attach_bounded(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", max_bytes: int = 8 << 20) -> DataFrame:
-    """Attach a table of group statistics whose size is checked first.
-
-    The statistics are computed once into the checkpoint folder and measured; up to ``max_bytes`` (as text) are sent to
-    every task, so the big side is not shuffled by a key with few, possibly very unequal values. Beyond that it
-    is an ordinary null-safe join.
-    """
-    stats = cut_lineage(stats)
-    small = (stats.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= max_bytes
-    return null_safe_join(df, F.broadcast(stats) if small else stats, keys, how)
-
-
 def one_value(df: DataFrame, aggregate: Column) -> Column:
     """A one-row aggregate as a scalar subquery: planned and run once, no join."""
     return df.select(aggregate).scalar()

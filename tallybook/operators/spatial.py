@@ -1,7 +1,8 @@
 """Exact nearest distance from points to a reference point set, without comparing all pairs.
 
-The reference set is summarised in a pyramid of cells of equal counts, each with its tight bounding box. Every
-point starts with the top cell and descends level by level: its candidate cells are replaced by their
+The reference set is cut into cells, each with its tight bounding box: a cell that holds many points is divided at
+quantiles, again and again, so cells are small everywhere and lie deeper where points are dense. Every
+point starts with the whole and descends level by level: its candidate cells are replaced by their
 occupied children (at most 16), the smallest upper bound over the candidates is kept, and cells whose
 lower bound exceeds it are dropped. A point so carries a handful of cells whatever the density; only
 the reference points of the last surviving cells are measured. Every level is an equi-join on the cell.
@@ -9,16 +10,14 @@ the reference points of the last surviving cells are measured. Every level is an
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import attach_bounded, one_value
+from .common import null_safe_join, with_group_stats
 
-SPLIT = 4  # cells per side when a cell is divided
-LEAF = 64  # reference points a smallest cell should hold
-MOST_LEVELS = 5
+SPLIT = 4  # strips of a divided cell, and bins of a strip
+LEAF = 64  # reference points that a cell may hold undivided
+MOST_SENT = 20_000  # cells whose cut points (under 500 bytes a cell) go to every task; of more they are joined by shuffle
 
 
 def with_cuts_below(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
@@ -32,11 +31,6 @@ def with_cuts_below(df: DataFrame, value: str, name: str, buckets: int) -> DataF
     return df
 
 
-def _cell(level: int, levels: int, ix: Column, iy: Column) -> list[Column]:
-    shrink = SPLIT ** (levels - level)
-    return [F.floor(ix / shrink).alias("cx"), F.floor(iy / shrink).alias("cy")]
-
-
 def _box_gap(value: Column, low: str, high: str) -> Column:
     return F.greatest(F.col(low) - value, value - F.col(high), F.lit(0.0))
 
@@ -45,80 +39,80 @@ def _box_reach(value: Column, low: str, high: str) -> Column:
     return F.greatest(F.abs(value - F.col(low)), F.abs(F.col(high) - value))
 
 
-def _levels_for(count: int) -> int:
-    """Depth at which cells of equal counts hold about ``LEAF`` points, ``MOST_LEVELS`` at most."""
-    return min(max(math.ceil(math.log(max(count / LEAF, 1), SPLIT * SPLIT)), 1), MOST_LEVELS)
-
-
-def equal_count_cells(refs: DataFrame, levels: int) -> DataFrame:
-    """Add ``ix``, the strip of ``rx``, and ``iy``, the bin of ``ry`` in its strip; each cut at approximate quantiles.
+def split_cells(refs: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Distinct points (rx, ry) with their ``cell``: a text of one sign for every division.
 
-    Cells follow the points, so that a dense cluster is split however far the other points lie.
+    Every round divides the cells that hold more than ``leaf`` points, into strips by x and each strip into bins by y, at
+    approximate quantiles of the points at hand. So the depth follows the points, without a limit, and differs from place
+    to place. Equal coordinates on one axis leave the other to divide by, hence every round makes cells smaller.
     """
-    cells = SPLIT**levels
-    steps = [i / cells for i in range(1, cells)]
+    steps = [i / SPLIT for i in range(1, SPLIT)]
 
-    def cuts(value: str) -> Column:
-        return F.array_distinct(F.percentile_approx(value, steps, 10 * cells)).alias("__cuts")
+    def divided(df: DataFrame, value: str, keys: list[str], name: str, few: bool) -> DataFrame:
+        cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, 1000)).alias("__cuts"))
+        return with_cuts_below(null_safe_join(df, F.broadcast(cuts) if few else cuts, keys, "inner"), value, name, SPLIT).drop("__cuts")
 
-    strips = with_cuts_below(refs.withColumn("__cuts", one_value(refs, cuts("rx"))), "rx", "ix", cells).drop("__cuts")
-    bins = attach_bounded(strips, strips.groupBy("ix").agg(cuts("ry")), ["ix"])
-    return with_cuts_below(bins, "ry", "iy", cells).drop("__cuts")
+    done, large, cells = None, refs.withColumn("cell", F.lit("")), 1
+    while cells:
+        few = cells <= MOST_SENT
+        parts = divided(divided(large, "rx", ["cell"], "ix", few), "ry", ["cell", "ix"], "iy", few)
+        child = F.concat("cell", F.hex(F.col("ix") * SPLIT + F.col("iy")))
+        counted = cut_lineage(with_group_stats(parts.select("rx", "ry", child.alias("cell")), ["cell"], F.count("*").alias("n")))
+        small = counted.filter(F.col("n") <= leaf).drop("n")
+        done = small if done is None else done.unionByName(small)
+        large = counted.filter(F.col("n") > leaf).drop("n")
+        cells = large.select("cell").distinct().count()
+    return done
 
 
 def nearest_distance(
-    points: DataFrame, reference: DataFrame, cutoff: float | None = None, levels: int | None = None, x: str = "x", y: str = "y"
+    points: DataFrame, reference: DataFrame, cutoff: float | None = None, leaf: int = LEAF, x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Points with ``distance`` to the nearest reference point, and ``near`` (distance <= cutoff) if asked for.
 
-    There are 4**levels strips of equal counts and as many bins in each; the depth follows the number of reference
-    points if not given. The result is exact for any depth; points and vertices without coordinates take no part.
+    The result is exact for any ``leaf``, the most reference points of a cell; points and vertices without coordinates take
+    no part.
     """
     id_cols = points.columns
-    refs = cut_lineage(reference.select(F.col(x).alias("rx"), F.col(y).alias("ry")).dropna().distinct())
-    levels = _levels_for(refs.count()) if levels is None else levels
-    # Stored once: every level reads the cells, the last step the reference points.
-    refs = cut_lineage(equal_count_cells(refs, levels))
+    refs = split_cells(cut_lineage(reference.select(F.col(x).alias("rx"), F.col(y).alias("ry")).dropna().distinct()), leaf)
 
     box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
-    leaves = cut_lineage(refs.groupBy("ix", "iy").agg(
+    leaves = cut_lineage(refs.groupBy("cell").agg(
         F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
     ))
+    levels = leaves.agg(F.coalesce(F.max(F.length("cell")), F.lit(1))).first()[0]
 
     # One row per distinct location keeps a hot location from being searched more than once.
     places = points.select(F.col(x).alias("px"), F.col(y).alias("py")).dropna().distinct()
-    top = leaves.select(*_cell(0, levels, F.col("ix"), F.col("iy"))).distinct()
-    # One cell, held in an array.
-    tops = top.agg(F.collect_list(F.struct(F.col("cx").alias("parent_x"), F.col("cy").alias("parent_y")))).scalar()
-    found = places.withColumn("cell", F.explode(tops)).select("px", "py", "cell.*")
+    found = places.withColumn("parent", F.lit(""))
 
     for level in range(1, levels + 1):
-        parent = [c.alias(n) for c, n in zip(_cell(level - 1, levels, F.col("ix"), F.col("iy")), ("parent_x", "parent_y"))]
+        # A cell that is not divided any further is its own child.
         children = (
-            leaves.select(*parent, *_cell(level, levels, F.col("ix"), F.col("iy")), "x0", "x1", "y0", "y1")
-            .groupBy("parent_x", "parent_y", "cx", "cy")
+            leaves.select(F.substring("cell", 1, level - 1).alias("parent"), F.substring("cell", 1, level).alias("child"), "x0", "x1", "y0", "y1")
+            .groupBy("parent", "child")
             .agg(*box)
         )
         px, py = F.col("px"), F.col("py")
         low = F.pow(_box_gap(px, "x0", "x1"), 2) + F.pow(_box_gap(py, "y0", "y1"), 2)
         high = F.pow(_box_reach(px, "x0", "x1"), 2) + F.pow(_box_reach(py, "y0", "y1"), 2)
-        bounded = found.join(children, ["parent_x", "parent_y"]).select("px", "py", "cx", "cy", low.alias("low"), high.alias("high"))
+        bounded = found.join(children, "parent").select("px", "py", "child", low.alias("low"), high.alias("high"))
         # A place's candidates are few; the smallest upper bound decides which of them stay. A hair of slack
         # keeps rounding of the bounds from dropping the true nearest cell.
         found = (
             bounded.groupBy("px", "py")
             .agg(
                 (F.min("high") * (1 + 1e-9)).alias("best"),
-                F.collect_list(F.struct(F.col("cx").alias("parent_x"), F.col("cy").alias("parent_y"), "low")).alias("cells"),
+                F.collect_list(F.struct("child", "low")).alias("cells"),
             )
             .select("px", "py", "best", F.explode("cells").alias("cell"))
             .filter("cell.low <= best")
-            .select("px", "py", "cell.parent_x", "cell.parent_y")
+            .select("px", "py", F.col("cell.child").alias("parent"))
         )
 
     distance = F.sqrt(F.pow(F.col("rx") - F.col("px"), 2) + F.pow(F.col("ry") - F.col("py"), 2))
     nearest = (
-        found.join(refs, (F.col("parent_x") == refs["ix"]) & (F.col("parent_y") == refs["iy"]))
+        found.join(refs, F.col("parent") == F.col("cell"))
         .groupBy("px", "py")
         .agg(F.min(distance).alias("distance"))
     )

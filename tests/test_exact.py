@@ -73,8 +73,9 @@ def test_quantiles_of_a_group_of_distinct_values(spark):
     assert set(got) == {"g", "h"}
 
 
-@pytest.mark.parametrize("levels", [None, 1, 4])
-def test_nearest_distance_is_exact(spark, levels):
+@pytest.mark.parametrize("leaf, sent", [(spatial.LEAF, 20000), (1000, 20000), (4, 0)])
+def test_nearest_distance_is_exact(spark, leaf, sent, monkeypatch):
+    monkeypatch.setattr(spatial, "MOST_SENT", sent)  # at 0 cut points are joined by shuffle
     rng = random.Random(2)
     cluster = [(rng.gauss(0, 0.01), rng.gauss(0, 0.01)) for _ in range(300)]
     refs = cluster + [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(40)] + [cluster[0]] * 50
@@ -82,7 +83,7 @@ def test_nearest_distance_is_exact(spark, levels):
     points += [(300 + i, 0.0, 0.0) for i in range(50)]
     df = spark.createDataFrame([*points, (999, None, 1.0)], "id long, x double, y double")
     ref = spark.createDataFrame([*refs, (None, 0.0)], "x double, y double")
-    got = {r["id"]: (r["distance"], r["near"]) for r in spatial.nearest_distance(df, ref, cutoff=5.0, levels=levels).collect()}
+    got = {r["id"]: (r["distance"], r["near"]) for r in spatial.nearest_distance(df, ref, cutoff=5.0, leaf=leaf).collect()}
     for i, x, y in points:
         want = min(math.hypot(x - a, y - b) for a, b in refs)
         assert got[i][0] == pytest.approx(want, abs=1e-9)
@@ -93,9 +94,27 @@ def test_nearest_distance_is_exact(spark, levels):
 def test_a_dense_cluster_is_split_however_far_the_other_points_lie(spark):
     rng = random.Random(9)
     rows = [(rng.random(), rng.random()) for _ in range(4000)] + [(1e6, 1e6)] + [(0.5, i / 500) for i in range(500)]
-    cells = spatial.equal_count_cells(spark.createDataFrame(rows, "rx double, ry double"), 3)
-    sizes = [r["count"] for r in cells.groupBy("ix", "iy").count().collect()]
-    assert sum(sizes) == len(rows) and max(sizes) <= 16
+    cells = spatial.split_cells(spark.createDataFrame(rows, "rx double, ry double"), 16)
+    sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) <= 16
+    assert len({len(c) for c in sizes}) > 1  # depth differs from place to place
+    assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
+
+
+@pytest.mark.parametrize("rows", [[(0.5, i / 3000) for i in range(3000)], [(i / 3000, 0.5) for i in range(3000)], [(0.5, float(i)) for i in range(2900)] + [(float(i), 7.0) for i in range(100)]])
+def test_equal_coordinates_leave_few_points_in_a_cell(spark, rows):
+    """Vertices with one x (or y): each place is measured against the points of few cells, all of them small."""
+    refs = spark.createDataFrame(sorted(set(rows)), "rx double, ry double")
+    cells = spatial.split_cells(refs, 32)
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 32 and cells.count() == len(set(rows))
+    points = [(i, -1.0 + i / 7, 3.0 + i / 11) for i in range(20)]
+    got = {r["id"]: r["distance"] for r in spatial.nearest_distance(spark.createDataFrame(points, "id long, x double, y double"), refs.toDF("x", "y"), leaf=32).collect()}
+    assert all(got[i] == pytest.approx(min(math.hypot(x - a, y - b) for a, b in rows), abs=1e-9) for i, x, y in points)
+
+
+def test_nearest_distance_without_vertices(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
+    assert spatial.nearest_distance(points, points.drop("id").limit(0)).first()["distance"] is None
 
 
 def test_best_attempt_with_one_pupil_holding_a_third_of_all_rows(spark):
