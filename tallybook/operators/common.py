@@ -5,7 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int = ROWS_A_TASK) -> int:
+    """A number of tasks that leaves each a bounded number of rows, one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows dealt by key over exactly so many tasks.
+
+    A shuffle that Spark inserts by itself is merged afterwards into a few partitions of tens of compressed MB, of which
+    sorts and hash tables make a GB or more a task; one of a given number is left as it is.
+    """
+    return df.repartition(tasks, *keys)
+
 
 
 def percent(part, whole, digits: int | None = 1) -> Column:

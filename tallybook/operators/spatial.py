@@ -6,18 +6,22 @@ point starts with the whole and descends level by level: its candidate cells are
 occupied children (at most 16), the smallest upper bound over the candidates is kept, and cells whose
 lower bound exceeds it are dropped. A point so carries a handful of cells whatever the density; only
 the reference points of the last surviving cells are measured. Every level is an equi-join on the cell.
+Points are dealt once: boxes and reference points go to every task, behind a count of them, so a descent shuffles
+nothing; only of more of them do candidates move to the cells and back, a few a point and level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .common import null_safe_join, with_group_stats
+from .common import dealt, null_safe_join, tasks_for, with_group_stats
 
 SPLIT = 4  # strips of a divided cell, and bins of a strip
 LEAF = 64  # reference points that a cell may hold undivided
 MOST_SENT = 20_000  # cells whose cut points (under 500 bytes a cell) go to every task; of more they are joined by shuffle
+MOST_BOXES = 300_000  # boxes, or reference points (about 100 bytes each), that go to every task; of more, candidates are shuffled
+PLACES_A_TASK = 25_000  # a place has tens of candidates at a level
 
 
 def with_cuts_below(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
@@ -78,13 +82,22 @@ def nearest_distance(
 
     box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
     leaves = cut_lineage(refs.groupBy("cell").agg(
-        F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
+        F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"),
+        F.count("*").alias("n"),
     ))
-    levels = leaves.agg(F.coalesce(F.max(F.length("cell")), F.lit(1))).first()[0]
+    levels, boxes, vertices = leaves.agg(
+        F.coalesce(F.max(F.length("cell")), F.lit(1)), F.count("*"), F.coalesce(F.sum("n"), F.lit(0))
+    ).first()
+
+    def sent(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= MOST_BOXES else df
 
     # One row per distinct location keeps a hot location from being searched more than once.
     places = points.select(F.col(x).alias("px"), F.col(y).alias("py")).dropna().distinct()
-    found = places.withColumn("parent", F.lit(""))
+    tasks = tasks_for(points.sparkSession, points.count(), PLACES_A_TASK)
+    # Dealt by a whole number: groups by it and the place need no other shuffle, which groups by fractions would get.
+    place = ["deal", "px", "py"]
+    found = dealt(places.withColumn("deal", F.xxhash64("px", "py")), tasks, "deal").withColumn("best", F.lit(float("inf")))
 
     for level in range(1, levels + 1):
         # A cell that is not divided any further is its own child.
@@ -93,27 +106,30 @@ def nearest_distance(
             .groupBy("parent", "child")
             .agg(*box)
         )
+        if level == 1:  # the children of the whole are one value, not a join
+            first = children.agg(F.collect_list(F.struct("child", "x0", "x1", "y0", "y1"))).scalar()
+            candidates = found.withColumn("__first", first).select(*place, "best", F.inline("__first"))
+        else:
+            candidates = found.join(sent(children, boxes), "parent")
         px, py = F.col("px"), F.col("py")
         low = F.pow(_box_gap(px, "x0", "x1"), 2) + F.pow(_box_gap(py, "y0", "y1"), 2)
         high = F.pow(_box_reach(px, "x0", "x1"), 2) + F.pow(_box_reach(py, "y0", "y1"), 2)
-        bounded = found.join(children, "parent").select("px", "py", "child", low.alias("low"), high.alias("high"))
-        # A place's candidates are few; the smallest upper bound decides which of them stay. A hair of slack
-        # keeps rounding of the bounds from dropping the true nearest cell.
+        # The bound of the level above drops most children before they are compared. A hair of slack keeps rounding
+        # of the bounds from dropping the true nearest cell.
+        bounded = candidates.select(
+            *place, "best", "child", low.alias("low"), (high * (1 + 1e-9)).alias("high")
+        ).filter("low <= best")
+        # A place's candidates are few; the smallest upper bound decides which of them stay.
+        smallest = F.min("high").over(Window.partitionBy(*place))
         found = (
-            bounded.groupBy("px", "py")
-            .agg(
-                (F.min("high") * (1 + 1e-9)).alias("best"),
-                F.collect_list(F.struct("child", "low")).alias("cells"),
-            )
-            .select("px", "py", "best", F.explode("cells").alias("cell"))
-            .filter("cell.low <= best")
-            .select("px", "py", F.col("cell.child").alias("parent"))
+            bounded.withColumn("best", F.least("best", smallest)).filter("low <= best")
+            .select(*place, F.col("child").alias("parent"), "best")
         )
 
     distance = F.sqrt(F.pow(F.col("rx") - F.col("px"), 2) + F.pow(F.col("ry") - F.col("py"), 2))
     nearest = (
-        found.join(refs, F.col("parent") == F.col("cell"))
-        .groupBy("px", "py")
+        found.join(sent(refs, vertices), F.col("parent") == F.col("cell"))
+        .groupBy(*place)
         .agg(F.min(distance).alias("distance"))
     )
     out = points.join(nearest, (points[x] == nearest["px"]) & (points[y] == nearest["py"]), "left").select(*id_cols, "distance")

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clean, profile
+from ..operators.common import dealt, tasks_for
 
 FOCUS = "Brand#1"
 SECOND = "Brand#2"
@@ -27,9 +28,17 @@ class Testbed:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks for work on the results, by their number (read from the file's footers)."""
+        return tasks_for(self.spark, self.table("lineitem").count())
+
     @cached_property
     def results(self) -> DataFrame:
-        """Raw results: one row per attempt."""
+        """Raw results: one row per attempt, dealt by pupil over a number of tasks that follows the number of results.
+
+        Joins and groups by pupil, and by pupil and more, so hold a bounded number of rows a task at any size.
+        """
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("pupil"),
             F.col("l_partkey").alias("qualification"),
@@ -43,7 +52,8 @@ class Testbed:
             F.year("o_orderdate").alias("year"),
         )
         parts = self.table("part").select(F.col("p_partkey").alias("qualification"), F.col("p_brand").alias("subject"))
-        return lines.join(orders, "pupil").join(parts, "qualification").select(
+        known = lines.join(parts, "qualification")
+        return dealt(known, self.tasks, "pupil").join(dealt(orders, self.tasks, "pupil"), "pupil").select(
             "year", "pupil", "provider", "level", "subject", "qualification", "grade", "points"
         )
 

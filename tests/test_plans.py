@@ -1,10 +1,14 @@
 """Plans that must hold at scale."""
 
+import math
+import random
+
 import pytest
 
 from plan_report import features
-from tallybook.operators import disclose, uptake
-from tallybook.plans import catalogue
+from tallybook.operators import common, disclose, spatial, uptake
+from tallybook.plans import catalogue, testbed
+from tallybook.plans.testbed import Testbed
 from tallybook.session import stored
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -52,3 +56,45 @@ def test_report_plans_all_criteria_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(uptake, "stored", lambda df, name: plans.append(df) or stored(df, name))
     catalogue.QUERIES["criteria_report"](spark, SF_DIR)
     assert len(plans) == 1 and scans_of(plans[0], "lineitem") == 1
+
+
+@pytest.mark.parametrize("most", [None, 0])  # boxes sent to every task, or candidates shuffled to them
+def test_nearest_distance_shuffles_places_once(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(spatial, "MOST_BOXES", most)
+        monkeypatch.setattr(spatial, "MOST_SENT", most)
+    rng = random.Random(7)
+    places = [(i, rng.choice([rng.uniform(-50, 50), 3.0, 0.0, -0.0]), rng.uniform(-50, 50)) for i in range(400)]
+    coast = [(rng.choice([rng.uniform(-40, 40), 5.0]), rng.uniform(-40, 40)) for _ in range(600)]
+    points = spark.createDataFrame([*places, *[(1000 + i, x, y) for i, x, y in places[:20]], (2000, None, 1.0)], "id int, x double, y double")
+    found = spatial.nearest_distance(points, spark.createDataFrame([*coast, *coast[:50], (None, 2.0)], "x double, y double"), 2.0, 8)
+    got = {r["id"]: (r["distance"], r["near"]) for r in found.collect()}
+    assert len(got) == 421 and got[2000] == (None, None)
+    for i, x, y in places:
+        least = min(math.hypot(x - a, y - b) for a, b in coast)
+        assert got[i][0] == pytest.approx(least, abs=1e-9) and got[i][1] == (got[i][0] <= 2.0)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    if most is None:  # the descent lies between the shuffle that deals places and the last join
+        dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+        assert len(dealt) == 1 and "NestedLoop" not in plan
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "deal#" in line and line not in dealt]
+        assert sum("Exchange hashpartitioning" in line and ("px#" in line) for line in plan.splitlines()) <= 2
+
+
+def test_nearest_distance_without_reference_points(spark):
+    points = spark.createDataFrame([(1, 0.0, 1.0)], "id int, x double, y double")
+    found = spatial.nearest_distance(points, points.filter("id > 1"), 2.0)
+    assert [(r["id"], r["distance"], r["near"]) for r in found.collect()] == [(1, None, None)]
+
+
+def test_tasks_follow_the_number_of_results(spark):
+    assert common.tasks_for(spark, 10) == spark.sparkContext.defaultParallelism
+    assert common.tasks_for(spark, 100_000_000) == 400
+    t = Testbed(spark, SF_DIR)
+    t.tasks = 40
+    assert t.facts.rdd.getNumPartitions() == 40  # not merged into a few large ones
+
+
+def test_tasks_are_counted_from_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(testbed, "tasks_for", lambda spark, rows: rows)
+    assert Testbed(spark, SF_DIR).tasks == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
