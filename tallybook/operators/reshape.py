@@ -36,9 +36,12 @@ def build_spread(
 def pivot_composite(
     df: DataFrame, ids: Sequence[str], first: str, second: str, headers: Sequence[str], fill: int = 0
 ) -> DataFrame:
-    """Counts with one column per ``first_second`` header, absent cells filled."""
+    """Counts with one column per ``first_second`` header, absent cells filled.
+
+    The counts are dealt by the ids before they become wide, so that no task holds a wide row of every id.
+    """
     counts = df.groupBy(*ids, F.concat_ws("_", first, second).alias("__header")).agg(F.count("*").alias("__n"))
-    return counts.groupBy(*ids).pivot("__header", list(headers)).agg(F.first("__n")).na.fill(fill, list(headers))
+    return counts.repartition(*ids).groupBy(*ids).pivot("__header", list(headers)).agg(F.first("__n")).na.fill(fill, list(headers))
 
 
 def complete_combinations(counts: DataFrame, axes: Sequence[str], pair: tuple[str, str], n: str) -> DataFrame:
