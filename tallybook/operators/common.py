@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROWS_A_TASK = 250_000
+MOST_LEFT_TO_SPARK = 500_000  # rows of a side table; a join with more is a shuffled hash join
 
 
 def tasks_for(spark: SparkSession, rows: int, each: int = ROWS_A_TASK) -> int:
@@ -24,6 +25,14 @@ def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+def looked_up(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """The side table of a join by key, few columns wide, as the one to be hashed: the larger table is streamed, not sorted.
+
+    Of a known number of ``rows`` up to half a million Spark chooses by itself, so that small tables are broadcast. A hot key
+    of the larger table can still be split by the adaptive skew join.
+    """
+    return side if rows is not None and rows <= MOST_LEFT_TO_SPARK else side.hint("shuffle_hash")
+
 
 def percent(part, whole, digits: int | None = 1) -> Column:
     """100 * part / whole; null when the whole is zero or null."""

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clean, profile
-from ..operators.common import dealt, tasks_for
+from ..operators.common import dealt, looked_up, tasks_for
 
 FOCUS = "Brand#1"
 SECOND = "Brand#2"
@@ -52,7 +52,7 @@ class Testbed:
             F.year("o_orderdate").alias("year"),
         )
         parts = self.table("part").select(F.col("p_partkey").alias("qualification"), F.col("p_brand").alias("subject"))
-        known = lines.join(parts, "qualification")
+        known = lines.join(looked_up(parts, self.table("part").count()), "qualification")
         return dealt(known, self.tasks, "pupil").join(dealt(orders, self.tasks, "pupil"), "pupil").select(
             "year", "pupil", "provider", "level", "subject", "qualification", "grade", "points"
         )
@@ -111,7 +111,8 @@ class Testbed:
         )
 
     def cohort(self, focus: str = FOCUS) -> DataFrame:
-        return profile.cohort(self.facts, self.pupils, self.providers, focus)
+        providers = looked_up(self.providers, self.table("customer").count())
+        return profile.cohort(self.facts, self.pupils, providers, focus)
 
     @cached_property
     def plane(self) -> DataFrame:

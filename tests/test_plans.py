@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plan_report import features
 from tallybook.operators import common, disclose, spatial, uptake
@@ -98,3 +99,57 @@ def test_tasks_follow_the_number_of_results(spark):
 def test_tasks_are_counted_from_the_tables(spark, monkeypatch):
     monkeypatch.setattr(testbed, "tasks_for", lambda spark, rows: rows)
     assert Testbed(spark, SF_DIR).tasks == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+
+
+@pytest.fixture
+def star(spark, tmp_path):
+    """Small tables with a part, a customer and an order that come twice, unknown and null keys."""
+    rng = random.Random(3)
+    parts = [(i, f"Brand#{i % 4}") for i in range(1, 13)]
+    customers = [(i, f"c{i}", i % 2, 900.0 * i, rng.choice(["MACHINERY", "BUILDING", "HOUSEHOLD"])) for i in range(1, 9)]
+    orders = [(i, rng.choice([*range(1, 11), None]), rng.choice("FOP"), 15000.0 * (i % 25), f"199{5 + i % 3}-0{1 + i % 9}-01",
+               rng.choice(["1-URGENT", "2-HIGH"])) for i in range(1, 121)]
+    lines = [(rng.choice([*range(1, 126), None]), rng.choice([*range(1, 15), None]), rng.choice("ANR"), "F", float(rng.randint(1, 50)))
+             for _ in range(700)]
+    tables = {
+        "part": ([*parts, parts[2], (None, "Brand#1")], "p_partkey long, p_brand string"),
+        "customer": ([*customers, customers[3]], "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string"),
+        "orders": ([*orders, orders[5]], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_returnflag string, l_linestatus string, l_quantity double"),
+        "nation": ([(0, "N0", 0), (1, "N1", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        "region": ([(0, "R")], "r_regionkey long, r_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        df = spark.createDataFrame(rows, schema)
+        if name == "orders":
+            df = df.withColumn("o_orderdate", F.to_timestamp("o_orderdate"))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as they are planned where no table is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def ran(df) -> tuple[list, list[str]]:
+    """Sorted rows, and the lines of the plan as it ran."""
+    rows = sorted(map(tuple, df.collect()), key=repr)
+    return rows, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+
+
+def joins(plan: list[str], how: str, key: str) -> int:
+    return sum(f"{how} [{key}#" in line for line in plan)
+
+
+def test_large_dimensions_are_hashed_and_results_not_sorted(spark, star, no_broadcast, monkeypatch):
+    small, plan = ran(Testbed(spark, star).cohort())  # left to Spark, which sorts here
+    assert joins(plan, "SortMergeJoin", "qualification") == joins(plan, "SortMergeJoin", "provider") == 1
+    monkeypatch.setattr(common, "MOST_LEFT_TO_SPARK", 0)
+    large, plan = ran(Testbed(spark, star).cohort())
+    assert large == small and len(large) > 100
+    assert joins(plan, "SortMergeJoin", "qualification") == joins(plan, "SortMergeJoin", "provider") == 0
+    assert joins(plan, "ShuffledHashJoin", "qualification") == joins(plan, "ShuffledHashJoin", "provider") == 1
