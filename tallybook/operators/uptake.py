@@ -10,7 +10,7 @@ from ..functions import scales
 from ..session import stored
 from . import disclose, profile, rank, totals
 from .clean import valid_providers
-from .common import count_if, null_safe_join, percent, ratio
+from .common import count_if, dealt, looked_up, null_safe_join, percent, ratio
 
 def sits() -> Column:
     return F.col("focus_points").isNotNull()
@@ -593,19 +593,25 @@ def combinations_by_gender(facts: DataFrame, pupils: DataFrame, focus: str, rows
     )
 
 
-def provider_subject_summary(facts: DataFrame, pupils: DataFrame, providers: DataFrame) -> DataFrame:
-    """Per provider, subject, flag and gender: entries; with the provider's pupils, class and area."""
-    entries = (
-        facts.join(pupils.select("pupil", "flag", "gender"), "pupil", "left")
-        .groupBy("provider", "subject", "flag", "gender").agg(F.count("*").alias("entries"))
-    )
+def provider_subject_summary(
+    facts: DataFrame, pupils: DataFrame, providers: DataFrame, tasks: int | None = None
+) -> DataFrame:
+    """Per provider, subject, flag and gender: entries; with the provider's pupils, class and area.
+
+    Groups are nearly as many as the facts: with ``tasks`` they are dealt over so many. The provider's row is looked up.
+    """
+    keys = ["provider", "subject", "flag", "gender"]
+    rows = facts.join(pupils.select("pupil", "flag", "gender"), "pupil", "left").select(*keys)
+    if tasks is not None:
+        rows = dealt(rows, tasks, *keys)
+    entries = rows.groupBy(*keys).agg(F.count("*").alias("entries"))
     sizes = profile.provider_sizes(facts)
     places = providers.select(
         "provider", "area",
         scales.provider_class_3(F.col("sch_type"), F.col("selective"), "inde",
                                 ("Independent", "Selective", "Comprehensive")).alias("class"),
     )
-    return entries.join(sizes, "provider").join(places, "provider", "left")
+    return entries.join(looked_up(sizes.join(places, "provider", "left")), "provider")
 
 
 def class_subject_summary(summary: DataFrame, focus: str) -> DataFrame:

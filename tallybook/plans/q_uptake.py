@@ -421,7 +421,7 @@ SUMMARY_SQL = """summary AS (SELECT f.provider, subject, flag, gender, count(*)
 
 @query("provider_subject_summary", SUMMARY_SQL + " SELECT * FROM full_summary")
 def _(t):
-    return uptake.provider_subject_summary(t.facts, t.pupils, t.providers)
+    return uptake.provider_subject_summary(t.facts, t.pupils, t.providers, t.tasks)
 
 
 @query("class_subject_summary", SUMMARY_SQL + f""", c AS (SELECT class, count(DISTINCT provider) AS class_providers, sum(entries)::BIGINT AS class_entries FROM full_summary GROUP BY class),
@@ -430,7 +430,7 @@ def _(t):
     any_value(class_entries) AS class_entries, any_value(subject_providers) AS subject_providers
   FROM full_summary JOIN c USING (class) JOIN s USING (class) WHERE subject = '{FOCUS}' GROUP BY class, gender""")
 def _(t):
-    return uptake.class_subject_summary(uptake.provider_subject_summary(t.facts, t.pupils, t.providers), FOCUS)
+    return uptake.class_subject_summary(uptake.provider_subject_summary(t.facts, t.pupils, t.providers, t.tasks), FOCUS)
 
 
 AREAS = ["E09000001", "E09000002", "E09000003", "E09000007", "E09000012"]

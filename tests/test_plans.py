@@ -1,5 +1,6 @@
 """Plans that must hold at scale."""
 
+import collections
 import math
 import random
 
@@ -153,3 +154,27 @@ def test_large_dimensions_are_hashed_and_results_not_sorted(spark, star, no_broa
     assert large == small and len(large) > 100
     assert joins(plan, "SortMergeJoin", "qualification") == joins(plan, "SortMergeJoin", "provider") == 0
     assert joins(plan, "ShuffledHashJoin", "qualification") == joins(plan, "ShuffledHashJoin", "provider") == 1
+
+
+def test_summary_of_subjects_deals_its_groups(spark, star, no_broadcast):
+    t = Testbed(spark, star)
+    t.tasks = 40
+    rows, plan = ran(uptake.provider_subject_summary(t.facts, t.pupils, t.providers, t.tasks))
+    assert any("REPARTITION_BY_NUM" in line and "hashpartitioning(provider#" in line and ", 40)" in line for line in plan)
+    assert joins(plan, "SortMergeJoin", "provider") <= 1  # of the provider's own rows; the groups are streamed
+    plain = ran(uptake.provider_subject_summary(t.facts, t.pupils, t.providers))[0]
+    assert rows == plain and len(rows) > 100
+    people, places = {}, {}
+    for r in t.pupils.collect():
+        people.setdefault(r["pupil"], []).append((r["flag"], r["gender"]))
+    for r in t.providers.collect():
+        places.setdefault(r["provider"], []).append(r)
+    entries, pupils = collections.Counter(), {}
+    for r in t.facts.collect():
+        pupils.setdefault(r["provider"], set()).add(r["pupil"])
+        entries.update((r["provider"], r["subject"], *p) for p in people.get(r["pupil"], [(None, None)]))
+    expected = [
+        (*key, n, len(pupils[key[0]]), place and place["area"]) for key, n in entries.items() if key[0] is not None
+        for place in places.get(key[0], [None])
+    ]
+    assert sorted([r[:7] for r in rows], key=repr) == sorted(expected, key=repr)
